@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 DIM = 8
-CHUNK = 12
+CHUNK = 4
 NGRAMS = (3, 4, 5)
-EPOCHS = 60
+EPOCHS = 36
+#: Words in fewer training texts share one vector, zero: rare words would only be learnt by heart.
+MIN_TEXTS = 4
+#: Share of the weights that a step at full rate takes away.
+DECAY = 0.3
 #: The labelled rows learnt from: at most so many of each label, of at most MAX_CHARS characters.
-PER_LABEL = (3000, 1500)
+PER_LABEL = (1500, 1000)
 MAX_CHARS = 40_000
 MEMO = 500_000
 _WORD = regex.compile(r"\p{L}+")
@@ -88,7 +92,7 @@ def _grouped(order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order[begin], begin
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, seed: int = 0, rate: float = 0.5) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, seed: int = 0, rate: float = 0.1, warm_up: int = 20) -> Model:
     """Fit by full-batch Adam. Without both labels the score is the share of toxic rows."""
     y_doc = np.array(labels, np.int64)
     share = float(np.clip(y_doc.mean() if len(y_doc) else 0.0, 0.01, 0.99))
@@ -105,7 +109,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int =
             doc_of_chunk.append(d)
             c += 1
     word, chunk, doc_of_chunk = np.array(word), np.array(chunk), np.array(doc_of_chunk)
-    sub = [subwords(x) for x in vocab]
+    in_texts = np.bincount(np.unique(word * np.int64(len(texts)) + doc_of_chunk[chunk]) // len(texts), minlength=len(vocab))
+    names = ["", *[x for x, n in zip(vocab, in_texts) if n >= MIN_TEXTS]]
+    number = {x: k for k, x in enumerate(names)}
+    word = np.array([number.get(x, 0) for x in vocab])[word]
+    vocab = names
+    sub = [[BUCKETS], *[subwords(x) for x in names[1:]]]  # the last bucket is the rare words' and stays zero
     sub_n = np.array([len(s) for s in sub])
     sub_of = np.concatenate([np.array(s) for s in sub])
     word_of_sub = np.repeat(np.arange(len(sub)), sub_n)
@@ -114,12 +123,14 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int =
     by_word = np.argsort(word, kind="stable")
     wkeys, wbegin = _grouped(word[by_word], len(vocab))
     rng = np.random.default_rng(seed)
-    emb = (rng.standard_normal((BUCKETS, dim)) * 0.1).astype(np.float32)
+    emb = (rng.standard_normal((BUCKETS + 1, dim)) * 0.1).astype(np.float32)
+    emb[BUCKETS] = 0
     out = (rng.standard_normal((dim, 2)) * 0.1).astype(np.float32)
     bias = np.array([0.0, -2.0], np.float32)
     chunk_start = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
     doc_start = np.flatnonzero(np.concatenate([[True], doc_of_chunk[1:] != doc_of_chunk[:-1]]))
     sub_start = np.concatenate([[0], np.cumsum(sub_n)[:-1]])
+    chunks_of = np.diff(np.append(doc_start, len(doc_of_chunk)))
     toxic_chunk = y_doc[doc_of_chunk] == 1
     params, m, v = [emb, out, bias], None, None
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -131,15 +142,13 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int =
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        # Clean documents: all their chunks are clean. Toxic ones: their likeliest chunk is toxic, others say nothing.
-        weight = np.where(toxic_chunk, 0.0, 1.0).astype(np.float32)
+        # Clean documents: all their chunks are clean, and the likeliest counts as much as the rest together.
+        # Toxic ones: at first all chunks share the label, later the likeliest alone bears it.
         top = np.maximum.reduceat(p[:, 1], doc_start)
-        best = np.flatnonzero(toxic_chunk & (p[:, 1] == top[doc_of_chunk]))
-        weight[best] = 1.0
-        weight[~toxic_chunk] *= 1.0 / max(1, int((~toxic_chunk).sum())) * 0.5
-        hard = ~toxic_chunk & (p[:, 1] == top[doc_of_chunk])
-        weight[hard] += 0.5 / n_neg
-        weight[best] *= 1.0 / n_pos
+        best = p[:, 1] == top[doc_of_chunk]
+        share_of = 1.0 / chunks_of[doc_of_chunk]
+        toxic_weight = share_of if epoch <= warm_up else best.astype(np.float64)
+        weight = np.where(toxic_chunk, 0.5 * toxic_weight / n_pos, (0.5 * share_of + 0.5 * best) / n_neg).astype(np.float32)
         g = p.copy()
         g[np.arange(len(g)), toxic_chunk.astype(int)] -= 1
         g *= weight[:, None]
@@ -149,12 +158,15 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int =
         d_sub = (d_word / sub_n[:, None])[word_of_sub][back]
         d_emb = np.zeros_like(emb)
         d_emb[keys] = np.add.reduceat(d_sub, begin, axis=0)
+        d_emb[BUCKETS] = 0
         for k, (q, grad) in enumerate(zip(params, (d_emb, d_out, d_bias))):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.99 * v[k] + 0.01 * grad * grad
             step = rate * (1 - epoch / (epochs + 1))
+            if k < 2:
+                q -= step * DECAY * q
             q -= step * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.99**epoch)) + 1e-7)
-    return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((emb[:BUCKETS] @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def held_out(doc_id) -> F.Column:
