@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom.llm import bpe, decontam, pii, simhash, toxicity
-from trustloom.llm.common import shared_dir
+from trustloom.llm.common import shared_dir, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    found = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates the document with the least id stays, and one row of an id that repeats."""
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    gone = stored(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    again = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "again")
+    # Texts stay where they are unless the stored ids are too many to send to all.
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    same = kept["doc_id"].eqNullSafe(again["_again"])
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

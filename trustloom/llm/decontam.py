@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustloom.llm.common import stored
+
 #: Edits allowed, as a share of an item's words.
 DISTANCE = 0.2
 RECALL = 0.99
@@ -261,4 +263,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     passage takes all rows of that id away.
     """
     bad = benchmark_hits(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = stored(bad, "contaminated")  # so that the planner sends a small table to all
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")

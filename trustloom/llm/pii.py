@@ -147,7 +147,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("_terms"), "|"), F.lit(r")(?!\p{L})"))
     placed = placed.withColumn("_pattern", pattern)
     added = F.filter(_placed(F.col("_text"), F.col("_pattern"), len(KINDS)), lambda a: ~F.exists("spans", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"])))
-    placed = placed.select(F.col("_row"), added.alias("_added"))
+    placed = stored(placed.select(F.col("_row"), added.alias("_added")), "added")
     out = based.join(placed, "_row", "left")
     out = out.withColumn("spans", F.when(F.col("_added").isNull(), F.col("base_spans")).otherwise(F.array_sort(F.concat("base_spans", "_added")))).drop("_row", "_added")
     return out.withColumn("clean_text", sanitised(F.col(text), F.col("spans"))) if clean else out
