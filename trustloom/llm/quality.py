@@ -33,25 +33,21 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_BLANK))
-    without = lambda chars: F.length(reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), chars, t))
-    out = docs.withColumns(
-        {
-            "word_chars": without(BLANK_CHARS).cast("long"),
-            "n_symbols": (F.length(t) - without("#*$%&|<>")).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        }
-    )
-    out = held(out, _hashes=F.transform(words(t), lambda w: F.xxhash64(w)))
+    # One blank for each, then a split at single characters, which needs no pattern. A null stands for the
+    # empty string between two blanks: the pieces count the blanks, and the hashes are those of the words.
+    spaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), BLANK_CHARS[1:], t)
+    pieces = F.transform(F.split(spaced, " ", -1), lambda w: F.when(w != "", F.xxhash64(w)))
+    out = held(docs, _pieces=pieces, n_symbols=(F.size(F.split(t, r"[#*$%&|<>]", -1)) - 1).cast("long"), n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), _length=F.length(t))
+    out = held(out, word_chars=(F.col("_length") - F.size("_pieces") + 1).cast("long"), _hashes=F.array_compact("_pieces")).drop("_pieces", "_length")
     three = F.zip_with(F.zip_with("_hashes", tail(F.col("_hashes"), 1), lambda a, b: F.xxhash64(a, b)), tail(F.col("_hashes"), 2), lambda x, c: F.xxhash64(x, c))
     # A window's hash above its place: sorted, windows that are alike stand side by side.
     bits = F.greatest(F.ceil(F.log2(F.size("_hashes") + 2)).cast("int"), F.lit(1))
+    out = held(out, n_words=F.size("_hashes").cast("long"), _bits=bits, _below=F.call_function("shiftleft", F.lit(1).cast("long"), bits), _windows=F.slice(three, 1, F.greatest(F.size("_hashes") - 2, F.lit(0)))).drop("_hashes")
     pack = lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long"))
-    out = held(out, n_words=F.size("_hashes").cast("long"), _bits=bits, _windows=F.slice(three, 1, F.greatest(F.size("_hashes") - 2, F.lit(0)))).drop("_hashes")
-    out = held(out, _sorted=F.sort_array(F.transform("_windows", pack))).drop("_windows")
-    high = lambda x: F.call_function("shiftright", x, F.col("_bits"))
-    place = lambda x: x - F.call_function("shiftleft", high(x), F.col("_bits"))
-    pairs = F.zip_with("_sorted", tail(F.col("_sorted"), 1), lambda x, y: F.when(high(x) == high(y), F.array(place(x), place(y))))
-    out = held(out, _at=F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))).drop("_sorted", "_bits")
+    out = held(out, _sorted=F.sort_array(F.transform("_windows", pack))).drop("_windows", "_bits")
+    place = lambda x: x.bitwiseAND(F.col("_below") - 1)
+    pairs = F.zip_with("_sorted", tail(F.col("_sorted"), 1), lambda x, y: F.when(x.bitwiseXOR(y).between(F.lit(0), F.col("_below") - 1), F.array(place(x), place(y))))
+    out = held(out, _at=F.array_sort(F.array_distinct(F.flatten(F.array_compact(pairs))))).drop("_sorted", "_below")
     covered = F.aggregate(
         F.zip_with("_at", tail(F.col("_at"), 1), lambda p, q: F.least(F.lit(3).cast("long"), F.coalesce(q - p, F.lit(3).cast("long")))),
         F.lit(0).cast("long"),
@@ -103,17 +99,19 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 
 
 def line_frequency(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, clean: bool = True
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, clean: bool = True, source: DataFrame | None = None
 ) -> DataFrame:
     """Add n_words_removed (long), depleted (boolean) and, with ``clean``, clean_text.
 
     Rows that agree in id, text and host get equal results; each counts as a
     document of its host. A null host is a host of its own. Null texts stay
     null, have no lines and aren't depleted. A document is depleted when it
-    lost a line and keeps less than ``min_kept`` of its words.
+    lost a line and keeps less than ``min_kept`` of its words. ``source`` holds
+    the texts where ``docs`` no longer does.
     """
-    gone = removed_lines(docs, doc_id, text, host, max_docs)
-    docs = docs.withColumn("_text_key", F.xxhash64(F.col(text)))  # so that only the hash, not the text, is joined on
+    gone = removed_lines(source if source is not None else docs, doc_id, text, host, max_docs)
+    if "_text_key" not in docs.columns:
+        docs = docs.withColumn("_text_key", F.xxhash64(F.col(text)))  # the hash, not the text, is joined on
     same = docs[doc_id].eqNullSafe(gone["_id"]) & (docs["_text_key"] == gone["_key"]) & docs[host].eqNullSafe(gone["_host"])
     out = docs.join(gone, same, "left").drop("_id", "_key", "_host", "_text_key")
     lost = F.coalesce(F.aggregate("removed", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
@@ -137,6 +135,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_removed", "base_failed", "depleted", "clean_text", "kept", "removed")
     docs = docs.drop(*[c for c in docs.columns if c.startswith("_") or c in added])
-    out = line_frequency(text_counts(docs, text), doc_id, text, host, max_docs, min_kept, clean)
+    counted = text_counts(docs.withColumn("_text_key", F.xxhash64(F.col(text))), text)
+    out = line_frequency(counted if clean else counted.drop(text), doc_id, text, host, max_docs, min_kept, clean, docs)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
