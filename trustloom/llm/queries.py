@@ -129,7 +129,7 @@ s as (
 ), w as (
   select doc_id, seg, list_filter(regexp_split_to_array(lower(seg), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from s
 ), p as (
-  select doc_id, seg, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as p from w where len(w) between 2 and 400
+  select doc_id, seg, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as p from w where length(seg) between 3 and {license.MAX_CHARS} and len(w) >= 2
 ), x as (
   select doc_id, seg, license, 2.0 * len(list_intersect(p, b)) / (len(p) + len(b)) as dice
   from p, tpl where len(p) between {th} / (2 - {th}) * len(b) and (2 - {th}) / {th} * len(b)
