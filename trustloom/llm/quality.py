@@ -39,7 +39,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     pieces = F.transform(F.split(spaced, " ", -1), lambda w: F.when(w != "", F.xxhash64(w)))
     out = held(docs, _pieces=pieces, n_symbols=(F.size(F.split(t, r"[#*$%&|<>]", -1)) - 1).cast("long"), n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), _length=F.length(t))
     out = held(out, word_chars=(F.col("_length") - F.size("_pieces") + 1).cast("long"), _hashes=F.array_compact("_pieces")).drop("_pieces", "_length")
-    three = F.zip_with(F.zip_with("_hashes", tail(F.col("_hashes"), 1), lambda a, b: F.xxhash64(a, b)), tail(F.col("_hashes"), 2), lambda x, c: F.xxhash64(x, c))
+    three = F.zip_with(F.zip_with("_hashes", tail(F.col("_hashes"), 1), lambda a, b: F.shiftleft(a, 7).bitwiseXOR(b)), tail(F.col("_hashes"), 2), lambda x, c: F.shiftleft(x, 7).bitwiseXOR(c))
     # A window's hash above its place: sorted, windows that are alike stand side by side.
     bits = F.greatest(F.ceil(F.log2(F.size("_hashes") + 2)).cast("int"), F.lit(1))
     out = held(out, n_words=F.size("_hashes").cast("long"), _bits=bits, _below=F.call_function("shiftleft", F.lit(1).cast("long"), bits), _windows=F.slice(three, 1, F.greatest(F.size("_hashes") - 2, F.lit(0)))).drop("_hashes")
@@ -47,7 +47,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     out = held(out, _sorted=F.sort_array(F.transform("_windows", pack))).drop("_windows", "_bits")
     place = lambda x: x.bitwiseAND(F.col("_below") - 1)
     pairs = F.zip_with("_sorted", tail(F.col("_sorted"), 1), lambda x, y: F.when(x.bitwiseXOR(y).between(F.lit(0), F.col("_below") - 1), F.array(place(x), place(y))))
-    out = held(out, _at=F.array_sort(F.array_distinct(F.flatten(F.array_compact(pairs))))).drop("_sorted", "_below")
+    out = held(out, _at=F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))).drop("_sorted", "_below")
     covered = F.aggregate(
         F.zip_with("_at", tail(F.col("_at"), 1), lambda p, q: F.least(F.lit(3).cast("long"), F.coalesce(q - p, F.lit(3).cast("long")))),
         F.lit(0).cast("long"),
@@ -63,7 +63,7 @@ def normalised_line(line: Column) -> Column:
     return F.lower(F.btrim(F.when(odd, F.regexp_replace(line, BLANK + "+", " ")).otherwise(line)))
 
 
-def _line_rows(docs: DataFrame, text: str) -> DataFrame:
+def line_hashes(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add _lines: a struct(hash, n: words) for every line; blank lines have no words."""
     norm = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), normalised_line)
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
@@ -71,71 +71,64 @@ def _line_rows(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_lines", F.transform("_norm", lambda x: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("n")))).drop("_norm")
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """(_host, _hash, _docs) of lines that over ``max_docs`` documents of a host hold.
+def frequent_lines(lined: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """(_host, _hash) of lines that over ``max_docs`` documents of a host hold.
 
     A line counts once in a document: lines are made distinct inside the row,
     so that the count needs one aggregation with a partial step and no distinct.
     """
-    norm = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), normalised_line)
-    hashes = F.array_distinct(F.transform(F.filter(norm, lambda x: x != ""), lambda x: F.xxhash64(x)))
-    rows = docs.select(F.col(host).alias("_host"), F.explode(hashes).alias("_hash"))
-    return rows.groupBy("_host", "_hash").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > max_docs)
+    hashes = F.array_distinct(F.transform(F.filter("_lines", lambda x: x["n"] > 0), lambda x: x["hash"]))
+    rows = lined.select(F.col(host).alias("_host"), F.explode(hashes).alias("_hash"))
+    return rows.groupBy("_host", "_hash").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > max_docs).select("_host", "_hash")
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """Per document that loses lines: _id, _key, _host, removed (array of struct(no, n)).
+def removed_lines(lined: DataFrame, doc_id: str = "doc_id", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """Per document that loses lines: _id, _key, _from, removed (array of struct(no, n)).
 
-    The frequent lines are stored, so that the planner knows their size: a small
-    table is sent to all, a large one is joined by salted keys.
+    ``lined`` is stored: it has the columns of :func:`line_hashes` and
+    _text_key. The frequent lines are stored as well, so that the planner knows
+    their size: a small table is sent to all, a large one is joined by salted
+    keys.
     """
-    found = stored(frequent_lines(docs, text, host, max_docs).select("_host", "_hash"), "frequent").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lines = _line_rows(docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(host).alias("_host"), text), text)
-    lines = lines.select("_id", "_key", "_host", F.posexplode("_lines").alias("_no", "_line")).filter("_line.n > 0")
-    lines = lines.select("_id", "_key", "_host", "_no", F.col("_line.hash").alias("_hash"), F.col("_line.n").alias("_n"), F.pmod(F.xxhash64("_id", "_key", "_no"), F.lit(SALTS)).cast("int").alias("_salt"))
-    same = lines["_host"].eqNullSafe(found["_host"]) & (lines["_hash"] == found["_hash"]) & (lines["_salt"] == found["_salt"])
+    found = stored(frequent_lines(lined, host, max_docs), "frequent").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = lined.select(F.col(doc_id).alias("_id"), F.col("_text_key").alias("_key"), F.col(host).alias("_from"), F.posexplode("_lines").alias("_no", "_line")).filter("_line.n > 0")
+    lines = lines.withColumns({"_line_hash": F.col("_line.hash"), "_n": F.col("_line.n"), "_line_salt": F.pmod(F.xxhash64("_id", "_key", "_no"), F.lit(SALTS)).cast("int")})
+    same = lines["_from"].eqNullSafe(found["_host"]) & (lines["_line_hash"] == found["_hash"]) & (lines["_line_salt"] == found["_salt"])
     hit = lines.join(found, same, "left_semi")
-    return hit.groupBy("_id", "_key", "_host").agg(F.collect_set(F.struct(F.col("_no").alias("no"), F.col("_n").alias("n"))).alias("removed"))
+    return hit.groupBy("_id", "_key", "_from").agg(F.collect_set(F.struct(F.col("_no").alias("no"), F.col("_n").alias("n"))).alias("removed"))
+
 
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, clean: bool = True) -> DataFrame:
+    """``docs`` with the counts of :func:`text_counts`, n_words_removed, base_failed, depleted, kept and, with ``clean``, clean_text.
 
-def line_frequency(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, clean: bool = True, source: DataFrame | None = None
-) -> DataFrame:
-    """Add n_words_removed (long), depleted (boolean) and, with ``clean``, clean_text.
+    Texts are read once for their counts and line hashes, which are stored
+    without the texts; ``clean`` reads them again. Without ``clean`` the text
+    column is left out. A text fails the base rules under 50 words or when over
+    half its words lie in repeated three-word windows. A document is depleted
+    when it lost a line and keeps less than ``min_kept`` of its words.
 
     Rows that agree in id, text and host get equal results; each counts as a
     document of its host. A null host is a host of its own. Null texts stay
-    null, have no lines and aren't depleted. A document is depleted when it
-    lost a line and keeps less than ``min_kept`` of its words. ``source`` holds
-    the texts where ``docs`` no longer does.
-    """
-    gone = removed_lines(source if source is not None else docs, doc_id, text, host, max_docs)
-    if "_text_key" not in docs.columns:
-        docs = docs.withColumn("_text_key", F.xxhash64(F.col(text)))  # the hash, not the text, is joined on
-    same = docs[doc_id].eqNullSafe(gone["_id"]) & (docs["_text_key"] == gone["_key"]) & docs[host].eqNullSafe(gone["_host"])
-    out = docs.join(gone, same, "left").drop("_id", "_key", "_host", "_text_key")
-    lost = F.coalesce(F.aggregate("removed", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
-    if "n_words" not in docs.columns:
-        out = out.withColumn("n_words", F.size(words(F.coalesce(F.col(text), F.lit("")))).cast("long"))
-    out = out.withColumn("n_words_removed", lost)
-    out = out.withColumn("depleted", (F.col("n_words_removed") > 0) & (F.col("n_words") - F.col("n_words_removed") < min_kept * F.col("n_words")))
-    if clean:
-        nos = F.transform("removed", lambda x: x["no"])
-        kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(nos, i))
-        out = out.withColumn("clean_text", F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return out.drop("removed")
-
-
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, clean: bool = True) -> DataFrame:
-    """``docs`` with the counts of :func:`text_counts`, base_failed, the columns of :func:`line_frequency` and kept.
-
-    A text fails the base rules under 50 words or when over half its words lie
-    in repeated three-word windows. An input column that bears one of the added
-    names is replaced.
+    null, have no lines and aren't depleted. An input column that bears one of
+    the added names is replaced.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_removed", "base_failed", "depleted", "clean_text", "kept", "removed")
     docs = docs.drop(*[c for c in docs.columns if c.startswith("_") or c in added])
-    counted = text_counts(docs.withColumn("_text_key", F.xxhash64(F.col(text))), text)
-    out = line_frequency(counted if clean else counted.drop(text), doc_id, text, host, max_docs, min_kept, clean, docs)
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text)))
+    lined = stored(text_counts(line_hashes(keyed, text), text).drop(text), "counted")
+    gone = removed_lines(lined, doc_id, host, max_docs)
+    lost = F.coalesce(F.aggregate("removed", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
+    at = lambda rows: rows[doc_id].eqNullSafe(gone["_id"]) & (rows["_text_key"] == gone["_key"]) & rows[host].eqNullSafe(gone["_from"])
+    out = lined.drop("_lines").join(gone, at(lined), "left").withColumn("n_words_removed", lost)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    out = out.withColumn("depleted", (F.col("n_words_removed") > 0) & (F.col("n_words") - F.col("n_words_removed") < min_kept * F.col("n_words")))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    if not clean:
+        return out.drop("_id", "_key", "_from", "_text_key", "removed")
+    # One verdict for each (id, text, host), joined back to the texts.
+    verdicts = out.select(F.col(doc_id).alias("_i"), F.col("_text_key").alias("_k"), F.col(host).alias("_h"), *[c for c in added if c in out.columns and c != "clean_text"]).dropDuplicates(["_i", "_k", "_h"])
+    same = keyed[doc_id].eqNullSafe(verdicts["_i"]) & (keyed["_text_key"] == verdicts["_k"]) & keyed[host].eqNullSafe(verdicts["_h"])
+    nos = F.transform("removed", lambda x: x["no"])
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(nos, i))
+    out = keyed.join(verdicts, same)
+    return out.withColumn("clean_text", F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_i", "_k", "_h", "_text_key", "removed")
