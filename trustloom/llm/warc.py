@@ -45,14 +45,17 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha": F.sha1(F.col("payload").cast("binary"))})
-    # Ids and digests alone are aggregated, partly before the shuffle. A hot digest's reference is copied to
-    # SALTS buckets, so no task gets all its pages.
-    first = rows.filter(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_revisit)).groupBy("sha").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n"))
+    # Ids and digests alone are shuffled. A hot digest's reference is copied to SALTS buckets, so no task gets
+    # all its pages. The revisits found are stored: the planner knows their size, sends a small table to all and
+    # only deals the payloads out for a large one.
+    narrow = rows.select("page_id", "sha").filter(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_revisit))
+    first = narrow.groupBy("sha").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n"))
     first = first.filter("_n > 1").select("sha", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(first, ["sha", "_salt"], "left")
-    refers = F.when((F.col("payload_bytes") >= min_revisit) & (F.col("page_id") != F.col("_first")), F.col("_first"))
-    return out.select("page_id", "url", "payload", "payload_bytes", "sha", refers.alias("refers_to"))
+    again = narrow.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(first, ["sha", "_salt"])
+    again = again.filter("page_id <> _first").select("page_id", F.col("_first").alias("refers_to"), F.col("sha").alias("_sha")).distinct()
+    again = stored(again, "revisits")
+    out = rows.join(again, (rows["page_id"] == again["page_id"]) & (rows["sha"] == again["_sha"]), "left").select(*[rows[c] for c in rows.columns], "refers_to")
+    return out.select("page_id", "url", "payload", "payload_bytes", "sha", "refers_to")
 
 
 def _one_line(c) -> F.Column:
@@ -131,11 +134,11 @@ def _jump(part: pd.DataFrame) -> pd.DataFrame:
     whole = np.zeros(n, bool)  # the record ends with its piece
     ends = np.append(start[1:], end[-1] - magic if n else 0)
     whole[real] = (start + span)[real] == ends[real]
-    return pd.DataFrame({"file": part["file"], "block": part["block"], "seq": part["seq"], "offset": start, "owner": first, "real": real, "whole": whole})
+    return pd.DataFrame({"file": part["file"], "block": part["block"], "seq": part["seq"], "offset": start, "owner": first, "real": real, "whole": whole, "bytes": part["bytes"]})
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, record_type, page_id, url, refers_to, payload_digest, payload_bytes, payload, sound.
+    """record_type, page_id, url, refers_to, payload_digest, payload_bytes, payload, sound.
 
     Only records that a file's start reaches; magic within payloads rejected
     by the chain stays payload. One group holds the offsets, never payloads,
@@ -149,24 +152,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # magic, header, blank line, body, two line ends
     span = F.when(F.contains(F.col("value"), F.lit("\r\n\r\n")), F.lit(len(MAGIC)) + F.octet_length(head) + 4 + length + 4)
     offsets = pieces.select("file", "block", "seq", "bytes", F.coalesce(span, F.lit(-1)).cast("long").alias("span"))
-    index = stored(offsets.groupBy("file").applyInPandas(_jump, "file string, block long, seq long, offset long, owner long, real boolean, whole boolean"), "index")
+    index = stored(offsets.groupBy("file").applyInPandas(_jump, "file string, block long, seq long, offset long, owner long, real boolean, whole boolean, bytes long"), "index")
     keys = ["file", "block", "seq"]
-    body = pieces.select(*keys, F.col("value").cast("binary").alias("raw"))
-    single = body.join(index.filter("real and whole"), keys).select("file", "offset", "raw")
-    # Records whose payload holds the magic: few; their pieces are put together again.
-    open_ = index.filter("real and not whole").select(F.col("file"), F.col("offset").alias("owner"))
-    parts = index.join(open_, ["file", "owner"], "left_semi")
+    body = pieces.filter("bytes > 0").select(*keys, F.col("value").cast("binary").alias("raw"))
+    # Nearly all pieces are whole records. The rest is stored, so that the planner knows how small it is, and
+    # payloads stay where they are scanned unless an archive is full of false magic.
+    rest = stored(index.filter("not (real and whole) and bytes > 0").select(*keys, "owner", "offset"), "rest")
+    single = body.join(rest.select(*keys), keys, "left_anti").select("raw")
+    # Records whose payload holds the magic: their pieces are put together again.
+    parts = rest.filter("owner >= 0")
     many = body.join(parts, keys).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "raw"))).alias("p"))
     glued = F.aggregate(F.slice("p", 2, F.size("p")), F.get("p", F.lit(0))["raw"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["raw"]))
-    rows = single.unionByName(many.select("file", F.col("owner").alias("offset"), glued.alias("raw")))
+    rows = single.unionByName(many.select(glued.alias("raw")))
     text = F.col("raw").cast("string")
     head = F.substring_index(text, "\r\n\r\n", 1)
     field = lambda name, pattern: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: {pattern}\r?$", 1), F.lit(""))
     rows = rows.withColumn("head", head)
     size = field("Content-Length", "([0-9]{1,18})").cast("long")
     rows = rows.select(
-        "file",
-        "offset",
         field("WARC-Type", r"(\w+)").alias("record_type"),
         field("WARC-Record-ID", r"<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
         field("WARC-Target-URI", r"([^\r\n]*)").alias("url"),
