@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 NONE = 1 << 62
 #: Memoised words in a worker; a full table is emptied.
 MEMO = 400_000
-#: Longer words aren't memoised.
+#: Longer ones aren't memoised.
 MEMO_CHARS = 64
 
 
@@ -45,12 +45,13 @@ class PairTree:
         i += self.n
         t[i] = key
         while i > 1:
+            other = t[i ^ 1]
             i >>= 1
-            a, b = t[2 * i], t[2 * i + 1]
-            least = a if a < b else b
-            if t[i] == least:
-                break
-            t[i] = least
+            if other < key:
+                key = other
+            if t[i] == key:
+                return
+            t[i] = key
 
     @property
     def root(self) -> int:
@@ -63,25 +64,26 @@ def merged(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     if n < 2:
         return symbols
     s, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def key(i: int) -> int:
-        j = after[i]
-        r = ranks.get((s[i], s[j])) if j < n else None
-        return NONE if r is None else r[0] << 32 | i
-
-    tree = PairTree([key(i) for i in range(n)])
-    while (least := tree.root) != NONE:
+    get = ranks.get
+    tree = PairTree([NONE if (r := get(p)) is None else r[0] << 32 | i for i, p in enumerate(zip(s, s[1:]))])
+    t, put = tree.t, tree.set
+    while (least := t[1]) != NONE:
         i = least & 0xFFFFFFFF
         j = after[i]
-        s[i] = ranks[s[i], s[j]][1]
+        a = s[i] = ranks[s[i], s[j]][1]
         s[j] = -1
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        tree.set(j, NONE)
-        tree.set(i, key(i))
-        if before[i] >= 0:
-            tree.set(before[i], key(before[i]))
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            r = get((a, s[k]))
+            put(j, NONE)
+            put(i, NONE if r is None else r[0] << 32 | i)
+        else:
+            put(i, NONE)
+        h = before[i]
+        if h >= 0:
+            r = get((s[h], a))
+            put(h, NONE if r is None else r[0] << 32 | h)
     return [x for x in s if x >= 0]
 
 
@@ -114,20 +116,21 @@ class WordBpe:
         # Within a class the property needs no brackets of its own.
         self.word = regex.compile(pattern)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.blanks = regex.compile(r"\p{White_Space}+")
-        self.symbols = byte_symbols()
+        self.inner = [self.vocab.get(c) for c in byte_symbols()]
+        self.last = [self.vocab.get(c + self.suffix) for c in byte_symbols()]
         self.memo: dict[str, tuple[bytes, int, str]] = {}
 
     def normalised(self, text: str) -> str:
-        """NFC, one space for white space, lower case of each character alone."""
+        """NFC and the lower case of each character alone; white space is no part of any word."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        return self.blanks.sub(" ", text).replace("Σ", "σ").lower()
+        return text.replace("Σ", "σ").lower()
 
     def _bytes(self, word: str) -> list[int]:
-        chars = [self.symbols[b] for b in word.encode("utf-8")]
-        ids = [self.vocab.get(c) for c in chars[:-1]] + [self.vocab.get(chars[-1] + self.suffix)]
-        return [i for i in ids if i is not None]
+        raw = word.encode("utf-8")
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        return ids if None not in ids else [i for i in ids if i is not None]
 
     def word_ids(self, word: str) -> list[int]:
         return merged(self._bytes(word), self.ranks)
@@ -135,7 +138,7 @@ class WordBpe:
     def entry(self, word: str) -> tuple[bytes, int, str]:
         """Of a word: its ids as bytes, their number, and the decoded tokens, each after a space."""
         ids = self.word_ids(word)
-        found = (array("I", ids).tobytes(), len(ids), "".join(" " + self.tokens[i] for i in ids))
+        found = (array("I", ids).tobytes(), len(ids), "".join([" " + self.tokens[i] for i in ids]))
         if len(word) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
