@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data, and of terms that disclose them, become their kind in brackets."""
-    out = pii.personal_data(docs)
+    out = pii.personal_data(docs, unit="document")
     text = F.col("clean_text")
     return out.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
 

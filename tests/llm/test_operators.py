@@ -366,6 +366,15 @@ def test_pii_terms(spark, empty, odd):
     assert len(rows) == len(ODD) and {r.doc_id: r.clean_text for r in rows}[1] is None and pii.personal_data(empty).count() == 0
 
 
+def test_pii_terms_in_one_template(spark):
+    rows = [(i, f"Contact: kim@example.com for part{i}\nthe order of Bo7 goes out") for i in range(8)]
+    rows += [(100 + i, f"the order of number {i} goes out, contact us for more") for i in range(200)]
+    rows += [(400 + i, f"write to once{i}@example.com about lone{i}") for i in range(3)] + [(500 + i, "copy@example.com has a copied77 text") for i in range(9)]
+    got = {r.doc_id: r.clean_text for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), unit="document").collect()}
+    assert got[3] == "Contact: [EMAIL] for part3\nthe order of [TERM] goes out"
+    assert got[400] == "write to [EMAIL] about lone0" and got[500] == "[EMAIL] has a copied77 text" and got[100] == rows[8][1]
+
+
 def test_pii_kept_texts(docs):
     for r in pii.personal_data(docs).collect():
         want, at = "", 0

@@ -2,7 +2,7 @@
 
 Built from DataFrame functions alone. The base finds e-mail, IP, card and phone
 spans. The method then treats each value found as a protected entity, counts
-over the whole corpus how often terms stand near it and how often at all, and
+over the whole corpus in how many texts terms stand with it and in how many at all, and
 adds spans for terms that disclose an entity: their pointwise mutual
 information with it reaches ``disclosure`` times the entity's information.
 """
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import stored
+from trustloom.llm.common import held, stored
 
 #: Share of an entity's information content that a term may disclose.
 DISCLOSURE = 0.8
-#: Least distinct contexts (the words beside the entity) in which the term was seen with it.
-SUPPORT = 5
-#: Shortest term in characters.
-TERM_CHARS = 4
+#: Least distinct texts in which the term was seen with the entity.
+SUPPORT = 3
+#: Most chance, by a bound for independent terms and entities, of meeting as often as they do.
+CHANCE = 1e-3
 
 #: The base patterns, in the order of their kinds. They match
 #: what the plain forms match: possessive and bounded repeats, with a look
@@ -33,7 +33,7 @@ KINDS: dict[str, str] = {
 #: What a row must hold for a kind to be looked for at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
-TERM = r"\p{L}{%d,}"
+TERM = r"[\p{L}\p{N}]+"
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -94,57 +94,67 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, unit: str = "line") -> DataFrame:
     """(value, term): terms that disclose a protected entity.
 
     ``found`` holds the documents with entities: _row, _text, spans. c(e), c(t)
-    and c(e, t) count documents; a pair counts where the term stands in the
-    entity's line, and needs ``support`` distinct contexts, so that copies of
-    one text count once.
+    and c(e, t) count distinct texts; a term counts with an entity where it
+    stands in the same ``unit`` ("line" or "document") outside all base spans,
+    and needs ``support`` texts. A pair whose count independent draws would
+    reach with a chance over :data:`CHANCE` (Chernoff's bound) is left out, so
+    that few texts don't make a term of what meets by accident.
     """
-    rows = found.select("_row", "_text", F.explode("spans").alias("s"))
-    head = F.substring_index(F.substr("_text", F.lit(1), F.col("s.start")), "\n", -1)
-    tail = F.substring_index(F.substr("_text", F.col("s.end") + 1), "\n", 1)
-    rows = rows.select("_row", F.col("s.value").alias("value"), F.lower(head).alias("head"), F.lower(tail).alias("tail"))
-    beside = F.xxhash64(F.regexp_extract("head", r"\S+\s*$", 0), F.regexp_extract("tail", r"^\s*\S+", 0))
-    terms = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "head", "tail"), F.lit(TERM % TERM_CHARS), F.lit(0)))
-    pairs = rows.select("_row", "value", beside.alias("context"), F.explode(terms).alias("term"))
-    # Distinct contexts and documents by a first step on the finer key: a hot entity is spread over its contexts.
-    fine = pairs.groupBy("value", "term", "context").agg(F.count_distinct("_row").alias("n"))
-    both = fine.groupBy("value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both")).filter(F.col("contexts") >= support)
+    found = found.withColumn("_row", F.xxhash64("_text")).dropDuplicates(["_row"])
+    rows = held(found.select("_row", "_text", "spans"), _blank=blanked(F.col("_text"), F.col("spans")))
+    if unit == "line":
+        rows = rows.select("_row", "_blank", F.explode("spans").alias("s"))
+        head = F.substring_index(F.substr("_blank", F.lit(1), F.col("s.start")), "\n", -1)
+        tail = F.substring_index(F.substr("_blank", F.col("s.end") + 1), "\n", 1)
+        rows = rows.select("_row", F.col("s.value").alias("value"), F.concat_ws(" ", head, tail).alias("_unit"))
+    else:
+        rows = rows.select("_row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"), F.col("_blank").alias("_unit"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("_unit"), F.lit(TERM), F.lit(0)))
+    pairs = rows.select("_row", "value", F.explode(terms).alias("term")).distinct()
+    both = pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
     both = stored(both, "pairs")
     if both.isEmpty():
         return both.select("value", "term")
     wanted = both.select("term").distinct()
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(TERM % TERM_CHARS), F.lit(0)))).alias("term"))
-    # The stored table's size is known to the planner: it sends a small one to all, and deals a large one out.
-    seen = held.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("in_docs"))
-    entities = rows.groupBy("value").agg(F.count_distinct("_row").alias("with"))
-    total = docs.agg(F.count("*").alias("total"))
+    # Each text counts once, as in the pairs. Terms that aren't wanted go after the counts are added up.
+    texts = docs.withColumn("_hash", F.xxhash64(text))
+    copies = stored(texts.groupBy("_hash").agg(F.count("*").alias("n")).filter("n > 1"), "copies")
+    own = lambda d: d.select(F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)))).alias("term"))
+    once = texts.join(copies, "_hash", "left_anti")
+    again = texts.join(copies, "_hash", "left_semi").groupBy("_hash").agg(F.first(text).alias(text))
+    seen = own(once).unionByName(own(again)).groupBy("term").agg(F.count("*").alias("in_docs")).join(wanted, "term", "left_semi")
+    entities = rows.select("_row", "value").distinct().groupBy("value").agg(F.count("*").alias("with"))
+    total = texts.agg(F.count("*").alias("n_rows")).crossJoin(copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("more"))).select((F.col("n_rows") - F.col("more")).alias("total"))
     scored = both.join(seen, "term").join(entities, "value").crossJoin(F.broadcast(total))
     pmi = F.log(F.col("total") * F.col("both") / (F.col("with") * F.col("in_docs")))
     content = F.log(F.col("total") / F.col("with"))
-    return scored.filter((content > 0) & (pmi >= disclosure * content)).select("value", "term")
+    accident = F.col("both") * (1 - pmi)  # log of the bound: both expected at random, e * expected / both to the power of both
+    return scored.filter((content > 0) & (pmi >= disclosure * content) & (accident <= F.log(F.lit(CHANCE)))).select("value", "term")
 
 
-def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, clean: bool = True) -> DataFrame:
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, clean: bool = True, unit: str = "line") -> DataFrame:
     """``docs`` with base_spans, spans (arrays) and, with ``clean``, clean_text.
 
     Null and empty texts have no spans; a null text stays null. Rows that agree
     in id and text get equal results. In clean_text each span becomes its kind
     in brackets; spans that overlap become the first one's. Input columns that
-    bear one of the added names are replaced.
+    bear one of the added names are replaced. ``unit`` is where a term must
+    stand with a value to be counted: "line" or "document".
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("_") or c in ("base_spans", "spans", "clean_text")])
     based = base_spans(docs.withColumn("_row", F.xxhash64(doc_id, text)), text).withColumnRenamed("spans", "base_spans")
     found = stored(based.filter(F.size("base_spans") > 0).select("_row", F.col(text).alias("_text"), F.col("base_spans").alias("spans")).dropDuplicates(["_row"]), "found")
-    pairs = disclosing_terms(docs, found, text, disclosure, support)
+    pairs = disclosing_terms(docs, found, text, disclosure, support, unit)
     # The terms of a document: those that disclose an entity it holds.
-    held = found.select("_row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    risky = held.join(pairs, "value").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
+    own = found.select("_row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
+    risky = own.join(pairs, "value").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
     placed = found.join(risky, "_row")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("_terms"), "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     placed = placed.withColumn("_pattern", pattern)
     added = F.filter(_placed(F.col("_text"), F.col("_pattern"), len(KINDS)), lambda a: ~F.exists("spans", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"])))
     placed = stored(placed.select(F.col("_row"), added.alias("_added")), "added")
@@ -153,6 +163,20 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     return out.withColumn("clean_text", sanitised(F.col(text), F.col("spans"))) if clean else out
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with all characters within spans as spaces; places stay as they are."""
+    built = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.concat(a["parts"], F.array(F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(a["at"], s["start"]), F.lit(0))))).alias("parts"),
+        ),
+        lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1)),
+    )
+    return built
+
+
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; spans that overlap become one."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, "term"]])

@@ -51,7 +51,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.personal_data(_t(spark, sf_dir, "documents").select("doc_id", "text"), clean=False)
+    out = pii.personal_data(_t(spark, sf_dir, "documents").select("doc_id", "text"), clean=False, unit="document")
     n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return out.select(
         "doc_id",
