@@ -229,6 +229,19 @@ def test_decontamination(spark, docs, odd, empty, sf):
     assert kept.columns == planted.columns and kept.count() == len(rows) - len({d for d, _ in near & {(r.doc_id, r.item_id) for r in decontam.benchmark_hits(planted, bench).collect()}})
 
 
+def test_decontamination_finds_passages_of_any_length():
+    rng = np.random.default_rng(4)
+    for n in (5, 8, 15, 60, 120, 300, 500):
+        for kinds in ([0], [1], [2], [0, 1, 2]):
+            item = [f"w{x}" for x in rng.integers(0, 20 * n, n)]
+            w = list(item)
+            for at in sorted(rng.choice(n, int(decontam.DISTANCE * n), replace=False).tolist(), reverse=True):
+                w[at : at + 1] = [["changed"], [], [w[at], "added"]][rng.choice(kinds)]
+            index = decontam.Index([(1, " ".join(item)), (2, "other words than these stand here")])
+            ids = np.array([index.vocab.get(x, 0) for x in ["before", *w, "after"] * 2], np.int64)
+            assert {(d, i) for d, i, _, _ in index.matches(ids, np.array([0, len(w) + 2, len(ids)]))} == {(0, 1), (1, 1)}, (n, kinds)
+
+
 def test_rans_coder():
     rng = np.random.default_rng(0)
     freq = rans.shared_table(np.bincount(rng.zipf(1.3, 20000) % 300, minlength=400), 16)

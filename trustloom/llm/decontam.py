@@ -1,20 +1,15 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows.
-
-Benchmark items and documents are sequences of normalised words. A CGK random
-walk reads a window: at step j it writes the word under its pointer and moves on
-by a random bit of (j, word). It maps edit distance d to Hamming distance of
-order d squared at most, so windows within the distance of an item often agree
-in sampled places. Each repetition samples a few places of one walk as a key;
-repetitions are as many as the target recall needs. Equal keys are candidates,
-and an exact edit distance decides.
-
-Before any walk, a lossless filter drops windows: one within d edits of an item
-of n words shares at least n - 2 - 3 d of the item's 3-word runs.
+"""Benchmark decontamination: shared runs of words, then the exact edit distance.
+
+Benchmark items and documents are sequences of normalised words. A passage
+within d edits of an item of n words shares at least n - q + 1 - q d of the
+item's runs of q words, with q the longest run up to 3 of which one must be
+left. Parts of a document with as many shared runs of one item within n + d
+words are candidates, and the edit distance decides: no passage is missed,
+whatever its length and edits.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +21,15 @@ from trustloom.llm.common import stored
 
 #: Edits allowed, as a share of an item's words.
 DISTANCE = 0.2
-RECALL = 0.99
-#: Places in a key, walks, and keys taken from each walk.
-PLACES = 3
-WALKS = 6
-BANDS = 16
 #: Benchmark rows handled in one block; larger benchmarks take several passes.
 BLOCK_ITEMS = 20_000
 #: Bytes of text in one block at most.
 BLOCK_BYTES = 32 << 20
 MEMO = 1_000_000
+#: Longest run of words by which passages are found.
 Q = 3
+#: Pairs of a place and an item that are looked at together.
+PAIRS = 1 << 22
 
 
 def normal_word(token: str) -> str:
@@ -80,121 +73,85 @@ def edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Items by length in words, their 3-word runs and the keys of their walks."""
+    """Items and where their runs of words stand, by run length."""
 
-    def __init__(self, items: list[tuple[int, str]], distance: float = DISTANCE, seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int, str]], distance: float = DISTANCE) -> None:
         self.vocab: dict[str, int] = {}
         lists = [(i, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in normal_words(t)]) for i, t in items]
         self.base = len(self.vocab) + 2
-        self.by_len: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for i, w in lists:
-            if w:
-                self.by_len[len(w)].append((i, np.array(w, np.int64)))
-        self.longest = max(self.by_len, default=0)
-        self.distance = distance
-        rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (WALKS, 3 * self.longest, self.base), np.uint8)
-        self.grams = np.unique(np.concatenate([self.runs(w) for _, w in lists_arrays(self.by_len)] or [np.empty(0, np.int64)]))
-        self.places, self.keys, self.len_grams = {}, {}, {}
-        for n, group in self.by_len.items():
-            self.places[n] = rng.integers(0, max(1, 2 * n), (WALKS, BANDS, PLACES))
-            own = self.walk_keys(np.concatenate([w for _, w in group]), np.arange(len(group)) * n, n)
-            self.keys[n] = own
-            self.len_grams[n] = np.unique(np.concatenate([self.runs(w) for _, w in group])) if n >= Q else None
-
-    def runs(self, w: np.ndarray) -> np.ndarray:
-        """Each run of three words as one number; -1 where a word is in no item."""
-        if len(w) < Q:
+        self.items = [(i, np.array(w, np.int64)) for i, w in lists if w]
+        self.size = np.array([len(w) for _, w in self.items], np.int64)
+        self.edits = np.array([int(distance * len(w)) for _, w in self.items], np.int64)
+        # The longest runs of which some must survive the edits.
+        self.run = np.ones(len(self.items), np.int64)
+        for q in range(2, Q + 1):
+            self.run[self.size - q + 1 - q * self.edits >= 1] = q
+        self.need = np.maximum(1, self.size - self.run + 1 - self.run * self.edits)
+        self.holders = {}
+        for q in np.unique(self.run).tolist():
+            own = np.flatnonzero(self.run == q)
+            runs = [np.unique(self.runs(self.items[k][1], q)) for k in own.tolist()]
+            of, runs = np.repeat(own, [len(x) for x in runs]), np.concatenate(runs)
+            order = np.argsort(runs, kind="stable")
+            self.holders[q] = runs[order], of[order]
+
+    def runs(self, w: np.ndarray, q: int) -> np.ndarray:
+        """Each run of ``q`` words as one number; -1 where a word is in no item."""
+        n = len(w) - q + 1
+        if n <= 0:
             return np.empty(0, np.int64)
-        a, b, c = w[:-2], w[1:-1], w[2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * self.base + b) * self.base + c, -1)
-
-    def walk_keys(self, ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """(walk and band, start) -> key: the words that the walk wrote at the sampled places."""
-        out = np.zeros((WALKS * BANDS, len(starts)), np.int64)
-        for k in range(WALKS):
-            step = np.zeros(len(starts), np.int64)
-            wrote = np.empty((3 * n, len(starts)), np.int64)
-            for j in range(3 * n):
-                inside = (step < n) & (starts + step < len(ids))
-                x = np.where(inside, ids[np.minimum(starts + step, len(ids) - 1)], 0)
-                wrote[j] = np.where(inside, x, self.base - 1)
-                step += np.where(inside, self.moves[k, j, x], 0)
-            for b in range(BANDS):
-                key = np.zeros(len(starts), np.int64)
-                for p in self.places[n][k, b]:
-                    key = key * self.base + wrote[p]
-                out[k * BANDS + b] = key
-        return out
+        out, known = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(q):
+            out = out * self.base + w[k : k + n]
+            known &= w[k : k + n] > 0
+        return np.where(known, out & (2**63 - 1), -1)  # where words are very many, runs may share a number
+
+    def places(self, ids: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, low, high): parts of ``ids`` that hold every passage within an item's edits."""
+        for q, (known, of) in self.holders.items():
+            runs = self.runs(ids, q)
+            left = np.searchsorted(known, runs, "left")
+            at = np.flatnonzero((runs >= 0) & (known[np.minimum(left, len(known) - 1)] == runs))
+            doc = np.searchsorted(breaks, at, "right") - 1
+            same = at + q <= breaks[doc + 1]
+            at, doc = at[same], doc[same]
+            left = left[at]
+            count = np.searchsorted(known, runs[at], "right") - left
+            # A step holds whole documents, about so many pairs of a place and an item.
+            steps = np.cumsum(count) // PAIRS
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            cuts = first[np.flatnonzero(np.diff(steps[first], prepend=-1))] if len(at) else first
+            for a, b in zip(cuts.tolist(), [*cuts.tolist()[1:], len(at)]):
+                n = count[a:b]
+                pos, d = np.repeat(at[a:b], n), np.repeat(doc[a:b], n)
+                item = of[np.repeat(left[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                order = np.lexsort((pos, item))
+                pos, d, item = pos[order], d[order], item[order]
+                last = np.arange(len(pos)) + self.need[item] - 1
+                ok = last < len(pos)
+                last = np.minimum(last, len(pos) - 1)
+                most = self.size[item] + self.edits[item]
+                ok &= (item[last] == item) & (d[last] == d) & (pos[last] - pos <= most - q)
+                k, last = np.flatnonzero(ok), last[ok]
+                low = np.maximum(pos[last] + q - most[k], breaks[d[k]])
+                high = np.minimum(pos[k] + most[k], breaks[d[k] + 1])
+                # Both ends grow within a document and item: parts that overlap become one.
+                new = np.ones(len(k), bool)
+                new[1:] = (item[k][1:] != item[k][:-1]) | (d[k][1:] != d[k][:-1]) | (low[1:] >= high[:-1])
+                begin = np.flatnonzero(new)
+                end = np.append(begin[1:], len(k)) - 1 if len(k) else begin
+                yield from zip(d[k][begin].tolist(), item[k][begin].tolist(), low[begin].tolist(), high[end].tolist())
 
     def matches(self, ids: np.ndarray, breaks: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, end, edits) over ``ids``, where document k fills breaks[k] to breaks[k + 1]."""
-        runs = self.runs(ids)
-        at = np.flatnonzero(runs >= 0)
-        at = at[np.isin(runs[at], self.grams)]
-        got = runs[at]
-        docs_of = np.searchsorted(breaks, at, "right") - 1
-        same_doc = docs_of == np.searchsorted(breaks, at + Q - 1, "right") - 1
-        at, got, docs_of = at[same_doc], got[same_doc], docs_of[same_doc]
-        todo: dict[tuple[int, int, int], list[int]] = {}
-        for n, group in self.by_len.items():
-            d = int(self.distance * n)
-            need = n - Q + 1 - Q * d
-            if n < Q:
-                self._short(ids, breaks, n, group, todo)
-                continue
-            need = max(1, need)
-            own = np.isin(got, self.len_grams[n])
-            hit, doc = at[own], docs_of[own]
-            if len(hit) < need:
-                continue
-            first, last = hit[: len(hit) - need + 1], hit[need - 1 :]
-            ok = (last - first <= n + d - Q) & (doc[: len(hit) - need + 1] == doc[need - 1 :])
-            # Windows of n words that could hold such a cluster of shared runs.
-            spans = np.unique(np.stack([last[ok] + Q - n - d, first[ok] + d, doc[: len(hit) - need + 1][ok]]), axis=1)
-            if not spans.shape[1]:
-                continue
-            low, high = np.maximum(spans[0], breaks[spans[2]]), np.minimum(spans[1], breaks[spans[2] + 1] - 1)
-            size = np.maximum(0, high - low + 1)
-            starts = np.unique(np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum()))
-            of = np.searchsorted(breaks, starts, "right") - 1
-            for part in range(0, len(starts), 1 << 15):
-                s = starts[part : part + (1 << 15)]
-                keys = self.walk_keys(ids, s, n)
-                for g, (item, _) in enumerate(group):
-                    for w in np.flatnonzero((keys == self.keys[n][:, g : g + 1]).any(axis=0)).tolist():
-                        todo.setdefault((int(of[part + w]), n, g), []).append(int(s[w]))
         out = []
-        for (doc, n, g), where in todo.items():
-            item, words = self.by_len[n][g]
-            d = int(self.distance * n)
-            where.sort()
-            begin = where[0]
-            for here, following in zip(where, [*where[1:], None]):
-                if following is not None and following - here <= n:
-                    continue
-                low, high = max(int(breaks[doc]), begin - d), min(int(breaks[doc + 1]), here + n + d)
-                dist, end = edits(words, ids[low:high])
-                if dist <= d:
-                    out.append((doc, item, low + end - int(breaks[doc]), dist))
-                begin = following
+        for doc, k, low, high in self.places(ids, breaks):
+            item, words = self.items[k]
+            dist, end = edits(words, ids[low:high])
+            if dist <= self.edits[k]:
+                out.append((doc, item, low + end - int(breaks[doc]), dist))
         return out
 
-    def _short(self, ids, breaks, n, group, todo) -> None:
-        """Items of one or two words allow no edit: their words as they are."""
-        for g, (_, words) in enumerate(group):
-            hit = np.flatnonzero(ids[: len(ids) - n + 1] == words[0])
-            for k in range(1, n):
-                hit = hit[ids[hit + k] == words[k]]
-            for s in hit.tolist():
-                doc = int(np.searchsorted(breaks, s, "right") - 1)
-                if s + n <= breaks[doc + 1]:
-                    todo.setdefault((doc, n, g), []).append(s)
-
-
-def lists_arrays(by_len: dict[int, list[tuple[int, np.ndarray]]]) -> list[tuple[int, np.ndarray]]:
-    return [x for group in by_len.values() for x in group]
-
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of bounded rows and bytes, one partition at a time on the driver."""
