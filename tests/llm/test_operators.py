@@ -242,6 +242,16 @@ def test_decontamination_finds_passages_of_any_length():
             assert {(d, i) for d, i, _, _ in index.matches(ids, np.array([0, len(w) + 2, len(ids)]))} == {(0, 1), (1, 1)}, (n, kinds)
 
 
+def test_decontamination_finds_short_items(spark):
+    items = ["What is the capital of France?", "two words", "One", "two words here now then", "!?", "a b a b a b a"]
+    texts = ["so what is, the capital of france", "what was the capital of France", "what capital of France", "Two WORDS", "two. other words", "one", "ones", "two words HERE and then", "a b a b a b b", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if t and decontam.normal_words(x) and brute_hits(t, x, decontam.DISTANCE)}
+    assert {(0, 0), (1, 0), (3, 1), (5, 2)} <= want
+    assert {(r.doc_id, r.item_id) for r in decontam.benchmark_hits(docs, bench).collect()} == want
+
+
 def test_rans_coder():
     rng = np.random.default_rng(0)
     freq = rans.shared_table(np.bincount(rng.zipf(1.3, 20000) % 300, minlength=400), 16)

@@ -167,12 +167,12 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield block
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", distance: float = DISTANCE, min_words: int = 8) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", distance: float = DISTANCE, min_words: int = 1) -> DataFrame:
     """doc_id, item_id, end_word (long), edits (int): each passage of a document within the distance of an item.
 
     Words are compared without case and punctuation. Items of fewer than
-    ``min_words`` words are ordinary phrases and not searched for; null and
-    empty texts hold nothing. A row per passage; repeated documents give theirs
+    ``min_words`` words aren't searched for: by default those without a word.
+    Items of up to 4 words allow no edit. Null and empty texts hold nothing. A row per passage; repeated documents give theirs
     each, repeated items count as items of their own. An item's block goes to
     all tasks; blocks have a bounded size, whatever the benchmark's.
     """
