@@ -252,6 +252,16 @@ def test_decontamination_finds_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.benchmark_hits(docs, bench).collect()} == want
 
 
+def test_decontamination_gives_a_row_per_passage():
+    item = [f"w{k}" for k in range(20)]
+    index = decontam.Index([(1, " ".join(item)), (2, "go")])
+    for text in (item * 3, item[1:] + item + item[:9] + ["changed"] + item[9:], ["x"] + item + item[:5] + ["x"] + item[6:] + ["go", "go"]):
+        ids = np.array([index.vocab.get(x, 0) for x in text], np.int64)
+        ends = [e for _, i, e, _ in index.matches(ids, np.array([0, len(ids)])) if i == 1]
+        assert len(ends) == (3 if len(text) > 50 else 2), ends
+        assert sum(i == 2 for _, i, _, _ in index.matches(ids, np.array([0, len(ids)]))) == text.count("go")
+
+
 def test_rans_coder():
     rng = np.random.default_rng(0)
     freq = rans.shared_table(np.bincount(rng.zipf(1.3, 20000) % 300, minlength=400), 16)

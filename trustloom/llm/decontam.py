@@ -10,6 +10,7 @@ whatever its length and edits.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,18 +59,54 @@ class _Numbers(dict):
         return n
 
 
-def edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(least edit distance of ``item`` to a part of ``text``, where that part ends)."""
-    n = len(text)
-    row = np.zeros(n + 1, np.int64)
-    steps = np.arange(n + 1)
+def edits(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each end in ``text``, 0 included, the least edit distance of ``item`` to a part that ends there."""
+    row = np.zeros(len(text) + 1, np.int64)
+    steps = np.arange(len(text) + 1)
     for i, x in enumerate(item.tolist()):
-        new = np.empty(n + 1, np.int64)
+        new = np.empty(len(row), np.int64)
         new[0] = i + 1
         np.minimum(row[:-1] + (text != x), row[1:] + 1, out=new[1:])
         row = np.minimum.accumulate(new - steps) + steps
-    end = int(row.argmin())
-    return int(row[end]), end
+    return row
+
+
+def begins(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each end in ``text`` where a part with the distance of :func:`edits` begins, as late as may be."""
+    row, begin = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+    steps = begin
+    for i, x in enumerate(item.tolist()):
+        new, come = row + 1, begin.copy()
+        step = row[:-1] + (text != x)
+        better = (step < new[1:]) | ((step == new[1:]) & (begin[:-1] > come[1:]))
+        new[1:][better], come[1:][better] = step[better], begin[:-1][better]
+        level = new - steps
+        row = np.minimum.accumulate(level)
+        # Of equal costs the one that begins latest: one number holds a level's cost and its place from behind.
+        rank = np.minimum.accumulate(level * (len(text) + 2) + (len(text) + 1 - come))
+        begin = len(text) + 1 - np.mod(rank, len(text) + 2)
+        row = row + steps
+    return begin
+
+
+def passages(item: np.ndarray, text: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(edits, end) of parts of ``text`` within ``most`` edits: again and again the best one apart from those taken."""
+    row = edits(item, text)
+    ends = np.flatnonzero(row <= most)
+    if not len(ends):
+        return []
+    if ends[-1] - ends[0] < len(item) - most:
+        end = int(row.argmin())
+        return [(int(row[end]), end)]
+    begin = begins(item, text)
+    taken: list[tuple[int, int]] = []
+    for end in ends[np.argsort(row[ends], kind="stable")].tolist():
+        k = bisect(taken, (end, 0), key=lambda x: (x[1], 0)) if taken else 0
+        # taken is by place: the part before must end, and the one behind begin, outside this one.
+        before, behind = taken[k - 1] if k else None, taken[k] if k < len(taken) else None
+        if begin[end] < end and (before is None or before[1] <= begin[end]) and (behind is None or end <= behind[0]):
+            taken.insert(k, (int(begin[end]), end))
+    return [(int(row[end]), end) for _, end in taken]
 
 
 class Index:
@@ -147,9 +184,7 @@ class Index:
         out = []
         for doc, k, low, high in self.places(ids, breaks):
             item, words = self.items[k]
-            dist, end = edits(words, ids[low:high])
-            if dist <= self.edits[k]:
-                out.append((doc, item, low + end - int(breaks[doc]), dist))
+            out += [(doc, item, low + end - int(breaks[doc]), dist) for dist, end in passages(words, ids[low:high], int(self.edits[k]))]
         return out
 
 
@@ -172,7 +207,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
     Words are compared without case and punctuation. Items of fewer than
     ``min_words`` words aren't searched for: by default those without a word.
-    Items of up to 4 words allow no edit. Null and empty texts hold nothing. A row per passage; repeated documents give theirs
+    Items of up to 4 words allow no edit. Null and empty texts hold nothing. A row per passage,
+    of those that overlap the nearest one; repeated documents give theirs
     each, repeated items count as items of their own. An item's block goes to
     all tasks; blocks have a bounded size, whatever the benchmark's.
     """
