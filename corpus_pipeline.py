@@ -21,14 +21,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays, and one row of an id that repeats."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = stored(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    again = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "again")
-    # Texts stay where they are unless the stored ids are too many to send to all.
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    same = kept["doc_id"].eqNullSafe(again["_again"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near-duplicates the row with the least id stays, and one of rows that repeat as they are.
+
+    Rows are told apart by id and text: null ids come last, equal ids go by a hash of both.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
+    found = stored(simhash.near_duplicates(docs.select(ident.alias("doc_id"), "text")).select(F.col("doc_id.key").alias("key"), F.col("component_id.key").alias("least")), "found")
+    gone = stored(found.filter("key <> least").select(F.col("key").alias("_gone")).distinct(), "gone")
+    again = stored(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_again")), "again")
+    # Texts stay where they are unless the stored keys are too many to send to all.
+    rows = docs.withColumn("_key", key)
+    kept = rows.join(gone, rows["_key"] == gone["_gone"], "left_anti")
+    same = kept["_key"] == again["_again"]
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_key"])).drop("_key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

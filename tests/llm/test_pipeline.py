@@ -56,3 +56,16 @@ def test_stages_take_odd_rows(spark, sf):
     assert kept == {1, 2, 4}
     cleaned = {r.doc_id: r.text for r in corpus_pipeline.replace_personal_data(spark, odd, sf).filter(F.col("doc_id") == 4).collect()}
     assert cleaned[4].startswith("mail [EMAIL] w") and pii.KINDS
+
+
+def test_stages_tell_rows_of_one_id_apart(spark, sf):
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    prose = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(None, prose("a")), (None, prose("b")), (None, prose("b")), (None, prose("c")), (1, prose("c")), (2, prose("d")), (2, prose("e")), (3, prose("d")), (1, prose("f")), (2, prose("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(None, prose("a")), (None, prose("b")), (1, prose("c")), (2, prose("d")), (2, prose("e")), (1, prose("f"))}
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+    df = spark.createDataFrame([(None, "x " + passage), (None, prose("a")), (1, passage), (1, prose("b")), (1, None), (None, None)], "doc_id long, text string")
+    got = {tuple(r) for r in corpus_pipeline.drop_contaminated(spark, df, sf).collect()}
+    assert got == {(None, prose("a")), (1, prose("b")), (1, None), (None, None)}

@@ -249,12 +249,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without a benchmark passage, their columns as they were.
 
-    Rows with a null id can't be told apart from one another: one with a
-    passage takes all rows of that id away.
+    Rows are told apart by a hash of their text, whatever their ids in ``doc_id``.
     """
-    bad = benchmark_hits(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    rows = docs.withColumn("_text_key", F.xxhash64(text))
+    bad = benchmark_hits(rows, benchmark, "_text_key", text, **options).select(F.col("doc_id").alias("_bad")).distinct()
     bad = stored(bad, "contaminated")  # so that the planner sends a small table to all
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
+    return rows.join(bad, rows["_text_key"] == bad["_bad"], "left_anti").drop("_text_key")
