@@ -97,6 +97,12 @@ def test_license_brute(docs):
     assert got == want
 
 
+def test_license_in_long_lines(spark):
+    rows = [(1, "Released under the MIT License. " * 200), (2, "=" * 5000 + " Licensed under CC BY 4.0. " + "=" * 5000)]
+    got = license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license, round(r.dice, 2)) for r in got} == {(1, "MIT", 0.89), (2, "CC-BY-4.0", 1.0)}
+
+
 def test_warc(spark, tmp_path, sf):
     trap = "head WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ntail"
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, "u\r\n3", None), (4, None, ""), (5, "u", trap), (6, "u", trap * 2), (7, "u", trap), (None, "n", "same"), (8, "é", "é" * 1000)]

@@ -18,7 +18,7 @@ from trustloom.llm.common import held, tail
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
-#: Longer segments are beyond any template's size bound and not split into words.
+#: Longest segment that the SQL of op2 compares; the operator has no such cap.
 MAX_CHARS = 4000
 
 #: Notices by which texts name their licence.
@@ -73,7 +73,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n", -1)
     whole = F.when(F.size(lines) > 1, F.array(t)).otherwise(F.array().cast("array<string>"))
-    near = F.filter(F.concat(lines, whole), lambda s: F.length(s).between(3, MAX_CHARS))
+    near = F.filter(F.concat(lines, whole), lambda s: F.length(s) >= 3)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_row"), F.explode(near).alias("_segment"))
     rows = held(rows, _words=F.transform(F.filter(F.split(F.lower("_segment"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
     pairs = F.slice(F.zip_with("_words", tail(F.col("_words"), 1), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size("_words") - 1, F.lit(0)))
