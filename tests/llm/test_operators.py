@@ -103,6 +103,17 @@ def test_license_in_long_lines(spark):
     assert {(r.doc_id, r.license, round(r.dice, 2)) for r in got} == {(1, "MIT", 0.89), (2, "CC-BY-4.0", 1.0)}
 
 
+def test_license_wrapped_texts(spark):
+    import textwrap
+
+    wrap = lambda *parts, sign="": "\n".join(f"{sign}{line}" for p in parts for line in [*textwrap.wrap(p, 70), ""])
+    grant, header = license.TEMPLATES["MIT"][4:7], license.TEMPLATES["GPL-3.0"][2]
+    bsd = license.TEMPLATES["BSD-3-Clause"][1:6]
+    rows = [(1, wrap("MIT License", "Copyright (c) 2020 A. Body", *grant)), (2, grant[0]), (3, "code\n#\n" + wrap(header, sign="# ") + "\nmore code"), (4, wrap("Copyright 2020 A. Body", *bsd)), (5, wrap("Any prose. " * 30))]
+    got = {(r.doc_id, r.license) for r in license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "MIT"), (2, "MIT"), (3, "GPL-3.0"), (4, "BSD-3-Clause")} <= got and not any(d == 5 for d, _ in got), got
+
+
 def test_warc(spark, tmp_path, sf):
     trap = "head WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ntail"
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, "u\r\n3", None), (4, None, ""), (5, "u", trap), (6, "u", trap * 2), (7, "u", trap), (None, "n", "same"), (8, "é", "é" * 1000)]
