@@ -3,7 +3,8 @@
 The tree's root holds the least (rank, place) of all adjacent pairs, that is
 the leftmost of the lowest-ranked merges. A merge changes at most three leaves,
 each in logarithmic time, so a word of n symbols costs n log n however long it
-is. Words are memoised in a bounded table of the worker process.
+is. Words, and the pieces between blanks that hold them, are memoised in bounded
+tables of the worker process.
 """
 
 from __future__ import annotations
@@ -20,11 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustloom.llm.common import SEPARATORS, Memo
+
 NONE = 1 << 62
-#: Memoised words in a worker; a full table is emptied.
-MEMO = 400_000
-#: Longer ones aren't memoised.
-MEMO_CHARS = 64
 
 
 class PairTree:
@@ -118,7 +117,8 @@ class WordBpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.inner = [self.vocab.get(c) for c in byte_symbols()]
         self.last = [self.vocab.get(c + self.suffix) for c in byte_symbols()]
-        self.memo: dict[str, tuple[bytes, int, str]] = {}
+        self.words = Memo(lambda w: array("I", self.word_ids(w)).tobytes())
+        self.pieces = Memo(lambda p: b"".join([self.words[w] for w in self.cut(p)]))
 
     def normalised(self, text: str) -> str:
         """NFC and the lower case of each character alone; white space is no part of any word."""
@@ -126,6 +126,14 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
+    def cut(self, piece: str):
+        """The words of a piece without white space; letters alone, or with a mark behind, need no pattern."""
+        if piece.isalpha():
+            return (piece,)
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return piece[:-1], piece[-1]
+        return self.word.findall(piece)
+
     def _bytes(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
         ids = [self.inner[b] for b in raw]
@@ -135,34 +143,25 @@ class WordBpe:
     def word_ids(self, word: str) -> list[int]:
         return merged(self._bytes(word), self.ranks)
 
-    def entry(self, word: str) -> tuple[bytes, int, str]:
-        """Of a word: its ids as bytes, their number, and the decoded tokens, each after a space."""
-        ids = self.word_ids(word)
-        found = (array("I", ids).tobytes(), len(ids), "".join([" " + self.tokens[i] for i in ids]))
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
-
-    def parts(self, text: str) -> list[tuple[bytes, int, str]]:
-        get, out = self.memo.get, []
-        pieces = self.at_special.split(text) if "<|" in text else [text]
-        for k, piece in enumerate(pieces):
-            if k % 2:
-                i = self.special[piece]
-                out.append((array("I", [i]).tobytes(), 1, " " + piece))
-            elif piece:
-                out += [get(w) or self.entry(w) for w in self.word.findall(self.normalised(piece))]
-        return out
-
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit integers in little-endian order."""
-        return b"".join([p[0] for p in self.parts(text)])
+        if "<|" not in text:
+            return self._plain(text)
+        out = []
+        for k, part in enumerate(self.at_special.split(text)):
+            out.append(array("I", [self.special[part]]).tobytes() if k % 2 else self._plain(part))
+        return b"".join(out)
 
-    def decode(self, ids) -> str:
-        """All tokens, special ones too, joined by spaces: the file names no decoder."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+    def _plain(self, text: str) -> bytes:
+        """Of a text without special tokens. No word holds white space: pieces between it are looked up whole."""
+        text = self.normalised(text)
+        if any(c in text for c in SEPARATORS):
+            return b"".join([self.words[w] for w in self.word.findall(text)])
+        return b"".join(map(self.pieces.__getitem__, text.split()))
+
+    def decode(self, ids: bytes) -> str:
+        """All tokens of :meth:`encode`'s ids, special ones too, joined by spaces: the file names no decoder."""
+        return " ".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
 @lru_cache(maxsize=2)
@@ -187,17 +186,11 @@ def bpe_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path or default_path())
-        for batch in batches:
-            ids, decoded = [], []
-            for x in batch.column(1).to_pylist():
-                parts = t.parts(x or "")
-                ids.append(b"".join([p[0] for p in parts]))
-                decoded.append("".join([p[2] for p in parts])[1:])
-                if len(ids) == 256:
-                    yield pa.record_batch([batch.column(0).slice(0, len(ids)), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-                    batch, ids, decoded = batch.slice(len(ids)), [], []
-            if ids:
-                yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                ids = [t.encode(x or "") for x in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(t.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
@@ -206,8 +199,9 @@ def bpe_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", te
 def bpe_round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens (long), ids_sha256, decoded_sha256: digests of what :func:`bpe_ids` gives.
 
-    The decoded text is made from the ids alone. Digests are taken where the
-    rows are, so texts aren't sent back to the JVM.
+    The ids are encoded from the text, and the text is decoded from the array of
+    ids alone. Digests are taken where the rows are, so texts aren't sent back to
+    the JVM. Nulls, empties and repeats as in :func:`bpe_ids`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +210,10 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
         for batch in batches:
             n, a, b = [], [], []
             for x in batch.column(1).to_pylist():
-                parts = t.parts(x or "")
-                ids = b"".join([p[0] for p in parts])
+                ids = t.encode(x or "")
                 n.append(len(ids) // 4)
                 a.append(sha(ids).hexdigest())
-                b.append(sha("".join([p[2] for p in parts])[1:].encode()).hexdigest())
+                b.append(sha(t.decode(ids).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,16 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the one in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a notebook) a local temporary
-    folder is made and set for the session.
+    Only where the setting is absent and the master is local (tests, a notebook)
+    a local temporary folder is made and set for the session; on a cluster
+    without the setting this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trustloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/trustloom-{uuid.uuid4().hex}"
@@ -69,3 +73,31 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     out = df.select(*kept, F.explode(F.array(row)).alias("_held"))
     return out.select(*kept, *[F.col(f"_held.{name}").alias(name) for name in columns])
+
+
+#: Python's split() also cuts at these four, which are no white space in Unicode.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+class Memo(dict):
+    """Memo of a function of strings with bounded memory, for use within a worker process.
+
+    Two generations of at most ``size`` entries each: a full one becomes the old
+    one, of which what is asked for again comes back. Strings over ``longest``
+    characters aren't kept.
+    """
+
+    def __init__(self, of: Callable, size: int = 400_000, longest: int = 64) -> None:
+        super().__init__()
+        self.of, self.size, self.longest, self.old = of, size, longest, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.of(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
