@@ -2,8 +2,9 @@
 
 One frequency table, counted over the whole corpus, is shared by all blocks. A
 block is coded by ``LANES`` interleaved coders in numpy, stands alone, and keeps
-the coders' states and stream position every ``CHECKPOINT`` rounds, so that a
-block's stretches can be decoded apart. Each block has a CRC-32 of its ids.
+the coders' states and stream position every ``CHECKPOINT`` rounds: the
+stretches between checkpoints are decoded side by side, or one without the
+others. Each block has a CRC-32 of its ids.
 
 File format: Parquet rows, one a block, sorted by the documents' order. Columns:
 part, block (its place), before (ids of the part before it), n_ids, doc_id and
@@ -16,6 +17,7 @@ of ids and of words (u4), the lanes (u4), LANES states (u8), then checkpoints
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,17 +27,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import shared_dir
+from trustloom.llm.bpe import byte_symbols, default_path, tokenizer
+from trustloom.llm.common import SEPARATORS, Memo, shared_dir
 
 #: Bits of the shared table's total.
 BITS = 20
 LANES = 1024
 #: Rounds (of LANES ids) between checkpoints.
-CHECKPOINT = 256
+CHECKPOINT = 128
 #: Ids of a block, about: it is closed after the document that reaches it.
 BLOCK_IDS = 1 << 19
 LOW = np.uint64(1 << 31)
 END_ID = 2
+#: Ids that the vocabulary file can give, special tokens included.
+SYMBOLS = 49408
 
 
 def shared_table(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -89,39 +94,50 @@ class Coder:
         return head + b"".join(body) + stream.tobytes()
 
     def decode(self, data: bytes, first_mark: int = 0, last_mark: int | None = None) -> np.ndarray:
-        """All ids, or those between two checkpoints: mark 0 is the start, mark k the k-th checkpoint."""
+        """All ids, or those between two checkpoints: mark 0 is the start, mark k the k-th checkpoint.
+
+        The stretches between checkpoints are rows of one array: a round of all
+        of them is decoded at once.
+        """
         if data[:4] != b"RAN1":
             raise ValueError("not a block")
         n, count, lanes = np.frombuffer(data, "<u4", 3, 4).tolist()
         at = 16
-        marks = [(0, 0, np.frombuffer(data, "<u8", lanes, at))]
+        states, words = [np.frombuffer(data, "<u8", lanes, at)], [0]
         at += 8 * lanes
         k = int(np.frombuffer(data, "<u4", 1, at)[0])
         at += 4
         for _ in range(k):
-            r, word = np.frombuffer(data, "<u4", 2, at).tolist()
-            marks.append((r, word, np.frombuffer(data, "<u8", lanes, at + 8)))
+            words.append(int(np.frombuffer(data, "<u4", 2, at)[1]))
+            states.append(np.frombuffer(data, "<u8", lanes, at + 8))
             at += 8 + 8 * lanes
         stream = np.frombuffer(data, "<u4", count, at)
-        rounds = -(-n // lanes)
-        begin, word, state = marks[first_mark]
-        end = rounds if last_mark is None or last_mark >= len(marks) else marks[last_mark][0]
-        x = state.astype(np.uint64)
-        out = np.zeros((end - begin, lanes), np.uint32)
-        for r in range(begin, end):
-            live = min(lanes, n - r * lanes)
-            y = x[:live]
+        rounds, last_mark = -(-n // lanes), k + 1 if last_mark is None else min(last_mark, k + 1)
+        ends_block = last_mark == k + 1
+        x = np.array(states[first_mark:last_mark], np.uint64)
+        word = np.array(words[first_mark:last_mark], np.int64)
+        if not len(x) or not rounds:
+            return np.empty(0, np.uint32)
+        # All stretches have CHECKPOINT rounds, but for the block's last.
+        tail = rounds - k * CHECKPOINT if ends_block else CHECKPOINT
+        depth = CHECKPOINT if len(x) > 1 else tail
+        out = np.zeros((len(x), depth, lanes), np.uint32)
+        for r in range(depth):
+            rows = len(x) if r < tail else len(x) - 1
+            y = x[:rows]
             slot = y & self.mask
             s = self.symbol[slot]
-            out[r - begin, :live] = s
+            out[:rows, r] = s
             y = self.f[s] * (y >> self.bits) + slot - self.c[s]
             low = y < LOW
-            m = int(np.count_nonzero(low))
-            if m:
-                y[low] = y[low] << np.uint64(32) | stream[word : word + m]
-                word += m
-            x[:live] = y
-        return out.reshape(-1)[: n - begin * lanes if end == rounds else None]
+            if ends_block and r == tail - 1:
+                low[-1, n - (rounds - 1) * lanes :] = False  # lanes without an id in the last round
+            if low.any():
+                taken = np.cumsum(low, axis=1)
+                y[low] = y[low] << np.uint64(32) | stream[(word[:rows, None] + taken - 1)[low]]
+                word[:rows] += taken[:, -1]
+            x[:rows] = y
+        return out.reshape(-1)[: n - first_mark * CHECKPOINT * lanes if ends_block else None]
 
 
 @lru_cache(maxsize=1)
@@ -129,24 +145,29 @@ def _coder(data: bytes) -> Coder:
     return Coder(np.frombuffer(data, np.int64))
 
 
+def id_kind(symbols: int) -> str:
+    """Ids between tokeniser and files: 16 bits where all symbols fit, else 32."""
+    return "<u2" if symbols <= 1 << 16 else "<u4"
+
+
 def write_blocks(ids: DataFrame, path: str, symbols: int, block_ids: int = BLOCK_IDS, partitions: int | None = None) -> None:
-    """Write ``ids`` (doc_id, ids: binary of unsigned 16-bit ids) in ascending doc_id order below ``path``.
+    """Write ``ids`` (doc_id, ids: binary of :func:`id_kind`) in ascending doc_id order below ``path``.
 
-    Null ids sort first. Two passes: one counts all ids, one deals documents out
-    by ranges of doc_id and codes them; a part's rows stay in order.
+    Null ids sort first; rows of one doc_id follow the CRC-32 of their ids, so
+    that their order is fixed and a doc_id that very many rows share is dealt to
+    many tasks. Two passes: one counts all ids, one deals documents out by
+    ranges and codes them; a part's rows stay in order.
     """
     spark = ids.sparkSession
+    kind_of_id = id_kind(symbols)
     stage = f"{path}/ids"
-    ids.select("doc_id", "ids").write.option("compression", "zstd").parquet(stage)
+    ids.select("doc_id", "ids", F.crc32("ids").alias("crc")).write.option("compression", "zstd").parquet(stage)
     kept = spark.read.parquet(stage)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(symbols, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=symbols) if len(x) > 2 * symbols else 0
-                if len(x) <= 2 * symbols:
-                    np.add.at(total, np.frombuffer(x, "<u2"), 1)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind_of_id), minlength=symbols)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -162,18 +183,18 @@ def write_blocks(ids: DataFrame, path: str, symbols: int, block_ids: int = BLOCK
         block, docs, lens, parts, size, before = 0, [], [], [], 0, 0
 
         def close():
-            raw = np.frombuffer(b"".join(parts), "<u2").astype("<u4")
+            raw = np.frombuffer(b"".join(parts), kind_of_id).astype("<u4")
             rows = [[part], [block], [before], [len(raw)], [docs], [lens], [zlib.crc32(raw.tobytes())], [coder.encode(raw)]]
             return pa.record_batch([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.int64(), pa.binary()))], ["part", "block", "before", "n_ids", "doc_id", "n_tokens", "crc32", "payload"])
 
-        kind = None
+        kind, width = None, np.dtype(kind_of_id).itemsize
         for batch in batches:
             kind = batch.schema.field(0).type
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs.append(d)
-                lens.append(len(x) // 2)
+                lens.append(len(x) // width)
                 parts.append(x)
-                size += len(x) // 2
+                size += lens[-1]
                 if size >= block_ids:
                     yield close()
                     block, docs, lens, parts, size, before = block + 1, [], [], [], 0, before + size
@@ -182,7 +203,7 @@ def write_blocks(ids: DataFrame, path: str, symbols: int, block_ids: int = BLOCK
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc_kind = ids.schema["doc_id"].dataType.simpleString()
-    blocks = kept.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(code, f"part int, block int, before long, n_ids long, doc_id array<{doc_kind}>, n_tokens array<int>, crc32 long, payload binary")
+    blocks = kept.repartitionByRange(n, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "ids").select("doc_id", "ids").mapInArrow(code, f"part int, block int, before long, n_ids long, doc_id array<{doc_kind}>, n_tokens array<int>, crc32 long, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     _remove(spark, stage)
 
@@ -194,7 +215,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens (long), ids_crc32 (long), ids (binary, unsigned 16-bit) of each document, from the files.
+    """doc_id, start, n_tokens (long), ids_crc32 (long), ids (binary, unsigned 32-bit) of each document, from the files.
 
     ``start`` counts the ids of all documents before it: sums over the parts go
     through the driver (one number a part); blocks know the ids of their part
@@ -227,7 +248,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                         pa.array(start + ends - lens, pa.int64()),
                         pa.array(lens, pa.int64()),
                         pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in cut], pa.int64()),
-                        pa.array([c.astype("<u2").tobytes() for c in cut], pa.binary()),
+                        pa.array([c.astype("<u4").tobytes() for c in cut], pa.binary()),
                     ],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
@@ -236,51 +257,65 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def token_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (binary, unsigned 16-bit little-endian) with ``end_id`` after each document.
+class Encoder:
+    """Ids of whole texts by the tokenizers library's model, as bytes.
 
-    Encoded by the tokenizers library, one word at a time: the worker memoises
-    words, so the library sees each distinct one once. Null texts count as empty.
+    Pieces between blanks and words are looked up in bounded tables, so the
+    library's merges run for words that a worker hasn't met of late.
     """
-    from trustloom.llm.bpe import MEMO, MEMO_CHARS, default_path, tokenizer
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
-        file = path or default_path()
-        rules, library = tokenizer(file), Tokenizer.from_file(file)
-        library.no_truncation()
-        library.no_padding()
-        memo: dict[str, bytes] = {}
-        end = np.array([end_id], "<u2").tobytes()
-
-        def of(word: str) -> bytes:
-            found = memo.get(word)
-            if found is None:
-                found = np.array(library.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-                if len(word) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = found
-            return found
+        self.rules, self.library, self.kind = tokenizer(path), Tokenizer.from_file(path), kind
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model, self.code = self.library.model, np.dtype(kind).char
+        self.bytes = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
+        self.words = Memo(self.word)
+        self.pieces = Memo(lambda p: b"".join([self.words[w] for w in self.rules.cut(p)]))
+
+    def word(self, w: str) -> bytes:
+        symbols = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.bytes)
+        return array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text:  # perhaps special tokens
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        text = self.rules.normalised(text)
+        if any(c in text for c in SEPARATORS):
+            return b"".join([self.words[w] for w in self.rules.word.findall(text)])
+        return b"".join(map(self.pieces.__getitem__, text.split()))
 
+
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str) -> Encoder:
+    return Encoder(path, kind)
+
+
+def token_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, symbols: int = SYMBOLS) -> DataFrame:
+    """doc_id, ids (binary of :func:`id_kind`) with ``end_id`` after each document; null texts count as empty."""
+    kind_of_id = id_kind(symbols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(path or default_path(), kind_of_id).encode, np.array([end_id], kind_of_id).tobytes()
         for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
-                x = x or ""
-                if "<|" in x:
-                    ids = np.array(library.encode(x, add_special_tokens=False).ids, "<u2").tobytes()
-                else:
-                    ids = b"".join(map(of, rules.word.findall(rules.normalised(x))))
-                out.append(ids + end)
+            out = [encode(x or "") + end for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
-def token_files(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", out: str | None = None, end_id: int = END_ID, symbols: int = 49408) -> DataFrame:
-    """Tokenise, write the files below ``out`` (a fresh shared folder by default) and read them back."""
+def token_files(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", out: str | None = None, end_id: int = END_ID, symbols: int = SYMBOLS) -> DataFrame:
+    """Tokenise, write the files below ``out`` (a fresh shared folder by default) and read them back.
+
+    A row per input row, as :func:`read_blocks` gives it. Null and empty texts
+    are the end id alone; texts of any length stay whole, in one block. Null
+    doc_ids come first; rows of one doc_id, repeats too, follow one another by
+    the CRC-32 of their ids. Extra columns, whatever their names, are ignored;
+    an empty table gives no rows.
+    """
     out = out or f"{shared_dir(docs.sparkSession)}/tokens"
-    write_blocks(token_ids(docs, path, doc_id, text, end_id), out, symbols)
+    write_blocks(token_ids(docs, path, doc_id, text, end_id, symbols), out, symbols)
     return read_blocks(docs.sparkSession, out)
