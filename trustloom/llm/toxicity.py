@@ -2,174 +2,242 @@
 
 A word's vector is the mean over its own bucket and those of its character
 n-grams, so that unseen misspellings share vectors with the words they come
-from. Chunks of a few words are averaged and go through a linear softmax; a
-document's score is that of its most toxic chunk, since a long text with one
-insult is as toxic as a short one. Embeddings and softmax are trained jointly,
-in numpy, with the document's likeliest chunk standing for a toxic document.
+from. The vectors of neighbouring words are averaged, over every run of WINDOW
+words, and go through a linear softmax; a document's score is that of its most
+toxic run, since a long text with one insult is as toxic as a short one. Runs
+begin at every word: words put before a passage don't change its score.
+Embeddings and softmax are trained jointly, in numpy; the score's cut is then
+set on rows of the training sample that the embeddings weren't fitted to.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from trustloom.llm.common import Memo
 
 BUCKETS = 1 << 15
 DIM = 8
-CHUNK = 4
+#: Words whose vectors are averaged.
+WINDOW = 4
 NGRAMS = (3, 4, 5)
-EPOCHS = 36
+#: Steps on whole documents' averages, then rounds of steps on the runs that count.
+WARM_UP = 10
+ROUNDS = 8
+STEPS = 6
+#: Runs of a clean document that a round learns from: the likeliest ones, and as many at random.
+HARD = 3
 #: Words in fewer training texts share one vector, zero: rare words would only be learnt by heart.
-MIN_TEXTS = 4
+MIN_TEXTS = 3
+RATE = 0.1
 #: Share of the weights that a step at full rate takes away.
-DECAY = 0.3
-#: The labelled rows learnt from: at most so many of each label, of at most MAX_CHARS characters.
+DECAY = 0.02
+#: The labelled rows learnt from: at most so many of each label.
 PER_LABEL = (1500, 1000)
-MAX_CHARS = 40_000
-MEMO = 500_000
+#: One row in so many of the sample sets the cut instead of the embeddings.
+CUT_ROWS = 5
 _WORD = regex.compile(r"\p{L}+")
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
+def subwords(word: str, buckets: int = BUCKETS) -> set[int]:
     """Buckets of a word and of its character n-grams, edges marked."""
-    w = f"<{word}>"
-    out = {crc32(w.encode()) % buckets}
+    w = f"<{word}>".encode("utf-32-le")  # four bytes a character
+    out = {crc32(w) % buckets}
     for n in NGRAMS:
-        out.update(crc32(w[i : i + n].encode()) % buckets for i in range(len(w) - n + 1))
-    return sorted(out)
+        out.update([crc32(w[i : i + 4 * n]) % buckets for i in range(0, len(w) - 4 * n + 1, 4)])
+    return out
 
 
 def words(text: str) -> list[str]:
+    """Runs of letters in lower case."""
     return _WORD.findall(text.lower())
 
 
+def best_run(margins: np.ndarray) -> float:
+    """The greatest mean over WINDOW neighbours; a shorter text counts as filled up with zeros."""
+    if len(margins) <= WINDOW:
+        return float(margins.sum()) / WINDOW
+    sums = np.cumsum(np.concatenate([[0.0], margins]))
+    return float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW
+
+
 @dataclass
 class Model:
     margin: np.ndarray  #: of each bucket: its vector times the difference of the softmax's two columns
     bias: float
+    slope: float = 1.0
 
     def word_margin(self, word: str) -> float:
-        return float(self.margin[subwords(word)].mean())
+        own = subwords(word)
+        return sum(map(self.of.__getitem__, own)) / len(own)
+
+    @cached_property
+    def of(self) -> list[float]:
+        return self.margin.tolist()
+
+    def raw_scorer(self):
+        """text -> margin of its most toxic run, with a bounded memo of the pieces between blanks."""
+        memo = Memo(lambda piece: array("d", [self.word_margin(w) for w in words(piece)]).tobytes())
+        return lambda text: best_run(np.frombuffer(b"".join(map(memo.__getitem__, text.split())), np.float64))
 
     def scorer(self):
-        """text -> probability, with a bounded memo of words."""
-        memo: dict[str, float] = {}
-        bias = self.bias
-
-        def score(text: str) -> float:
-            w = words(text)
-            vals = []
-            for x in w:
-                m = memo.get(x)
-                if m is None:
-                    m = self.word_margin(x)
-                    if len(x) <= 64:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[x] = m
-                vals.append(m)
-            if not vals:
-                z = bias
-            else:
-                v = np.array(vals)
-                at = np.arange(0, len(v), CHUNK)
-                # A short last chunk counts as a full one, so that one word isn't a chunk by itself.
-                z = float((np.add.reduceat(v, at) / CHUNK).max()) + bias
-            return 1.0 / (1.0 + float(np.exp(-min(60.0, max(-60.0, z)))))
+        """text -> probability."""
+        raw = self.raw_scorer()
+        return lambda text: 1.0 / (1.0 + float(np.exp(-np.clip(self.slope * raw(text) + self.bias, -60.0, 60.0))))
 
-        return score
 
+def _sorted_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts ``keys``, the keys that occur, and where they begin in that order."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    begin = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] - 1))
+    return order, ordered[begin], begin
 
-def _grouped(order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that occur in sorted ``order`` and where they begin."""
-    begin = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.empty(0, np.int64)
-    return order[begin], begin
 
+class _Net:
+    """Embeddings and softmax with Adam's state, over a fixed vocabulary."""
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, seed: int = 0, rate: float = 0.1, warm_up: int = 20) -> Model:
-    """Fit by full-batch Adam. Without both labels the score is the share of toxic rows."""
-    y_doc = np.array(labels, np.int64)
-    share = float(np.clip(y_doc.mean() if len(y_doc) else 0.0, 0.01, 0.99))
-    if len(set(labels)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    vocab: dict[str, int] = {}
-    word, chunk, doc_of_chunk, c = [], [], [], 0
-    for d, t in enumerate(texts):
-        w = words(t) or [""]
-        for k in range(0, len(w), CHUNK):
-            part = w[k : k + CHUNK]
-            word += [vocab.setdefault(x, len(vocab)) for x in part]
-            chunk += [c] * len(part)
-            doc_of_chunk.append(d)
-            c += 1
-    word, chunk, doc_of_chunk = np.array(word), np.array(chunk), np.array(doc_of_chunk)
-    in_texts = np.bincount(np.unique(word * np.int64(len(texts)) + doc_of_chunk[chunk]) // len(texts), minlength=len(vocab))
-    names = ["", *[x for x, n in zip(vocab, in_texts) if n >= MIN_TEXTS]]
-    number = {x: k for k, x in enumerate(names)}
-    word = np.array([number.get(x, 0) for x in vocab])[word]
-    vocab = names
-    sub = [[BUCKETS], *[subwords(x) for x in names[1:]]]  # the last bucket is the rare words' and stays zero
-    sub_n = np.array([len(s) for s in sub])
-    sub_of = np.concatenate([np.array(s) for s in sub])
-    word_of_sub = np.repeat(np.arange(len(sub)), sub_n)
-    back = np.argsort(sub_of, kind="stable")
-    keys, begin = _grouped(sub_of[back], BUCKETS)
-    by_word = np.argsort(word, kind="stable")
-    wkeys, wbegin = _grouped(word[by_word], len(vocab))
-    rng = np.random.default_rng(seed)
-    emb = (rng.standard_normal((BUCKETS + 1, dim)) * 0.1).astype(np.float32)
-    emb[BUCKETS] = 0
-    out = (rng.standard_normal((dim, 2)) * 0.1).astype(np.float32)
-    bias = np.array([0.0, -2.0], np.float32)
-    chunk_start = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
-    doc_start = np.flatnonzero(np.concatenate([[True], doc_of_chunk[1:] != doc_of_chunk[:-1]]))
-    sub_start = np.concatenate([[0], np.cumsum(sub_n)[:-1]])
-    chunks_of = np.diff(np.append(doc_start, len(doc_of_chunk)))
-    toxic_chunk = y_doc[doc_of_chunk] == 1
-    params, m, v = [emb, out, bias], None, None
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    n_pos, n_neg = max(1, int(y_doc.sum())), max(1, int((y_doc == 0).sum()))
-    for epoch in range(1, epochs + 1):
-        wv = np.add.reduceat(emb[sub_of], sub_start, axis=0) / sub_n[:, None]
-        cv = np.add.reduceat(wv[word], chunk_start, axis=0) / CHUNK
-        z = cv @ out + bias
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
+    def __init__(self, names: list[str], dim: int, seed: int, steps: int) -> None:
+        rng = np.random.default_rng(seed)
+        sub = [[BUCKETS], *[sorted(subwords(x)) for x in names[1:]]]  # the last bucket is the rare words' and stays zero
+        self.sub_n = np.array([len(s) for s in sub])
+        self.sub_of = np.concatenate([np.array(s) for s in sub])
+        self.sub_start = np.concatenate([[0], np.cumsum(self.sub_n)[:-1]])
+        self.word_of_sub = np.repeat(np.arange(len(sub)), self.sub_n)
+        self.back, self.keys, self.begin = _sorted_groups(self.sub_of)
+        emb = (rng.standard_normal((BUCKETS + 1, dim)) * 0.1).astype(np.float32)
+        emb[BUCKETS] = 0
+        self.params = [emb, (rng.standard_normal((dim, 2)) * 0.1).astype(np.float32), np.zeros(2, np.float32)]
+        self.m, self.v = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+        self.at, self.steps = 0, steps
+
+    def word_vectors(self) -> np.ndarray:
+        return np.add.reduceat(self.params[0][self.sub_of], self.sub_start, axis=0) / self.sub_n[:, None].astype(np.float32)
+
+    def step(self, word: np.ndarray, share: np.ndarray, unit: np.ndarray, y: np.ndarray) -> None:
+        """One step on units (averages): ``word`` enters its ``unit`` with weight ``share``; labels weigh alike."""
+        emb, out, bias = self.params
+        start = np.flatnonzero(np.diff(unit, prepend=-1))
+        vectors = np.add.reduceat(self.word_vectors()[word] * share[:, None], start, axis=0)
+        z = vectors @ out + bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        # Clean documents: all their chunks are clean, and the likeliest counts as much as the rest together.
-        # Toxic ones: at first all chunks share the label, later the likeliest alone bears it.
-        top = np.maximum.reduceat(p[:, 1], doc_start)
-        best = p[:, 1] == top[doc_of_chunk]
-        share_of = 1.0 / chunks_of[doc_of_chunk]
-        toxic_weight = share_of if epoch <= warm_up else best.astype(np.float64)
-        weight = np.where(toxic_chunk, 0.5 * toxic_weight / n_pos, (0.5 * share_of + 0.5 * best) / n_neg).astype(np.float32)
         g = p.copy()
-        g[np.arange(len(g)), toxic_chunk.astype(int)] -= 1
-        g *= weight[:, None]
-        d_out, d_bias, d_cv = cv.T @ g, g.sum(axis=0), g @ out.T / CHUNK
-        d_word = np.zeros((len(vocab), dim), np.float32)
-        d_word[wkeys] = np.add.reduceat(d_cv[chunk][by_word], wbegin, axis=0)
-        d_sub = (d_word / sub_n[:, None])[word_of_sub][back]
+        g[np.arange(len(g)), y] -= 1
+        g *= np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)[:, None]
+        d_unit = g @ out.T
+        order, keys, begin = _sorted_groups(word)
+        d_word = np.zeros((len(self.sub_n), emb.shape[1]), np.float32)
+        d_word[keys] = np.add.reduceat((d_unit[unit] * share[:, None])[order], begin, axis=0)
         d_emb = np.zeros_like(emb)
-        d_emb[keys] = np.add.reduceat(d_sub, begin, axis=0)
+        d_emb[self.keys] = np.add.reduceat((d_word / self.sub_n[:, None].astype(np.float32))[self.word_of_sub][self.back], self.begin, axis=0)
         d_emb[BUCKETS] = 0
-        for k, (q, grad) in enumerate(zip(params, (d_emb, d_out, d_bias))):
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            v[k] = 0.99 * v[k] + 0.01 * grad * grad
-            step = rate * (1 - epoch / (epochs + 1))
+        self.at += 1
+        rate = RATE * (1 - self.at / (self.steps + 1))
+        for k, (q, grad) in enumerate(zip(self.params, (d_emb, vectors.T @ g, g.sum(axis=0)))):
+            self.m[k] = 0.9 * self.m[k] + 0.1 * grad
+            self.v[k] = 0.99 * self.v[k] + 0.01 * grad * grad
             if k < 2:
-                q -= step * DECAY * q
-            q -= step * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.99**epoch)) + 1e-7)
-    return Model((emb[:BUCKETS] @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+                q -= rate * DECAY * q
+            q -= rate * (self.m[k] / (1 - 0.9**self.at)) / (np.sqrt(self.v[k] / (1 - 0.99**self.at)) + 1e-7)
 
 
-def held_out(doc_id) -> F.Column:
+def _fit(texts: list[str], y: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """The margin of every bucket."""
+    vocab: dict[str, int] = {}
+    lists = [np.array([vocab.setdefault(x, len(vocab)) for x in words(t)], np.int64) for t in texts]
+    in_texts = np.bincount(np.concatenate([np.unique(w) for w in lists]), minlength=len(vocab)) if vocab else np.empty(0)
+    names = ["", *[x for x, n in zip(vocab, in_texts) if n >= MIN_TEXTS]]
+    number = {x: k for k, x in enumerate(names)}
+    known = np.array([number.get(x, 0) for x in vocab], np.int64)
+    lists = [known[w] for w in lists]
+    net = _Net(names, dim, seed, WARM_UP + ROUNDS * STEPS)
+    # Whole documents: each distinct word with its share.
+    docs = [np.unique(w, return_counts=True) if len(w) else (np.zeros(1, np.int64), np.ones(1)) for w in lists]
+    word, share = np.concatenate([w for w, _ in docs]), np.concatenate([n / n.sum() for _, n in docs]).astype(np.float32)
+    unit = np.repeat(np.arange(len(docs)), [len(w) for w, _ in docs])
+    for _ in range(WARM_UP):
+        net.step(word, share, unit, y)
+    # Runs: documents one after the other, with zeros between them and behind short ones.
+    gap = np.zeros(WINDOW, np.int64)
+    flat = np.concatenate([x for w in lists for x in (w, gap)])
+    begin = np.concatenate([[0], np.cumsum([len(w) + WINDOW for w in lists])])
+    size = np.array([max(1, len(w) - WINDOW + 1) for w in lists])
+    rng = np.random.default_rng(seed)
+    fixed = np.full(len(flat) - WINDOW + 1, -np.inf)
+    for a, n in zip(begin.tolist(), size.tolist()):
+        fixed[a : a + n] = 0
+    equal = np.full(WINDOW, 1 / WINDOW, np.float32)
+    for _ in range(ROUNDS):
+        m = (net.word_vectors() @ (net.params[1][:, 1] - net.params[1][:, 0]))[flat]
+        sums = np.cumsum(np.concatenate([[0.0], m]))
+        run = sums[WINDOW:] - sums[:-WINDOW] + fixed
+        start, label = [], []
+        for k, (a, n) in enumerate(zip(begin.tolist(), size.tolist())):
+            here = run[a : a + n]
+            if y[k]:
+                start.append(a + int(here.argmax()))
+                label.append(1)
+            else:
+                hard = np.argpartition(here, -HARD)[-HARD:] if n > HARD else np.arange(n)
+                start += [a + i for i in (*hard.tolist(), *rng.integers(0, n, HARD).tolist())]
+                label += [0] * (len(start) - len(label))
+        word = flat[np.array(start)[:, None] + np.arange(WINDOW)].reshape(-1)
+        unit, share = np.repeat(np.arange(len(start)), WINDOW), np.tile(equal, len(start))
+        for _ in range(STEPS):
+            net.step(word, share, unit, np.array(label))
+    return (net.params[0][:BUCKETS] @ (net.params[1][:, 1] - net.params[1][:, 0])).astype(np.float32)
+
+
+def _cut(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, bias) of a logistic of z, by Newton's method with smoothed targets."""
+    scale = float(z.std()) or 1.0
+    u = (z - z.mean()) / scale
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    weight = 1 / len(y)
+    w = np.array([1.0, 0.0])
+    X = np.stack([u, np.ones(len(u))], axis=1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
+        g = X.T @ (weight * (p - target)) + [1e-3 * w[0], 0]
+        h = X.T @ (X * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]) + np.diag([1e-3, 1e-9])
+        w = w - np.clip(np.linalg.solve(h, g), -1, 1)
+    slope = max(float(w[0]), 1e-3) / scale
+    return slope, float(w[1] - slope * z.mean())
+
+
+def train(texts: list[str], labels: list[int], dim: int = DIM, seed: int = 0) -> Model:
+    """Fit by full-batch Adam. Without both labels the score is the share of toxic rows."""
+    y = np.array(labels, np.int64)
+    share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
+    if len(set(labels)) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+    place = np.zeros(len(y), np.int64)
+    for k in (0, 1):
+        place[y == k] = np.arange((y == k).sum())
+    cut = place % CUT_ROWS == CUT_ROWS - 1
+    if len(set(y[cut])) < 2:  # fewer than CUT_ROWS rows of a label: all of them serve both ends
+        cut[:] = True
+    fit = ~cut if not cut.all() else cut
+    margin = _fit([t for t, k in zip(texts, fit) if k], y[fit], dim, seed)
+    raw = Model(margin, 0.0).raw_scorer()
+    slope, bias = _cut(np.array([raw(t) for t, k in zip(texts, cut) if k]), y[cut])
+    return Model(margin, bias, slope)
+
+
+def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from training: the CRC-32 of its id as text divides by 5."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
@@ -178,26 +246,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """Texts and labels of a bounded sample of the labelled rows that aren't held out.
 
     For each label the rows come first whose ids have the smallest hashes:
-    PER_LABEL of them at most, and whole texts of at most MAX_CHARS characters.
+    PER_LABEL of them at most, whole texts of any length. A document with several
+    labels is toxic if one says so; unlabelled ids and null texts don't teach.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     known = known.filter(~held_out(F.col("doc_id")))
-    texts, ys = [], []
-    rows = docs.filter(F.length(text) <= MAX_CHARS).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
-    for y in (0, 1):
-        # One side has at most PER_LABEL rows: small enough to send to all.
-        some = known.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL[y]).select("doc_id")
-        got = rows.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_t").limit(PER_LABEL[y]).collect()
-        texts += [r["_t"] for r in got]
-        ys += [y] * len(got)
-    return texts, ys
-
-
-def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with score (double, 0 to 1) and predicted (int).
-
-    Every whole text is read; null and empty texts get the score of no words.
-    The text alone is sent to Python, beside the columns that go through it.
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # At most PER_LABEL rows of each label: small enough to send to all.
+    some = known.filter("_y = 0").orderBy(*order).limit(PER_LABEL[0]).unionByName(known.filter("_y <> 0").orderBy(*order).limit(PER_LABEL[1]))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter("_t is not null")
+    got = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t")).collect()
+    got.sort(key=lambda r: (r["_y"] != 0, crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    return [r["_t"] for r in got], [int(r["_y"] != 0) for r in got]
+
+
+def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with score (double, 0 to 1) and predicted (int); input columns of these names are replaced.
+
+    Every whole text is read, however long; null and empty texts get the score
+    of no words. Repeated rows get equal scores, a row each, and an empty table
+    gives no rows. The text alone is looked at; the other columns pass through.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,8 +277,6 @@ def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             s = np.array([score(x or "") for x in batch.column(at).to_pylist()], np.float64)
             yield pa.record_batch([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-
     rows = docs.select(*names)
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return rows.mapInArrow(run, schema)
