@@ -76,18 +76,31 @@ def test_quality_line_frequency(spark, empty, odd):
     assert quality.quality_rules(empty).count() == 0 and quality.quality_rules(odd).count() == len(ODD)
 
 
+def test_quality_long_texts_and_copies(spark):
+    unlike = " ".join(f"{i:x}" for i in range(530_000))
+    rows = [(1, unlike, "h"), (2, unlike + " 0 1 2 x 0 1 2", "h"), (3, "a b " * 200_000, "h")]
+    got = {r.doc_id: r.n_repeat_words for r in quality.text_counts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: 0, 2: 9, 3: 400_000}
+    # Five rows of one id are one document, and five without an id are five.
+    rows = [(7, "a line of one document\nmore", "h")] * 5 + [(None, "a line of many\nmore than four", "h")] * 5
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=4).collect()
+    assert {(r.doc_id, r.n_words_removed) for r in got} == {(7, 0), (None, 7)} and len(got) == 10
+
+
 def test_license(spark, empty, odd):
     text = "Some prose.\nReleased under the MIT License.\nmore"
-    df = spark.createDataFrame([(1, text), (2, "unrelated words here"), (3, None), (4, "")], "doc_id long, text string")
+    inside = "A line that goes on. This work is licensed under a Creative Commons\nAttribution 4.0 International License. And on."
+    df = spark.createDataFrame([(1, text), (1, text), (2, "unrelated words here"), (3, None), (4, ""), (5, inside), (1, inside)], "doc_id long, text string")
     rows = license.license_scan(df).collect()
-    assert [(r.doc_id, r.license, r.dice, r.n_segments) for r in rows] == [(1, "MIT", 1.0, 1)]
+    assert sorted((r.doc_id, r.license, r.dice) for r in rows) == [(1, "CC-BY-4.0", 1.0), (1, "MIT", 1.0), (5, "CC-BY-4.0", 1.0)]
     assert license.license_scan(empty).count() == 0 and license.license_scan(odd).count() == 0
 
 
 def test_license_brute(docs):
     want = {}
     for r in docs.collect():
-        segments = set(r.text.split("\n")) | ({r.text} if "\n" in r.text else set())
+        paragraphs = {x for x in re.split(r"\n(?:[\W_]*\n)+", r.text) if "\n" in x}
+        segments = {x for x in {*r.text.split("\n"), *re.split(r"[.!?][\t\n\f\r ]+", r.text), *([r.text] if "\n" in r.text else []), *paragraphs} if len(x) >= 3}
         for name, texts in license.TEMPLATES.items():
             d = [max((2 * len(license.bigrams(s) & license.bigrams(t)) / max(1, len(license.bigrams(s)) + len(license.bigrams(t))) for t in texts)) for s in segments]
             n = sum(x >= license.THRESHOLD for x in d)
@@ -107,7 +120,7 @@ def test_license_wrapped_texts(spark):
     import textwrap
 
     wrap = lambda *parts, sign="": "\n".join(f"{sign}{line}" for p in parts for line in [*textwrap.wrap(p, 70), ""])
-    grant, header = license.TEMPLATES["MIT"][4:7], license.TEMPLATES["GPL-3.0"][2]
+    grant, header = license.TEMPLATES["MIT"][3:6], license.TEMPLATES["GPL-3.0"][2]
     bsd = license.TEMPLATES["BSD-3-Clause"][1:6]
     rows = [(1, wrap("MIT License", "Copyright (c) 2020 A. Body", *grant)), (2, grant[0]), (3, "code\n#\n" + wrap(header, sign="# ") + "\nmore code"), (4, wrap("Copyright 2020 A. Body", *bsd)), (5, wrap("Any prose. " * 30))]
     got = {(r.doc_id, r.license) for r in license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -137,6 +150,19 @@ def test_warc(spark, tmp_path, sf):
             assert r.refers_to == (None if first in (None, p.page_id) else first), p.page_id
             assert r.record_type == ("response" if r.refers_to is None else "revisit")
             assert bytes(r.payload) == (b"" if r.refers_to is not None else data)
+    # Many splits: records over several blocks, chains entered by doubling.
+    long = [(k, "u", (trap if k % 3 else "text ") * (1 + k * 37 % 90)) for k in range(120)] + [(500, "u", "x" * 50_000), (501, "u", trap * 3)]
+    df = spark.createDataFrame(long, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, f"file://{tmp_path}/many")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    try:
+        got = warc.read_warc(spark, f"file://{tmp_path}/many").collect()
+        assert sorted(r.page_id for r in got) == [k for k, _, _ in long] and all(r.sound for r in got)
+        text = {k: t for k, _, t in long}
+        assert all(bytes(r.payload).decode() == text[r.page_id] for r in got if r.refers_to is None) and any(r.refers_to for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(none, f"file://{tmp_path}/none")
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
@@ -162,10 +188,36 @@ def test_shards(spark, docs, odd, empty):
     hot = spark.range(6000).selectExpr("id as doc_id", "'one text' as text", "'en' as lang", "'s' as source")
     size = check_shards(kdshard.kd_shards(hot, shards=40).collect(), 40)
     assert max(size) - min(size) <= 24 * 3
+    same = spark.range(4000).selectExpr("1L as doc_id", "'one text' as text", "'en' as lang", "'s' as source")
+    size = check_shards(kdshard.kd_shards(same, shards=40).collect(), 40)
+    assert max(size) - min(size) <= 24 * 3
     assert len(kdshard.kd_shards(odd, shards=3).collect()) == len(ODD) and kdshard.kd_shards(empty).count() == 0
     assert {r.shard for r in kdshard.kd_shards(docs, target_bytes=50_000).collect()} == set(range(-(-sum(len(t.encode()) + 16 for t in text.values()) // 50_000)))
 
 
+def test_shards_are_a_kd_tree(spark):
+    """A small tree against one built with whole sorts."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(a), int(b), int(w)) for i, (a, b, w) in enumerate(zip(rng.permutation(500) * 7, rng.permutation(500) ** 2, rng.integers(1, 50, 500)))]
+    df = spark.createDataFrame(rows, "id long, a long, b long, size long").cache()
+    tree = kdshard.kd_tree(df, ["a", "b"], 6)
+    got = {r.id: r.s for r in df.select("id", kdshard._route(tree, lambda n: F.lit(n.first)).alias("s")).collect()}
+    whole = [max(r[d] for r in rows) - min(r[d] for r in rows) for d in (1, 2)]
+
+    def build(part, shards, first):
+        if shards == 1:
+            return {r[0]: first for r in part}
+        d = max((1, 2), key=lambda k: (max(r[k] for r in part) - min(r[k] for r in part)) / whole[k - 1])
+        part = sorted(part, key=lambda r: r[d])
+        aim, sofar, cut = sum(r[3] for r in part) * (shards // 2) / shards, 0, 0
+        while sofar + part[cut][3] <= aim:
+            sofar, cut = sofar + part[cut][3], cut + 1
+        cut += aim - sofar > part[cut][3] / 2
+        return build(part[:cut], shards // 2, first) | build(part[cut:], shards - shards // 2, first + shards // 2)
+
+    assert got == build(rows, 6, 0)
+
+
 TEXTS = ["", " ", "Hello, World! it's 2024 AND we'll see", "naïve ΑΣ ΣΑΣ İstanbul", "a<|endoftext|>b <|startoftext|>", "𝔘𝔫𝔦 ﬁ é \x85  x\x1c", "don'T 'S", "aaaaaaaaaabbbbbbbbbbaaaaaaaaaa" * 20, "日本語テキスト 12,345.67", "\x00\x01 tab\tnew\nline"]
 
 
@@ -237,7 +289,7 @@ def test_decontamination(spark, docs, odd, empty, sf):
     got = {(r.doc_id, r.item_id) for r in decontam.benchmark_hits(planted, bench).collect()}
     assert got <= near and len(got & true) >= 0.95 * len(true) and len(true) >= 0.9 * len(near)
     some = docs.limit(100).collect()
-    want = {(r.doc_id, i) for r in some for i, t in items.items() if set(decontam.normal_words(t)) & set(decontam.normal_words(r.text)) and len(decontam.normal_words(t)) >= 8 and brute_hits(r.text, t, decontam.DISTANCE)}
+    want = {(r.doc_id, i) for r in some for i, t in items.items() if set(decontam.normal_words(t)) & set(decontam.normal_words(r.text)) and brute_hits(r.text, t, decontam.DISTANCE)}
     got = {(r.doc_id, r.item_id) for r in decontam.benchmark_hits(docs.limit(100), bench).collect()}
     assert got == want
     assert decontam.benchmark_hits(odd, bench).count() == 0 and decontam.benchmark_hits(empty, bench).count() == 0
@@ -246,17 +298,24 @@ def test_decontamination(spark, docs, odd, empty, sf):
     assert kept.columns == planted.columns and kept.count() == len(rows) - len({d for d, _ in near & {(r.doc_id, r.item_id) for r in decontam.benchmark_hits(planted, bench).collect()}})
 
 
-def test_decontamination_finds_passages_of_any_length():
+def test_decontamination_reaches_the_target_recall():
+    """Passages at the full distance, of each kind of edit and of any length."""
     rng = np.random.default_rng(4)
-    for n in (5, 8, 15, 60, 120, 300, 500):
-        for kinds in ([0], [1], [2], [0, 1, 2]):
-            item = [f"w{x}" for x in rng.integers(0, 20 * n, n)]
-            w = list(item)
-            for at in sorted(rng.choice(n, int(decontam.DISTANCE * n), replace=False).tolist(), reverse=True):
-                w[at : at + 1] = [["changed"], [], [w[at], "added"]][rng.choice(kinds)]
-            index = decontam.Index([(1, " ".join(item)), (2, "other words than these stand here")])
-            ids = np.array([index.vocab.get(x, 0) for x in ["before", *w, "after"] * 2], np.int64)
-            assert {(d, i) for d, i, _, _ in index.matches(ids, np.array([0, len(w) + 2, len(ids)]))} == {(0, 1), (1, 1)}, (n, kinds)
+    for n in (5, 8, 15, 30, 60, 120, 300, 500):
+        many = 200 // max(1, n // 15)
+        items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 20 * n, n))) for k in range(many)]
+        index = decontam.Index(items)
+        for kind in range(4):
+            texts = [np.concatenate([[0], decontam.edited(w, int(decontam.DISTANCE * n), kind, rng), [0]]) for _, w in index.items]
+            breaks = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            ids = np.concatenate(texts)
+            found = {(d, i) for d, i, _, _ in index.matches(np.where(ids < 1 << 30, ids, 0), breaks)}
+            assert len(found & {(k, k) for k in range(many)}) >= (decontam.RECALL - 0.01) * many, (n, kind)
+
+
+def test_decontamination_walks_follow_the_recall():
+    assert decontam.walks_for(24, 0) == 1 <= decontam.walks_for(24, 4, 0.5) < decontam.walks_for(24, 4, 0.99)
+    assert [sum(n for _, n, _ in decontam.pieces(k, k // 5)) for k in (1, 24, 37, 1000)] == [1, 24, 37, 1000]
 
 
 def test_decontamination_finds_short_items(spark):
@@ -425,6 +484,53 @@ def test_pii_terms_in_one_template(spark):
     assert got[400] == "write to [EMAIL] about lone0" and got[500] == "[EMAIL] has a copied77 text" and got[100] == rows[8][1]
 
 
+def test_pii_terms_match_brute_force(spark, docs):
+    """Term spans over the whole table with planted values, by counting texts one by one."""
+    rng = np.random.default_rng(8)
+    people = [f"p{k}@corp{k}.org" for k in range(6)]
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    for i in range(240):
+        k = int(rng.integers(0, 6))
+        bits = [people[k] if rng.random() < 0.8 else "", f"Name{k}x" if rng.random() < 0.9 else "", "common words here", f"town{int(rng.integers(0, 3))}", f"only{i}", people[(k + 1) % 6] if rng.random() < 0.1 else ""]
+        texts.append((10_000 + i, "\n".join(b for b in rng.permutation(bits) if b)))
+    texts += texts[-30:] + [(20_000, texts[-1][1]), (20_001, None), (20_002, "")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def spans_of(t):
+        return [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in brute_spans(t)]
+
+    term = re.compile(r"[^\W_]+")
+    seen, within, entity = Counter(), Counter(), Counter()
+    distinct = {t for _, t in texts if t is not None}
+    for t in distinct:
+        seen.update(set(term.findall(t.lower())))
+        values = {t[s:e] for _, s, e in spans_of(t)}
+        blank = t
+        for _, s, e in spans_of(t):
+            blank = blank[:s] + " " * (e - s) + blank[e:]
+        entity.update(values)
+        within.update((v, w) for v in values for w in set(term.findall(blank.lower())))
+    n = len(distinct)
+    risky = defaultdict(set)
+    for (v, w), both in within.items():
+        pmi, content = np.log(n * both / (entity[v] * seen[w])), np.log(n / entity[v])
+        if both >= pii.SUPPORT and content > 0 and pmi >= pii.DISCLOSURE * content and both * (1 - pmi) <= np.log(pii.CHANCE):
+            risky[v].add(w)
+    assert len(risky) == 6 and {"name2x"} <= risky[people[2]]
+
+    def want(t):
+        base = spans_of(t or "")
+        own = set().union(*[risky[t[s:e]] for _, s, e in base])
+        more = [("term", m.start(), m.end()) for m in term.finditer(t or "") if m[0].lower() in own and not any(s < m.end() and m.start() < e for _, s, e in base)]
+        order = [*pii.KINDS, "term"]
+        return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(base + more, key=lambda x: (x[1], order.index(x[0]))))
+
+    got = pii.personal_data(frame, clean=False, unit="document").select("text", pii.span_text(F.col("spans")).alias("s")).collect()
+    assert len(got) == len(texts) and any("term" in r.s for r in got)
+    for r in got:
+        assert r.s == want(r.text), r.text[:200]
+
+
 def test_pii_kept_texts(docs):
     for r in pii.personal_data(docs).collect():
         want, at = "", 0
@@ -453,11 +559,24 @@ def test_toxicity(spark, odd, empty):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     part = [(r.score, y[r.doc_id], r.predicted) for r in rows if r.held_out]
     score, truth, said = (np.array(v) for v in zip(*part))
-    assert auc(score, truth) > 0.9 and (said == truth).mean() > 0.94 and truth[said == 1].mean() > 0.8
+    assert auc(score, truth) > 0.9 and (said == truth).mean() > 0.92 and truth[said == 1].mean() > 0.7
+    insult = re.compile("loser|idiot|pathetic|scum|worthless|moron|clown|trash|disgusting|stupid")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    named = [r.predicted for r in rows if r.held_out and y[r.doc_id] and insult.search(text[r.doc_id].lower())]
+    assert len(named) > 40 and np.mean(named) > 0.95
+    # Against a naive scorer: every run of four words, and the words' n-grams one by one.
+    for r in rows[:200]:
+        m = [np.mean([model.margin[b] for b in toxicity.subwords(w)]) for w in toxicity.words(text[r.doc_id])]
+        runs = [sum(m[i : i + 4]) / 4 for i in range(max(1, len(m) - 3))]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-model.slope * max(runs) - model.bias)), abs=1e-6)
+    # Words before a passage don't change its score.
+    plain = max((t for t in text.values() if not insult.search(t.lower())), key=lambda t: -model.scorer()(t)).split()
+    for k in range(5):
+        assert model.scorer()(" ".join([*plain[:k], "you worthless idiot clown", *plain[:9]])) > 0.5
     other = toxicity.toxicity(odd, model).collect()
     assert len(other) == len(ODD) and all(0 <= r.score <= 1 for r in other) and toxicity.toxicity(empty, model).count() == 0
     # A misspelling shares n-grams with the word that it comes from.
-    assert model.word_margin("idiotic") > model.word_margin("onreat") + 0.5
+    assert model.word_margin("idiotic") > model.word_margin("onreat") + 0.2 * model.word_margin("idiot")
     flat = toxicity.train(*toxicity.training_rows(empty, labels))
     assert toxicity.toxicity(odd, flat).count() == len(ODD)
 

@@ -21,7 +21,6 @@ def test_stages_match_brute_force(spark, sf):
     root = brute_components([(i, brute_fp(t)) for i, t in text.items()])
     text = {i: t for i, t in text.items() if root[i] == i}
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    items = [t for t in items if len(decontam.normal_words(t)) >= 8]
     words = {t: set(decontam.normal_words(t)) for t in items}
     near = lambda t, i: len(words[i] & set(decontam.normal_words(t))) >= 0.5 * len(words[i]) and brute_hits(t, i, decontam.DISTANCE)
     text = {i: t for i, t in text.items() if not any(near(t, x) for x in items)}

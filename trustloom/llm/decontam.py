@@ -1,32 +1,56 @@
-"""Benchmark decontamination: shared runs of words, then the exact edit distance.
-
-Benchmark items and documents are sequences of normalised words. A passage
-within d edits of an item of n words shares at least n - q + 1 - q d of the
-item's runs of q words, with q the longest run up to 3 of which one must be
-left. Parts of a document with as many shared runs of one item within n + d
-words are candidates, and the edit distance decides: no passage is missed,
-whatever its length and edits.
+"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows.
+
+Benchmark items and documents are sequences of normalised words. A CGK random
+walk reads a window: at step j it writes the word under its pointer and moves on
+by a random bit of (j, word). Edit distance d becomes a Hamming distance of order
+d squared at most, so a window within the distance of an item often agrees with
+it at sampled steps. A key is the words written at a few sampled steps; equal
+keys make a candidate, and the exact edit distance decides.
+
+Items are cut into pieces of about PIECE words, and windows have a piece's size:
+of a passage within d edits of an item some piece has no more than its share of
+them. How many walks a piece's length and edits need for the target recall is
+found by simulation (:func:`walks_for`), for each kind of edit.
+
+Before any walk a lossless filter leaves out what can't match: a passage within
+d edits of an item of n words shares at least n - q + 1 - q d of the item's runs
+of q words, with q the longest run up to 3 of which one must be left. Windows are
+taken where as many shared runs of one item lie within n + d words.
 """
 
 from __future__ import annotations
 
 from bisect import bisect
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import stored
+from trustloom.llm.common import Memo, row_key, stored
 
 #: Edits allowed, as a share of an item's words.
 DISTANCE = 0.2
+#: Share of the passages within the distance that are to be found.
+RECALL = 0.99
+#: Words of a piece, about.
+PIECE = 24
+#: Sampled steps in a key, and keys taken from a walk.
+PLACES = 2
+BANDS = 12
+#: Simulated passages of each kind of edit, and walks that each is tried with.
+TRIALS = 200
+TRIED = 24
+#: Windows whose walks are made together.
+WINDOWS = 1 << 14
+SEED = 7
 #: Benchmark rows handled in one block; larger benchmarks take several passes.
 BLOCK_ITEMS = 20_000
 #: Bytes of text in one block at most.
-BLOCK_BYTES = 32 << 20
-MEMO = 1_000_000
+BLOCK_BYTES = 8 << 20
+MEMO = 500_000
 #: Longest run of words by which passages are found.
 Q = 3
 #: Pairs of a place and an item that are looked at together.
@@ -42,21 +66,14 @@ def normal_words(text: str) -> list[str]:
     return [w for w in map(normal_word, text.split()) if w]
 
 
-class _Numbers(dict):
+def numbers(words: dict[str, int]) -> Memo:
     """Number of a raw token's word: 0 if no item has it, -1 for a token without letters and digits."""
 
-    def __init__(self, words: dict[str, int]) -> None:
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, token: str) -> int:
+    def of(token: str) -> int:
         w = normal_word(token)
-        n = self.words.get(w, 0) if w else -1
-        if len(self) >= MEMO:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = n
-        return n
+        return words.get(w, 0) if w else -1
+
+    return Memo(of, MEMO)
 
 
 def edits(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -109,10 +126,122 @@ def passages(item: np.ndarray, text: np.ndarray, most: int) -> list[tuple[int, i
     return [(int(row[end]), end) for _, end in taken]
 
 
+# CGK walks -----------------------------------------------------------------------------------------
+
+
+def steps_of(length: int) -> int:
+    """Steps of a walk over a window: it reads a word in two steps on average."""
+    return 2 * length
+
+
+@lru_cache(maxsize=4096)
+def sampled(walk: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a walk over windows of a length: the two factors of each step's random bit, and the sampled steps of each band."""
+    rng = np.random.default_rng([SEED, walk, length])
+    a, b = rng.integers(0, 1 << 63, (2, steps_of(length)), np.int64).astype(np.uint64)
+    return a << np.uint64(1) | np.uint64(1), b << np.uint64(1), rng.integers(0, steps_of(length), (BANDS, PLACES))
+
+
+def walk_keys(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, walk: int) -> np.ndarray:
+    """(band, window) -> key: the words that the walk over ids[start : start + length] wrote at the band's steps.
+
+    Words behind ``ends`` count as none, as those behind the window do.
+    """
+    a, b, places = sampled(walk, length)
+    at, last = starts.copy(), np.minimum(starts + length, ends)
+    wrote = np.empty((steps_of(length), len(starts)), np.uint64)
+    for j in range(len(wrote)):
+        inside = at < last
+        x = np.where(inside, ids[np.minimum(at, len(ids) - 1)] + 1, 0).astype(np.uint64)
+        wrote[j] = x
+        at += ((a[j] * x + b[j]) >> np.uint64(63)).astype(np.int64) & inside
+    key = np.zeros((BANDS, len(starts)), np.uint64)
+    for k in range(PLACES):
+        key = (key + wrote[places[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def edited(words: np.ndarray, edits: int, kind: int, rng: np.random.Generator) -> np.ndarray:
+    """``words`` after random edits: 0 replaces, 1 deletes, 2 inserts, 3 mixes them."""
+    out = words.tolist()
+    for at in sorted(rng.choice(len(out), edits, replace=False).tolist(), reverse=True):
+        new = int(rng.integers(1 << 30, 1 << 31))
+        out[at : at + 1] = [[new], [], [out[at], new]][kind if kind < 3 else int(rng.integers(0, 3))]
+    return np.array(out, np.int64)
+
+
+@lru_cache(maxsize=4096)
+def walks_for(length: int, edits: int, recall: float = RECALL) -> int:
+    """Walks by which the share ``recall`` of the pieces of ``length`` words with ``edits`` edits is met, whatever their kind.
+
+    Simulated with a fixed seed: pieces of distinct words, edited and followed by
+    other words, each tried with TRIED walks. A piece's chance of a hit in one
+    walk gives its chance of none in many.
+    """
+    if edits == 0:
+        return 1
+    rng = np.random.default_rng([SEED, length, edits])
+    most = 1
+    for kind in range(4):
+        own, other = [], []
+        for t in range(TRIALS):
+            piece = np.arange(length) + t * length
+            near = np.concatenate([edited(piece, edits, kind, rng), rng.integers(1 << 30, 1 << 31, length)])
+            own.append(piece)
+            other.append(near[:length])
+        starts = np.arange(TRIALS) * length
+        a, b = np.concatenate(own), np.concatenate(other)
+        hit = np.mean([(walk_keys(a, starts, starts + length, length, w) == walk_keys(b, starts, starts + length, length, w)).any(axis=0) for w in range(TRIED)], axis=0)
+        hit = (hit * TRIED + 0.5) / (TRIED + 1)  # none of so many doesn't mean never
+        n = most
+        while np.mean((1 - hit) ** n) > 1 - recall:
+            n += 1
+        most = max(most, n)
+    return most
+
+
+def pieces(n: int, edits: int) -> list[tuple[int, int, int]]:
+    """(offset, length, edits) of the pieces of an item of ``n`` words."""
+    k = max(1, round(n / PIECE))
+    cuts = [n * i // k for i in range(k + 1)]
+    return [(a, b - a, min(b - a, edits // k)) for a, b in zip(cuts, cuts[1:])]
+
+
+class Pieces:
+    """Pieces of one length and the sorted keys of their walks."""
+
+    def __init__(self, ids: np.ndarray, items: np.ndarray, length: int, walks: int) -> None:
+        self.items, self.length, self.walks = items, length, walks
+        starts = np.arange(len(items)) * length
+        self.keys, self.order = [], []
+        for w in range(walks):
+            keys = walk_keys(ids, starts, starts + length, length, w)
+            order = np.argsort(keys, axis=1, kind="stable")
+            self.keys.append(np.take_along_axis(keys, order, axis=1))
+            self.order.append(order)
+
+    def candidates(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of windows and pieces that share a key."""
+        found = []
+        for at in range(0, len(starts), WINDOWS):
+            s, e = starts[at : at + WINDOWS], ends[at : at + WINDOWS]
+            for w in range(self.walks):
+                for known, order, keys in zip(self.keys[w], self.order[w], walk_keys(ids, s, e, self.length, w)):
+                    left = np.searchsorted(known, keys, "left")
+                    hit = np.flatnonzero(known[np.minimum(left, len(known) - 1)] == keys)
+                    if len(hit):
+                        left = left[hit]
+                        n = np.searchsorted(known, keys[hit], "right") - left
+                        piece = order[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                        found.append(np.unique(np.stack([np.repeat(s[hit], n), self.items[piece]]), axis=1))
+        return tuple(np.concatenate(found, axis=1)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 class Index:
-    """Items and where their runs of words stand, by run length."""
+    """Items, where their runs of words stand by run length, and their pieces by length."""
 
-    def __init__(self, items: list[tuple[int, str]], distance: float = DISTANCE) -> None:
+    def __init__(self, items: list[tuple[int, str]], distance: float = DISTANCE, recall: float = RECALL) -> None:
         self.vocab: dict[str, int] = {}
         lists = [(i, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in normal_words(t)]) for i, t in items]
         self.base = len(self.vocab) + 2
@@ -131,6 +260,18 @@ class Index:
             of, runs = np.repeat(own, [len(x) for x in runs]), np.concatenate(runs)
             order = np.argsort(runs, kind="stable")
             self.holders[q] = runs[order], of[order]
+        self.pieces = self._pieces(recall)
+
+    def _pieces(self, recall: float) -> list[Pieces]:
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (n, d) in enumerate(zip(self.size.tolist(), self.edits.tolist())):
+            for offset, length, edits in pieces(n, d):
+                by.setdefault(length, []).append((k, offset, edits))
+        out = []
+        for length, own in sorted(by.items()):
+            ids = np.concatenate([self.items[k][1][o : o + length] for k, o, _ in own])
+            out.append(Pieces(ids, np.array([k for k, _, _ in own]), length, max(walks_for(length, e, recall) for e in {e for _, _, e in own})))
+        return out
 
     def runs(self, w: np.ndarray, q: int) -> np.ndarray:
         """Each run of ``q`` words as one number; -1 where a word is in no item."""
@@ -181,10 +322,27 @@ class Index:
 
     def matches(self, ids: np.ndarray, breaks: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, end, edits) over ``ids``, where document k fills breaks[k] to breaks[k + 1]."""
+        found = np.array(list(self.places(ids, breaks)), np.int64).reshape(-1, 4)
+        doc, item, low, high = found[np.lexsort((found[:, 2], found[:, 1]))].T
+        rank = item * (len(ids) + 1) + low
+        met = np.zeros(len(doc), bool)
+        for p in self.pieces:
+            own = np.isin(item, p.items)
+            n = (high - low)[own]
+            if not len(n):
+                continue
+            starts = np.repeat(low[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            starts, first = np.unique(starts, return_index=True)
+            ends = np.repeat(breaks[doc[own] + 1], n)[first]
+            at, of = p.candidates(ids, starts, ends)
+            # The part of this item that the window stands in, if there is one.
+            k = np.searchsorted(rank, of * (len(ids) + 1) + at, "right") - 1
+            inside = (k >= 0) & (item[k] == of) & (at < high[k])
+            met[k[inside]] = True
         out = []
-        for doc, k, low, high in self.places(ids, breaks):
-            item, words = self.items[k]
-            out += [(doc, item, low + end - int(breaks[doc]), dist) for dist, end in passages(words, ids[low:high], int(self.edits[k]))]
+        for k in np.flatnonzero(met).tolist():
+            number, words = self.items[item[k]]
+            out += [(int(doc[k]), number, int(low[k] - breaks[doc[k]]) + end, dist) for dist, end in passages(words, ids[low[k] : high[k]], int(self.edits[item[k]]))]
         return out
 
 
@@ -202,15 +360,18 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield block
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", distance: float = DISTANCE, min_words: int = 1) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", distance: float = DISTANCE, min_words: int = 1, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, end_word (long), edits (int): each passage of a document within the distance of an item.
 
     Words are compared without case and punctuation. Items of fewer than
     ``min_words`` words aren't searched for: by default those without a word.
-    Items of up to 4 words allow no edit. Null and empty texts hold nothing. A row per passage,
-    of those that overlap the nearest one; repeated documents give theirs
-    each, repeated items count as items of their own. An item's block goes to
-    all tasks; blocks have a bounded size, whatever the benchmark's.
+    Items of up to 4 words allow no edit. Null and empty texts hold nothing, and
+    texts of any length are read whole. A row per passage, of those that overlap
+    the nearest one, of ties the first; repeated documents give theirs each,
+    repeated items count as items of their own. Extra columns, whatever their
+    names, are ignored; empty tables give no rows. An item's block goes to all
+    tasks; blocks have a bounded size, whatever the benchmark's. A passage at
+    the full distance is found with a chance of ``recall``, a nearer one with more.
     """
     kind, item_kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, end_word long, edits int"
@@ -223,8 +384,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, distance)
-            numbers = _Numbers(index.vocab)
+            index = Index(shared.value, distance, recall)
+            number = numbers(index.vocab).__getitem__
             names = ["doc_id", "item_id", "end_word", "edits"]
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -232,7 +393,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
                 while at < len(texts):
                     lists, upto, size = [], at, 0
                     while upto < len(texts) and size < 1 << 20:
-                        found = np.array([numbers[t] for t in (texts[upto] or "").split()], np.int64)
+                        found = np.fromiter(map(number, (texts[upto] or "").split()), np.int64)
                         found = found[found >= 0]
                         lists.append(found)
                         size += len(found)
@@ -252,9 +413,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without a benchmark passage, their columns as they were.
 
-    Rows are told apart by a hash of their text, whatever their ids in ``doc_id``.
+    Rows are told apart by their text, whatever their ids in ``doc_id``: rows of
+    a contaminated text go, all others stay, nulls, empties and repeats too.
     """
-    rows = docs.withColumn("_text_key", F.xxhash64(text))
+    rows = docs.withColumn("_text_key", row_key(text))
     bad = benchmark_hits(rows, benchmark, "_text_key", text, **options).select(F.col("doc_id").alias("_bad")).distinct()
     bad = stored(bad, "contaminated")  # so that the planner sends a small table to all
     return rows.join(bad, rows["_text_key"] == bad["_bad"], "left_anti").drop("_text_key")
