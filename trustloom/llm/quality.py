@@ -7,6 +7,7 @@ above the limit and rejects documents that lose most of their words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,9 +28,11 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null and empty texts count zero everywhere. Repeated three-word windows are
     found by sorting them inside the row, so no word leaves its row and a text
-    of any length costs n log n. Of a window's 64-bit hash as many bits are kept
-    as the text's length leaves free: 54 for 1 000 words, 47 for 100 000. Two
-    different windows pass for one in about one of 10^10 texts of 1 000 words.
+    of any length costs n log n. A first sort, of one number a window, finds
+    those that may be alike: part of the window's hash, as many bits as the
+    text's length leaves free, above its place. The second sort takes these
+    alone, by the 64-bit hashes of all three words: windows are alike if each
+    word's hash is.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_BLANK))
@@ -40,21 +43,30 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     out = held(docs, _pieces=pieces, n_symbols=(F.size(F.split(t, r"[#*$%&|<>]", -1)) - 1).cast("long"), n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), _length=F.length(t))
     out = held(out, word_chars=(F.col("_length") - F.size("_pieces") + 1).cast("long"), _hashes=F.array_compact("_pieces")).drop("_pieces", "_length")
     three = F.zip_with(F.zip_with("_hashes", tail(F.col("_hashes"), 1), lambda a, b: F.shiftleft(a, 7).bitwiseXOR(b)), tail(F.col("_hashes"), 2), lambda x, c: F.shiftleft(x, 7).bitwiseXOR(c))
-    # A window's hash above its place: sorted, windows that are alike stand side by side.
     bits = F.greatest(F.ceil(F.log2(F.size("_hashes") + 2)).cast("int"), F.lit(1))
-    out = held(out, n_words=F.size("_hashes").cast("long"), _bits=bits, _below=F.call_function("shiftleft", F.lit(1).cast("long"), bits), _windows=F.slice(three, 1, F.greatest(F.size("_hashes") - 2, F.lit(0)))).drop("_hashes")
+    bits = F.greatest(F.ceil(F.log2(F.size("_hashes") + 2)).cast("int"), F.lit(1))
+    # A window's hash above its place: sorted, windows that may be alike stand side by side.
+    out = held(out, n_words=F.size("_hashes").cast("long"), _bits=bits, _below=F.call_function("shiftleft", F.lit(1).cast("long"), bits), _windows=F.slice(three, 1, F.greatest(F.size("_hashes") - 2, F.lit(0))))
     pack = lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long"))
     out = held(out, _sorted=F.sort_array(F.transform("_windows", pack))).drop("_windows", "_bits")
-    place = lambda x: x.bitwiseAND(F.col("_below") - 1)
-    pairs = F.zip_with("_sorted", tail(F.col("_sorted"), 1), lambda x, y: F.when(x.bitwiseXOR(y).between(F.lit(0), F.col("_below") - 1), F.array(place(x), place(y))))
-    out = held(out, _at=F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))).drop("_sorted", "_below")
+    place = lambda x: x.bitwiseAND(F.col("_below") - 1).cast("int")
+    out = held(out, _maybe=_neighbours("_sorted", lambda x, y: x.bitwiseXOR(y).between(F.lit(0), F.col("_below") - 1), place)).drop("_sorted", "_below")
+    words_at = lambda i: F.struct(*[F.get("_hashes", i + k).alias(f"w{k}") for k in range(3)], i.alias("at"))
+    out = held(out, _sorted=F.sort_array(F.transform("_maybe", words_at))).drop("_hashes", "_maybe")
+    alike = lambda x, y: (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
+    out = held(out, _at=_neighbours("_sorted", alike, lambda x: x["at"])).drop("_sorted")
     covered = F.aggregate(
-        F.zip_with("_at", tail(F.col("_at"), 1), lambda p, q: F.least(F.lit(3).cast("long"), F.coalesce(q - p, F.lit(3).cast("long")))),
+        F.zip_with("_at", tail(F.col("_at"), 1), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3)))),
         F.lit(0).cast("long"),
         lambda a, b: a + b,
     )
-    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return out.drop("_at")
+    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+
+
+def _neighbours(array: str, alike: Callable, place: Callable) -> Column:
+    """The places, in order, of elements of a sorted array that are like the one before or behind."""
+    pairs = F.zip_with(array, tail(F.col(array), 1), lambda x, y: F.when(alike(x, y), F.array(place(x), place(y))))
+    return F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
 
 
 def normalised_line(line: Column) -> Column:
@@ -71,15 +83,21 @@ def line_hashes(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("_lines", F.transform("_norm", lambda x: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("n")))).drop("_norm")
 
 
-def frequent_lines(lined: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+def frequent_lines(lined: DataFrame, doc_id: str = "doc_id", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """(_host, _hash) of lines that over ``max_docs`` documents of a host hold.
 
-    A line counts once in a document: lines are made distinct inside the row,
-    so that the count needs one aggregation with a partial step and no distinct.
+    A document is a doc_id; rows without one are documents of their own. A line
+    counts once in a document: lines are made distinct inside the row, and rows
+    whose doc_id comes again, if there are any, are made distinct beside the
+    others, so that the count needs one aggregation with a partial step.
     """
     hashes = F.array_distinct(F.transform(F.filter("_lines", lambda x: x["n"] > 0), lambda x: x["hash"]))
-    rows = lined.select(F.col(host).alias("_host"), F.explode(hashes).alias("_hash"))
-    return rows.groupBy("_host", "_hash").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > max_docs).select("_host", "_hash")
+    repeated = stored(lined.groupBy(F.col(doc_id).alias("_again")).agg(F.count("*").alias("n")).filter("n > 1 and _again is not null").select("_again"), "repeated")
+    same = lined[doc_id] == repeated["_again"]
+    rows = lambda part: part.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.explode(hashes).alias("_hash"))
+    once = rows(lined.join(repeated, same, "left_anti")).select("_host", "_hash")
+    again = rows(lined.join(repeated, same, "left_semi")).distinct().select("_host", "_hash")
+    return once.unionByName(again).groupBy("_host", "_hash").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > max_docs).select("_host", "_hash")
 
 
 def removed_lines(lined: DataFrame, doc_id: str = "doc_id", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
@@ -90,7 +108,7 @@ def removed_lines(lined: DataFrame, doc_id: str = "doc_id", host: str = "source"
     their size: a small table is sent to all, a large one is joined by salted
     keys.
     """
-    found = stored(frequent_lines(lined, host, max_docs), "frequent").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = stored(frequent_lines(lined, doc_id, host, max_docs), "frequent").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lines = lined.select(F.col(doc_id).alias("_id"), F.col("_text_key").alias("_key"), F.col(host).alias("_from"), F.posexplode("_lines").alias("_no", "_line")).filter("_line.n > 0")
     lines = lines.withColumns({"_line_hash": F.col("_line.hash"), "_n": F.col("_line.n"), "_line_salt": F.pmod(F.xxhash64("_id", "_key", "_no"), F.lit(SALTS)).cast("int")})
     same = lines["_from"].eqNullSafe(found["_host"]) & (lines["_line_hash"] == found["_hash"]) & (lines["_line_salt"] == found["_salt"])
@@ -107,10 +125,12 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     half its words lie in repeated three-word windows. A document is depleted
     when it lost a line and keeps less than ``min_kept`` of its words.
 
-    Rows that agree in id, text and host get equal results; each counts as a
-    document of its host. A null host is a host of its own. Null texts stay
-    null, have no lines and aren't depleted. An input column that bears one of
-    the added names is replaced.
+    Rows that agree in id, text and host get equal results; rows of one id are
+    one document of their host. A null host is a host of its own, and rows with
+    a null id are documents of their own. Null texts stay null, have no lines
+    and aren't depleted; texts of any length are read whole. Input columns that
+    bear one of the added names are replaced, and those whose names begin with
+    an underscore are left out. An empty table gives no rows.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_removed", "base_failed", "depleted", "clean_text", "kept", "removed")
     docs = docs.drop(*[c for c in docs.columns if c.startswith("_") or c in added])
