@@ -11,10 +11,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions import expr as E
+from trustloom.sources.store import before, ranged
 
 #: What a probe reads: class probabilities, raw scores, hard predictions or a stored column.
 SOURCES = ("probabilities", "logits", "scores", "predictions", "precomputed", "outliers")
@@ -82,8 +83,7 @@ def entropy(source: str = "probabilities") -> Probe:
     """Shannon entropy to the base of the number of distinct labels in the frame (``n_labels``)."""
 
     def of(s, y, o):
-        p = F.transform(s, lambda v: v / E.total(s))
-        h = F.aggregate(p, F.lit(0.0), lambda a, v: a - F.when(v > 0, v * F.log(v)).otherwise(0.0))
+        h = F.aggregate(E.shares(s), F.lit(0.0), lambda a, v: a - F.when(v > 0, v * F.log(v)).otherwise(0.0))
         n = o["n_labels"]
         return h / F.log(n if isinstance(n, Column) else F.lit(float(n)))
 
@@ -152,9 +152,8 @@ def adjusted(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     table = means.agg(F.map_from_entries(F.collect_list(F.struct(F.col(y), "_m"))).alias("_by"), F.max("_k").alias("_k"))
     table = table.select(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda c: F.coalesce(F.try_element_at("_by", c), F.lit(0.0))).alias("_mean"))
     out = df.crossJoin(F.broadcast(table))
-    moved = F.zip_with(p, "_mean", lambda v, m: v - m)
-    out = out.withColumn(p, F.transform(moved, lambda v: v + F.array_max("_mean")))
-    return out.withColumn(p, F.transform(p, lambda v: v / E.total(F.col(p)))).drop("_mean")
+    moved = E.let(F.array_max("_mean"), lambda top: F.zip_with(p, "_mean", lambda v, m: v - m + top))
+    return out.withColumn(p, E.shares(moved)).drop("_mean")
 
 
 def core(probe: Probe, s: Column, y: Column, shares: list[float], alpha: float = 1.0) -> Column:
@@ -189,17 +188,12 @@ def with_peers(df: DataFrame, id_: str = "id", y: str = "y", a: tuple[int, int]
 
 
 def row_numbers(df: DataFrame, id_: str = "id") -> DataFrame:
-    """(id, _r): ranks of unique integer ids from 0, by counting in buckets of id ranges."""
-    from pyspark.sql import Window
-
-    low, high, n = df.agg(F.min(id_), F.max(id_), F.count("*")).first()
-    width = max(1, (high - low + 1) * 50_000 // max(1, n)) if n else 1
-    rows = df.select(id_).withColumn("_b", F.floor((F.col(id_) - F.lit(low)) / F.lit(width)))
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket of 50 000 ids
-    counts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_b").orderBy(id_)
-    return rows.withColumn("_i", F.row_number().over(inside) - 1).join(counts, "_b").select(id_, (F.col("_before") + F.col("_i")).alias("_r"))
+    """(id, _r): ranks of unique ids from 0, by counting in ranges of about equal rows."""
+    rows = ranged(df.select(id_), id_)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    counts = counts.select("_range", before(counts, "_n", "_range").alias("_before"))  # a row a range
+    inside = Window.partitionBy("_range").orderBy(id_)
+    return rows.withColumn("_i", F.row_number().over(inside) - 1).join(F.broadcast(counts), "_range").select(id_, (F.col("_before") + F.col("_i")).alias("_r"))
 
 
 def directions(d: int, n: int = 10, seed: int = 0) -> list[list[float]]:

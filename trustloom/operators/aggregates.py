@@ -20,7 +20,7 @@ class Aggregate:
     name: str
     of: Callable[[Column, Column], Column]
     maximize: bool | None = None
-    before: Callable[[DataFrame], DataFrame] | None = None
+    before: Callable[[DataFrame, list[str]], DataFrame] | None = None
     selects: str | None = None  #: oob or itb
     along: Callable[[Column], Column] | None = None  #: over the probe axis, after the members
     each: "Aggregate | None" = None
@@ -35,10 +35,12 @@ class Aggregate:
         if self.along is not None:
             flat = stream.select("id", "member", w.alias("weight"), F.posexplode("score").alias("pos", "s"))
             inner = self.each or TOTAL
+            if inner.before is not None:
+                flat = inner.before(flat, ["id", "pos"])
             return flat.groupBy("id", "pos").agg(inner.of(F.col("s"), F.col("weight")).alias("s")).groupBy("id").agg(self.along(F.col("s")).alias("value"))
         rows = stream.select("id", "member", w.alias("weight"), F.get("score", F.lit(0)).alias("s"))
         if self.before is not None:
-            rows = self.before(rows)
+            rows = self.before(rows, ["id"])
         return rows.groupBy("id").agg(self.of(F.col("s"), F.col("weight")).alias("value"))
 
 
@@ -47,21 +49,27 @@ def _mean(s: Column, w: Column) -> Column:
 
 
 def _var(s: Column, w: Column) -> Column:
-    """Weighted population variance from moments about the first value's scale."""
+    """Weighted population variance of what :func:`_centred` gives."""
     m = _mean(s, w)
     return F.greatest(F.try_divide(F.sum(w * s * s), F.sum(w)) - m * m, F.lit(0.0))
 
 
-def _steps(rows: DataFrame) -> DataFrame:
+def _centred(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores less their row's plain mean: large scores that differ little keep their differences."""
+    means = rows.groupBy(*keys).agg(F.avg("s").alias("_mean"))
+    return rows.join(means, keys).withColumn("s", F.col("s") - F.col("_mean")).drop("_mean")
+
+
+def _steps(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Whether a stage falls below the one before it, in the order of members."""
-    order = Window.partitionBy("id").orderBy("member")
+    order = Window.partitionBy(*keys).orderBy("member")
     return rows.withColumn("s", F.coalesce((F.lag("s").over(order) > F.col("s")).cast("double"), F.lit(0.0)))
 
 
 TOTAL = Aggregate("sum", lambda s, w: F.sum(s * w))
 COUNT = Aggregate("count", lambda s, w: F.sum(w))
 MEAN = Aggregate("mean", _mean)
-VAR = Aggregate("var", _var, maximize=False)
+VAR = Aggregate("var", _var, maximize=False, before=_centred)
 FORGET = Aggregate("forget", lambda s, w: F.sum(s * w), maximize=False, before=_steps)
 
 NAMED = {"sum": TOTAL, "count": COUNT, "mean": MEAN, "var": VAR}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.functions import expr as E
+from trustloom.sources.store import stored
 
 # Splitters: (id, y, trust columns) -> the same with trusted (boolean) -------------------------
 
@@ -30,22 +31,72 @@ class ThresholdSplitter:
 class QuantileSplitter:
     """Every column is at least its quantile; with s columns the rate is 1 - (1 - q)^(1 / s).
 
-    Exact quantiles with linear interpolation: counts by distinct value, no
-    sort of rows on one task. One row of thresholds is sent to all. ``by``
-    takes the quantiles within a class (T04).
+    Exact quantiles with linear interpolation, found by narrowing histograms:
+    the driver sees BINS counts a class and round. ``by`` takes the quantiles
+    within a class (T04).
     """
 
     quantile: float = 0.5
 
     def split(self, df: DataFrame, *scores: str, by: str | None = None) -> DataFrame:
         q = 1 - (1 - self.quantile) ** (1 / len(scores))
-        aggs = [F.percentile(F.col(s), F.lit(q)).alias(f"_q{k}") for k, s in enumerate(scores)]
-        cuts = df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
-        out = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))
+        narrow = stored(df.select(*([by] if by else []), *scores), "scores")
         keep = F.lit(True)
-        for k, s in enumerate(scores):
-            keep = keep & (F.col(s) >= F.col(f"_q{k}"))
-        return out.withColumn("trusted", keep).drop(*[f"_q{k}" for k in range(len(scores))])
+        for s in scores:
+            cut = None
+            for group, value in quantiles(narrow, s, q, by).items():
+                here = F.lit(True) if by is None else F.col(by).eqNullSafe(F.lit(group))
+                cut = F.when(here, F.lit(value)) if cut is None else cut.when(here, F.lit(value))
+            keep = keep & (F.col(s) >= cut) if cut is not None else keep
+        return df.withColumn("trusted", keep)
+
+
+BINS = 1024
+
+
+def quantiles(rows: DataFrame, score: str, q: float, by: str | None = None) -> dict:
+    """The exact quantile of ``score``, interpolated, for each class of ``by`` (None without it).
+
+    The two values next to the quantile are looked for at once: each round
+    counts the rows of a range in BINS bins and goes on with the bin that holds
+    the rank, until that holds one value. Nulls don't count.
+    """
+    group = F.col(by) if by else F.lit(None).cast("int")
+    rows = rows.select(group.alias("g"), F.col(score).cast("double").alias("s")).filter("s is not null")
+    spans = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect()  # a row a class
+    todo, found = {}, {}
+    for k, r in enumerate(spans):
+        at = (r["n"] - 1) * q
+        for j in (0, 1):
+            todo[2 * k + j] = [r["g"], r["low"], r["high"], min(int(at) + j, r["n"] - 1)]
+    while todo:
+        for t, (_, low, high, _) in list(todo.items()):
+            if low == high:
+                found[t] = low
+                del todo[t]
+        if not todo:
+            break
+        marks = []
+        for t, (g, low, high, _) in todo.items():
+            inside = F.col("g").eqNullSafe(F.lit(g)) & F.col("s").between(low, high)
+            place = F.least(F.floor((F.col("s") - F.lit(low)) / F.lit(high - low) * F.lit(BINS)), F.lit(BINS - 1))
+            marks.append(F.when(inside, F.struct(F.lit(t).alias("t"), place.alias("b"))))
+        counted = rows.select("s", F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.t", "m.b")
+        bins: dict[int, list] = {}
+        for r in counted.agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect():  # at most BINS rows a rank
+            bins.setdefault(r["t"], []).append((r["b"], r["n"], r["low"], r["high"]))
+        for t, parts in bins.items():
+            rank = todo[t][3]
+            for _, n, low, high in sorted(parts):
+                if rank < n:
+                    todo[t][1:] = [low, high, rank]
+                    break
+                rank -= n
+    out = {}
+    for k, r in enumerate(spans):
+        at = (r["n"] - 1) * q
+        out[r["g"]] = found[2 * k] + (found[2 * k + 1] - found[2 * k]) * (at - int(at))
+    return out
 
 
 @dataclass
@@ -60,13 +111,14 @@ class GmmSplitter:
     floor: float = 1e-3
 
     def split(self, df: DataFrame, score: str = "trust") -> DataFrame:
-        lo, hi = df.agg(F.min(score), F.max(score)).first()
+        rows = stored(df.select(score), "scores")  # the steps read scores, not what they come from
+        lo, hi = rows.agg(F.min(score), F.max(score)).first()
         width = (hi - lo) if hi is not None and hi > lo else 1.0
         s = (F.col(score) - F.lit(lo if lo is not None else 0.0)) / F.lit(width)
         mean, var, share = [0.25, 0.75], [0.0625, 0.0625], [0.5, 0.5]
         for _ in range(self.steps):
             r = self._high(s, mean, var, share)
-            n, n1, a0, a1, b0, b1 = df.agg(F.count("*"), F.sum(r), F.sum((1.0 - r) * s), F.sum(r * s), F.sum((1.0 - r) * s * s), F.sum(r * s * s)).first()
+            n, n1, a0, a1, b0, b1 = rows.agg(F.count("*"), F.sum(r), F.sum((1.0 - r) * s), F.sum(r * s), F.sum((1.0 - r) * s * s), F.sum(r * s * s)).first()
             if not n:
                 break
             weights = [max(n - n1, 1e-9), max(n1, 1e-9)]
@@ -160,31 +212,56 @@ PUNCTUATION = ':,.?!"'
 
 def tokens(text: Column) -> Column:
     """1-grams and 2-grams of a text in lower case, without the punctuation above."""
-    plain = F.lower(F.translate(text, PUNCTUATION, ""))
-    one = F.filter(F.split(F.trim(plain), r"\s+"), lambda t: t != "")
+    return E.let(_words(text), lambda one: F.concat(one, _pairs(one, lambda a, b: F.concat_ws(" ", a, b))))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.trim(F.lower(F.translate(text, PUNCTUATION, ""))), r"\s+"), lambda t: t != "")
+
+
+def _pairs(one: Column, of: Callable[[Column, Column], Column]) -> Column:
     n = F.greatest(F.size(one) - 1, F.lit(0))
-    return F.concat(one, F.slice(F.zip_with(one, F.slice(one, 2, n), lambda a, b: F.concat_ws(" ", a, b)), 1, n))
+    return F.slice(F.zip_with(one, F.slice(one, 2, n), of), 1, n)
+
+
+def held_keywords(text: Column, keywords: list[str]) -> Column:
+    """Which of ``keywords``, of one or two words, a text holds: its tokens go once through a hash set of them.
+
+    Pairs are only put together behind a keyword's first word.
+    """
+    known = F.array(*[F.lit(k) for k in sorted(set(keywords))])
+    firsts = sorted({k.split(" ")[0] for k in keywords if " " in k})
+
+    def found(one: Column) -> Column:
+        if not firsts:
+            return F.array_intersect(one, known)
+        return F.array_intersect(F.concat(one, _pairs(one, lambda a, b: F.when(a.isin(firsts), F.concat_ws(" ", a, b)))), known)
+
+    return E.let(_words(text), found)
 
 
 def keyword_votes(text: Column, rules: dict[int | str, list[str]]) -> Column:
     """A vote for each keyword, in order: its rule's label where the text holds it, else -1."""
-    t = tokens(text)
     flat = [(label, k.lower()) for label, words in rules.items() for k in words]
-    return F.array(*[F.when(F.array_contains(t, k), F.lit(label)).otherwise(F.lit(-1) if isinstance(label, int) else F.lit("-1")) for label, k in flat])
+    vote = lambda held, label, k: F.when(F.array_contains(held, k), F.lit(label)).otherwise(F.lit(-1) if isinstance(label, int) else F.lit("-1"))
+    return E.let(held_keywords(text, [k for _, k in flat]), lambda held: F.array(*[vote(held, label, k) for label, k in flat]))
 
 
 def priority_votes(text: Column, first: dict[str, list[str]], rules: dict[str, list[str]]) -> Column:
     """Priority keywords first; the first match among them makes every other vote abstain."""
-    t = tokens(text)
     lead = [(label, k.lower()) for label, words in first.items() for k in words]
     rest = [(label, k.lower()) for label, words in rules.items() for k in words]
-    before, out = F.lit(False), []
-    for label, k in lead:
-        hit = F.array_contains(t, k)
-        out.append(F.when(hit & ~before, F.lit(label)).otherwise(F.lit("-1")))
-        before = before | hit
-    out += [F.when(F.array_contains(t, k) & ~before, F.lit(label)).otherwise(F.lit("-1")) for label, k in rest]
-    return F.array(*out)
+
+    def votes(held: Column) -> Column:
+        taken, out = F.lit(False), []
+        for label, k in lead:
+            hit = F.array_contains(held, k)
+            out.append(F.when(hit & ~taken, F.lit(label)).otherwise(F.lit("-1")))
+            taken = taken | hit
+        out += [F.when(F.array_contains(held, k) & ~taken, F.lit(label)).otherwise(F.lit("-1")) for label, k in rest]
+        return F.array(*out)
+
+    return E.let(held_keywords(text, [k for _, k in lead + rest]), votes)
 
 
 @dataclass
@@ -207,9 +284,14 @@ class WeakLabelEncoder:
     def transform(self, df: DataFrame, votes: str = "votes", to: str = "weak") -> DataFrame:
         counts = F.array(*[self._count(votes, c) for c in self.classes])
         if self.method == "majority":
-            return df.withColumn("_c", counts).withColumn(to, F.when(F.array_max("_c") > 0, E.argmax(F.col("_c"))).otherwise(F.lit(-1))).drop("_c")
-        out = df.withColumn("_c", counts)
-        return out.withColumn(to, F.transform("_c", lambda n: F.try_divide(n, F.aggregate("_c", F.lit(0), lambda a, v: a + v)))).drop("_c")
+            return df.withColumn(to, E.let(counts, lambda c: F.when(F.array_max(c) > 0, E.argmax(c)).otherwise(F.lit(-1))))
+        whole = lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v)
+        return df.withColumn(to, E.let(counts, lambda c: E.let(whole(c), lambda n: F.transform(c, lambda v: F.try_divide(v, n)))))
+
+    def fit_transform(self, df: DataFrame, votes: str = "votes", to: str = "weak") -> DataFrame:
+        """Both, with the rows stored in between: votes are taken from the texts once."""
+        rows = stored(df, "votes")
+        return self.fit(rows, votes).transform(rows, votes, to)
 
     @staticmethod
     def _count(votes: str, c) -> Column:

@@ -8,7 +8,7 @@ result is the probe stream (id, member, oob, weight, score).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,39 +16,60 @@ from pyspark.sql import functions as F
 from trustloom.functions import expr as E
 from trustloom.functions.probes import Probe
 from trustloom.operators.linear import LinearModel, fit_logistic_stages, fit_naive_bayes
+from trustloom.operators.staged import staged_fit, staged_predict
+from trustloom.sources.store import stored
 
 STREAM = ("id", "member", "oob", "weight", "score")
 
 
-def stream(df: DataFrame, models: dict[int, LinearModel], probe: Probe | Callable, oob: Column | None = None, **context) -> DataFrame:
-    """All members on all rows: one projection that makes an array of members, then one explode.
-
-    ``probe`` may also be a function of (model, x, y) that gives an array column.
-    """
-    x, y = F.col("x"), F.col("y")
+def member_score(m: LinearModel, probe: Probe | Callable, x: Column, y: Column, **context) -> Column:
+    """A member's probe values as an array; ``probe`` may also be a function of (model, x, y) that gives one."""
+    if isinstance(probe, Probe):
+        return F.array(probe.column(m.score(probe.source, x), y, **context).cast("double"))
+    return probe(m, x, y)
 
-    def score(m: LinearModel) -> Column:
-        if isinstance(probe, Probe):
-            return F.array(probe.column(m.score(probe.source, x), y, **context).cast("double"))
-        return probe(m, x, y)
 
-    rows = F.array(*[F.struct(F.lit(k).alias("member"), score(m).alias("score")) for k, m in models.items()])
+def stream(df: DataFrame, models: dict[int, LinearModel], probe: Probe | Callable, oob: Column | None = None, **context) -> DataFrame:
+    """All members on all rows: one projection that makes an array of members, then one explode."""
+    x, y = F.col("x"), F.col("y")
+    rows = F.array(*[F.struct(F.lit(k).alias("member"), member_score(m, probe, x, y, **context).alias("score")) for k, m in models.items()])
     out = df.select("*", F.explode(rows).alias("_m")).select("*", F.col("_m.member").alias("member"), F.col("_m.score").alias("score"))
     return out.select("id", "member", (oob if oob is not None else F.lit(False)).alias("oob"), F.lit(1.0).alias("weight"), "score")
 
 
-def folds(df: DataFrame, k: int, repeat: int = 0, stratify: str | None = "y", id_: str = "id", name: str = "fold") -> DataFrame:
-    """Add a fold 0 to k - 1: rows of a class in the order of a repeat's arithmetic hash, dealt in turn.
+#: Modulus of the hash that folds are dealt by, and rows of a class that one task deals, about.
+PRIME = (1 << 31) - 1
+DEAL_ROWS = 50_000
+
+
+def _hash(id_: str, repeat: Column) -> Column:
+    return F.pmod(F.pmod(F.col(id_), F.lit(PRIME)) * (F.lit(7919) + 2 * repeat) + (F.lit(13) + repeat), F.lit(PRIME))
 
-    The window is by class and a bucket of the hash, so a class that holds a
-    third of all rows is numbered by many tasks; buckets differ by one row a
-    fold at most.
+
+def folds(df: DataFrame, k: int, repeats: int = 1, stratify: str | None = "y", id_: str = "id") -> DataFrame:
+    """Each row once a repeat, with repeat and fold (0 to k - 1): rows of a class in the order of a hash, dealt in turn.
+
+    The window is by repeat, class and a bucket of the hash; buckets are as many
+    as the rows ask for, so a class that holds a third of all rows is dealt by
+    many tasks. A bucket's folds differ by one row at most.
     """
-    a, b, m = 7919 + 2 * repeat, 13 + repeat, 1_000_003
-    h = F.pmod(F.col(id_) * F.lit(a) + F.lit(b), F.lit(m))
-    keys = [F.col(stratify)] if stratify else []
-    w = Window.partitionBy(*keys, F.floor(h / F.lit(50_000))).orderBy(h, F.col(id_))
-    return df.withColumn(name, F.pmod(F.row_number().over(w), F.lit(k)).cast("int"))
+    buckets = max(1, df.count() // DEAL_ROWS)
+    rows = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rows = rows.withColumn("_h", _hash(id_, F.col("repeat")))
+    keys = ["repeat", *([stratify] if stratify else []), F.floor(F.col("_h") * F.lit(buckets) / F.lit(PRIME))]
+    w = Window.partitionBy(*keys).orderBy("_h", F.col(id_))
+    return rows.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(k)).cast("int")).drop("_h")
+
+
+def shuffle_splits(df: DataFrame, share: float = 0.2, repeats: int = 5, id_: str = "id") -> DataFrame:
+    """Independent splits: fold 0 is a repeat's test part, about ``share`` of the rows; fold 1 is the rest."""
+    rows = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    return rows.withColumn("fold", (_hash(id_, F.col("repeat")) >= F.lit(int(share * PRIME))).cast("int"))
+
+
+def predefined(column: str) -> Callable[[DataFrame], DataFrame]:
+    """Folds that a column of the frame gives."""
+    return lambda df: df.withColumns({"repeat": F.lit(0), "fold": F.col(column).cast("int")})
 
 
 @dataclass
@@ -63,22 +84,29 @@ class NoEnsemble:
 
 @dataclass
 class IndependentEnsemble:
-    """A model for each fold, trained on the others and probed on all rows."""
+    """A model for each fold of each repeat, trained on the repeat's other folds and probed on all rows.
+
+    ``deal`` makes the folds: stratified ones by default, or anything that adds
+    repeat and fold; folds from ``k`` on have no model. All repeats are dealt,
+    counted and scored together, from rows that are stored once.
+    """
 
     classes: int
     k: int = 5
     repeats: int = 1
-    fit: Callable[..., dict[int, LinearModel]] = fit_naive_bayes
+    fit: Callable[..., dict[tuple[int, int], LinearModel]] = fit_naive_bayes
+    deal: Callable[[DataFrame], DataFrame] | None = None
 
     def probe(self, df: DataFrame, probe, **context) -> DataFrame:
-        out = None
-        for r in range(self.repeats):
-            rows = folds(df, self.k, r)
-            models = self.fit(rows, self.classes, by="fold")
-            part = stream(rows, models, probe, F.col("fold") == F.col("member"), **context)
-            part = part.withColumn("member", F.col("member") + F.lit(r * self.k))
-            out = part if out is None else out.unionByName(part)
-        return out
+        deal = self.deal or (lambda rows: folds(rows, self.k, self.repeats))
+        rows = stored(deal(df), "folds")
+        models = {key: m for key, m in self.fit(rows, self.classes, by="fold", within="repeat").items() if key[1] < self.k}
+        x, y, members = F.col("x"), F.col("y"), None
+        for r in sorted({r for r, _ in models}):
+            own = [(f, m) for (of, f), m in sorted(models.items(), key=lambda x: x[0]) if of == r]
+            here = F.array(*[F.struct(F.lit(r * self.k + f).alias("member"), (F.col("fold") == f).alias("oob"), member_score(m, probe, x, y, **context).alias("score")) for f, m in own])
+            members = F.when(F.col("repeat") == r, here) if members is None else members.when(F.col("repeat") == r, here)
+        return rows.select("id", F.explode(members).alias("_m")).select("id", "_m.member", "_m.oob", F.lit(1.0).alias("weight"), "_m.score")
 
 
 @dataclass
@@ -113,9 +141,15 @@ class LeaveOneOutEnsemble:
 
 @dataclass
 class ProgressiveEnsemble:
-    """A member for each training stage, every ``steps``-th kept."""
+    """A member for each training stage, every ``steps``-th kept.
+
+    With staging "fit", ``stages`` is an estimator that :func:`staged_fit` knows,
+    or a function of the frame that gives the stages' models. With "predict" it
+    is an estimator with a fit method, or such a function that gives one model:
+    it is fitted once and :func:`staged_predict` takes its stages apart.
+    """
 
-    stages: Callable[[DataFrame], Sequence[LinearModel]] = fit_logistic_stages
+    stages: object = fit_logistic_stages
     steps: int = 1
     staging: str = "fit"
 
@@ -125,9 +159,13 @@ class ProgressiveEnsemble:
         if not isinstance(self.steps, int) or self.steps <= 0:
             raise ValueError("steps is a positive integer")
 
+    def models(self, df: DataFrame) -> Sequence:
+        if self.staging == "fit":
+            return staged_fit(self.stages, df)
+        return staged_predict(self.stages.fit(df) if hasattr(self.stages, "fit") else self.stages(df))
+
     def probe(self, df: DataFrame, probe, **context) -> DataFrame:
-        models = self.stages(df)
-        return stream(df, {k: m for k, m in enumerate(models) if k % self.steps == 0}, probe, **context)
+        return stream(df, {k: m for k, m in enumerate(self.models(df)) if k % self.steps == 0}, probe, **context)
 
 
 @dataclass
@@ -157,12 +195,12 @@ class OutlierEnsemble:
 class CalibratedEnsemble:
     """Members calibrated on a slice of rows before they are probed; the rest are the rows returned.
 
-    Rows of ``slice_of`` (a boolean column) calibrate: a logistic of each
-    class's score, fitted there by gradient steps; probabilities are
-    renormalised.
+    ``inner`` is any ensemble. Rows of ``slice_of`` (a boolean column) calibrate:
+    a map of each member's score of each class, fitted there; probabilities are
+    renormalised. Members train on the rest alone.
     """
 
-    inner: NoEnsemble
+    inner: object
     classes: int
     slice_of: Column
     epochs: int = 20
@@ -170,19 +208,38 @@ class CalibratedEnsemble:
     method: str = "sigmoid"
 
     def probe(self, df: DataFrame, probe: Probe, **context) -> DataFrame:
-        marked = df.withColumn("_slice", self.slice_of)
-        train, held = marked.filter(~F.col("_slice")), marked.filter("_slice")
-        model = self.inner.fit(train)
-        p = model.probabilities(F.col("x"))
-        maps = []
-        for c in range(self.classes):
-            rows = held.select(F.array(F.get(p, F.lit(c))).alias("x"), (F.col("y") == c).cast("int").alias("y"))
-            maps.append(self._map(rows))
-        q = F.array(*[m(F.get(p, F.lit(c))) for c, m in enumerate(maps)])
-        out = train.withColumn("_q", q)
-        s = F.transform("_q", lambda v: v / F.greatest(E.total(F.col("_q")), F.lit(1e-12)))
+        marked = stored(df.withColumn("_slice", self.slice_of), "marked")
+        scored = stored(self._member_probabilities(marked), "members")
+        rows = scored.join(marked.select("id", F.col("y").alias("_y"), "_slice"), "id")
+        held, rest = rows.filter("_slice"), rows.filter("not _slice")
+        members = sorted(r["member"] for r in held.select("member").distinct().collect())  # a row a member
+        calibrated = None
+        for k in members:
+            own = held.filter(F.col("member") == k)
+            maps = [self._map(own.select(F.array(F.get("p", F.lit(c))).alias("x"), (F.col("_y") == c).cast("int").alias("y"))) for c in range(self.classes)]
+            q = F.array(*[m(F.get("p", F.lit(c))) for c, m in enumerate(maps)])
+            calibrated = F.when(F.col("member") == k, q) if calibrated is None else calibrated.when(F.col("member") == k, q)
+        out = rest.withColumn("_q", calibrated)
+        s = E.let(F.col("_q"), lambda q: E.let(F.greatest(E.total(q), F.lit(1e-12)), lambda t: F.transform(q, lambda v: v / t)))
         s = E.argmax(s) if probe.source == "predictions" else s
-        return out.select("id", F.lit(0).alias("member"), F.lit(False).alias("oob"), F.lit(1.0).alias("weight"), F.array(probe.column(s, F.col("y"), **context).cast("double")).alias("score"))
+        return out.select("id", "member", "oob", "weight", F.array(probe.column(s, F.col("_y"), **context).cast("double")).alias("score"))
+
+    def _member_probabilities(self, marked: DataFrame) -> DataFrame:
+        """(id, member, oob, weight, p) of every row: models of the rest applied to all."""
+        train = marked.filter("not _slice").drop("_slice")
+        everywhere = lambda m, x, y: m.probabilities(x)
+        if hasattr(self.inner, "models"):
+            models = dict(enumerate(self.inner.models(train)))
+        elif isinstance(self.inner, IndependentEnsemble):
+            rows = stored(folds(train, self.inner.k, self.inner.repeats), "folds")
+            found = self.inner.fit(rows, self.inner.classes, by="fold", within="repeat")
+            models = {r * self.inner.k + f: m for (r, f), m in found.items()}
+            oob = rows.select("id", (F.col("repeat") * self.inner.k + F.col("fold")).alias("member"), F.lit(True).alias("_out"))
+            out = stream(marked, models, everywhere).drop("oob").join(oob, ["id", "member"], "left")
+            return out.select("id", "member", F.coalesce("_out", F.lit(False)).alias("oob"), "weight", F.col("score").alias("p"))
+        else:
+            models = {0: self.inner.fit(train)}
+        return stream(marked, models, everywhere).withColumnRenamed("score", "p")
 
     def _map(self, rows: DataFrame) -> Callable[[Column], Column]:
         if self.method == "sigmoid":
@@ -203,48 +260,3 @@ class CalibratedEnsemble:
             return F.when(v <= xs[0], F.lit(ys[0])).otherwise(out)
 
         return step
-
-
-@dataclass
-class BoostedStumps:
-    """AdaBoost of one-feature stumps on 0/1 features; stages are prefixes of the sequence.
-
-    One aggregation a round over weights that follow from the rounds before.
-    """
-
-    rounds: int = 5
-    models: list[tuple[int, float, float]] = field(default_factory=list)
-
-    def fit(self, df: DataFrame) -> "BoostedStumps":
-        import math
-
-        d = len(df.select("x").first()["x"])
-        self.models = []
-        sign = 2.0 * F.col("y") - 1.0
-        for _ in range(self.rounds):
-            w = F.exp(-sign * self.score(F.col("x")))
-            sums = df.agg(F.sum(w).alias("all"), *[F.sum(w * sign * (2.0 * F.get("x", F.lit(j)) - 1.0)).alias(f"c{j}") for j in range(d)]).first()
-            edge = [sums[f"c{j}"] / sums["all"] for j in range(d)]
-            j = max(range(d), key=lambda k: abs(edge[k]))
-            r = min(max(edge[j], -1 + 1e-9), 1 - 1e-9)
-            self.models.append((j, 0.5 * math.log((1 + r) / (1 - r)), 0.0))
-        return self
-
-    def score(self, x: Column, upto: int | None = None) -> Column:
-        out = F.lit(0.0)
-        for j, a, _ in self.models[:upto]:
-            out = out + F.lit(a) * (2.0 * F.get(x, F.lit(j)) - 1.0)
-        return out
-
-    def stages(self, df: DataFrame) -> list[LinearModel]:
-        """Each prefix as a linear model of one output: a sum of stumps on 0/1 features is one."""
-        self.fit(df)
-        d = len(df.select("x").first()["x"])
-        out = []
-        for k in range(1, len(self.models) + 1):
-            w, b = [0.0] * d, 0.0
-            for j, a, _ in self.models[:k]:
-                w[j] += 2 * a
-                b -= a
-            out.append(LinearModel([w], [b]))
-        return out

@@ -129,7 +129,7 @@ class LinearModel:
         else:
             e = np.exp(z - z.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
-        target = y.reshape(-1, 1) if self.outputs == 1 else np.eye(self.outputs)[y.astype(int)]
+        target = y.reshape(-1, 1) if self.outputs == 1 else np.eye(self.outputs)[y.astype(int)] if self.classifier else np.repeat(y.reshape(-1, 1), self.outputs, axis=1)
         Xt = np.hstack([X, np.ones((len(X), 1))]) if self.intercept is not None else X
         return p, p - target, Xt
 
@@ -215,6 +215,23 @@ def influence(df: DataFrame, model: LinearModel) -> DataFrame:
     return df.select("id", "x", "y").mapInPandas(run, "id long, self_influence double, leverage double, cook double, cook_bar double, approximate_loo double")
 
 
+def hat_blocks(df: DataFrame, model: LinearModel) -> DataFrame:
+    """Id and block, the C x C block of the hat matrix of each row: root(V) J H^-1 J' root(V)."""
+    inv = np.linalg.pinv(hessian(df, model), hermitian=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                p, _, Xt = model.batch(np.array(b["x"].tolist(), float), np.zeros(len(b)))
+                w, U = np.linalg.eigh(model.variances(p))
+                root = np.einsum("nij,nj,nkj->nik", U, np.sqrt(np.clip(w, 0, None)), U)
+                J = model.jacobians(Xt, np.repeat(np.eye(model.outputs)[None], len(b), axis=0))
+                h = np.einsum("nik,npk,pq,nql,nlj->nij", root, J, inv, J, root, optimize=True)
+                yield pd.DataFrame({"id": b["id"], "block": [list(map(list, x)) for x in h]})
+
+    return df.select("id", "x").mapInPandas(run, "id long, block array<array<double>>")
+
+
 def influence_one(df: DataFrame, model: LinearModel) -> DataFrame:
     """The same for one output, as column expressions over the inverse Hessian's literals."""
     inv = np.linalg.inv(hessian(df, model))
@@ -303,22 +320,22 @@ def fit_logistic_stages(df: DataFrame, epochs: int = 5, rate: float = 1.0, class
     return out
 
 
-def fit_naive_bayes(df: DataFrame, classes: int, by: str | None = None, smoothing: float = 1.0) -> dict[int, LinearModel]:
-    """Bernoulli naive Bayes on 0/1 features, as linear models.
+def fit_naive_bayes(df: DataFrame, classes: int, by: str | None = None, within: str | None = None, smoothing: float = 1.0) -> dict:
+    """Bernoulli naive Bayes on 0/1 features, as linear models by member: 0, or the fold, or (repeat, fold).
 
     With ``by`` (a fold column) a model for each fold, trained on the other
-    folds: one aggregation gives the counts of all, and a fold's are taken away
-    from the totals.
+    folds, of the same repeat where ``within`` names that column: one aggregation
+    gives the counts of all, and a fold's are left out of its repeat's sums.
     """
     d = len(df.select("x").first()["x"])
-    keys = ["y"] if by is None else ["y", by]
+    keys = ["y", *[k for k in (within, by) if k]]
     rows = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.get("x", F.lit(j))).alias(f"c{j}") for j in range(d)]).collect()  # classes x folds rows
-    members = sorted({r[by] for r in rows}) if by else [0]
+    members = sorted({(r[within], r[by]) if within else r[by] for r in rows}) if by else [0]
     out = {}
     for m in members:
         n, c = np.zeros(classes), np.zeros((classes, d))
         for r in rows:
-            if by is None or r[by] != m:
+            if by is None or (r[within] == m[0] and r[by] != m[1] if within else r[by] != m):
                 n[r["y"]] += r["n"]
                 c[r["y"]] += [r[f"c{j}"] for j in range(d)]
         theta = (c + smoothing) / (n + 2 * smoothing)[:, None]

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from trustloom.operators.linear import LinearModel, _partial_sums
 
+#: Rows of a kernel's second side that are sent to all at once.
+BLOCK = 1024
+
 
 class Mlp:
     """Layers of (weights d x h, biases h), a hidden activation, and raw outputs."""
@@ -78,7 +81,7 @@ class Mlp:
 
     def kernel(self, X: np.ndarray, Y: np.ndarray) -> np.ndarray:
         """sum over outputs of J(X) J(Y)'."""
-        return np.einsum("nop,mop->nm", self.jacobian(X), self.jacobian(Y))
+        return self.jacobian(X).reshape(len(X), -1) @ self.jacobian(Y).reshape(len(Y), -1).T
 
     def linearised(self, regul: float | None = None) -> LinearModel:
         """The last layer as a linear model over the hidden features."""
@@ -113,6 +116,42 @@ def kernel_rows(df: DataFrame, mlp: Mlp, landmarks: np.ndarray) -> DataFrame:
     return _mapped(df, lambda X: mlp.kernel(X, landmarks), "kernel")
 
 
+def kernel(df: DataFrame, mlp: Mlp, chosen: str) -> DataFrame:
+    """F04 among rows: id and the kernel between each row and the rows that ``chosen`` selects, in the order of their ids.
+
+    The chosen rows are a stated set, gathered in blocks of BLOCK rows at most;
+    every block is a pass over all rows.
+    """
+    out, block, k = None, [], 0
+    parts = []
+    for r in df.filter(chosen).select("x").orderBy("id").toLocalIterator():
+        block.append(r["x"])
+        if len(block) == BLOCK:
+            parts.append(np.array(block, float))
+            block = []
+    if block or not parts:
+        parts.append(np.array(block, float).reshape(len(block), -1))
+    for k, landmarks in enumerate(parts):
+        rows = kernel_rows(df, mlp, landmarks).withColumn("part", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    if len(parts) == 1:
+        return out.drop("part")
+    return out.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "kernel"))), lambda p: p["kernel"])).alias("kernel"))
+
+
+def loglikelihood(df: DataFrame, mlp: Mlp) -> DataFrame:
+    """id and the log probability of each row's label under the network's softmax."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                z = mlp.forward(np.array(b["x"].tolist(), float))[-1]
+                top = z.max(axis=1)
+                yield pd.DataFrame({"id": b["id"], "value": z[np.arange(len(b)), b["y"]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))})
+
+    return df.select("id", "x", "y").mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, value double")
+
+
 def fisher(df: DataFrame, mlp: Mlp, regul: float = 0.0, by_layer: bool = False) -> np.ndarray | list[np.ndarray]:
     """Sum of J' V J over rows of a softmax network, biases penalised too; or the blocks of each layer."""
     p = mlp.num_params

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.functions import expr as E
 from trustloom.operators.linear import LinearModel
 
 STOP = ["the", "le", "des", "der", "und", "el", "los"]
@@ -35,7 +36,7 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.array(*[F.when(F.contains(low, F.lit(f" {w} ")), 1.0).otherwise(0.0) for w in STOP])
     y = F.array_position(F.array(*[F.lit(v) for v in LANGS]), F.col("lang")).cast("int") - 1
     flipped = F.pmod(F.col("doc_id") * 7919 + 13, F.lit(50)) == 0
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), x.alias("x"), y.alias("_y"), flipped.alias("flipped"))
+    rows = E.held(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", y.alias("_y"), flipped.alias("flipped")), x=x)
     return rows.select("id", "x", F.when(F.col("flipped"), F.pmod(F.col("_y") + 1, F.lit(4))).otherwise(F.col("_y")).alias("y"), "flipped")
 
 

@@ -1,4 +1,4 @@
-"""Queries on models of pyspark.ml and numpy, and the metrics; no SQL stands for iterative fits."""
+"""Models of pyspark.ml: parameter counts, linearisation, leaf features; and the metrics."""
 
 from __future__ import annotations
 
@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions import expr as E
-from trustloom.functions import probes as P
-from trustloom.operators import aggregates as A
-from trustloom.operators import detectors as T
-from trustloom.operators import ensembles as N
 from trustloom.operators import linear as L
 from trustloom.operators import networks
+from trustloom.operators import staged as S
 from trustloom.plans import base as B
+from trustloom.sources.store import before, ranged
 
 # Parameters of a model, by its type; open to more through register() --------------------------
 
@@ -65,6 +63,16 @@ def _(model) -> int:
     return sum((t.numNodes + 1) // 2 for t in model.trees)
 
 
+@parameter_count.register
+def _(model: S.TreeSum) -> int:
+    return sum(S.leaves(t) for t in model.trees)
+
+
+@parameter_count.register
+def _(model: S.StumpSum) -> int:
+    return 2 * len(model.stumps)
+
+
 # Linearisation: a fitted model and its rows as (linear model, rows with new features) ----------------
 
 
@@ -106,6 +114,13 @@ def _(model, df: DataFrame):
     return linearize(fitted, rows)
 
 
+def leaf_features(model: S.TreeSum, df: DataFrame) -> DataFrame:
+    """F01 as columns: x becomes the one-hot leaf of every tree, leaves from the left."""
+    place = [S.tree_column(t, F.col("x"), lambda k, v: k) for t in model.trees]
+    hot = [F.transform(F.sequence(F.lit(0), F.lit(S.leaves(t) - 1)), (lambda p: lambda c: F.when(c == p, 1.0).otherwise(0.0))(p)) for t, p in zip(model.trees, place)]
+    return df.withColumn("x", F.concat(*hot))
+
+
 def tree_projections(model, df: DataFrame) -> DataFrame:
     """x becomes the one-hot leaf of every tree; a leaf that no tree has gives zeros."""
     model.setLeafCol("_leaf")
@@ -131,17 +146,15 @@ def _features(df: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, good: str) -> DataFrame:
     """auc: the share of (good, bad) pairs in order, ties half, by sums over distinct scores.
 
-    Ranks are running sums over counts of distinct scores in two steps: buckets of
-    score ranges, then inside each, so that no task sorts all rows.
+    Ranks are running sums over counts of distinct scores in two steps: ranges of
+    about as many scores, then inside each, so that no task sorts all rows.
     """
     per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(good)).alias("g"), F.count_if(~F.col(good)).alias("b"))
-    low, high = df.agg(F.min(score), F.max(score)).first()
-    width = (high - low) or 1.0
-    per = per.withColumn("k", F.floor((F.col("s") - F.lit(low)) / F.lit(width / 256)))
+    per = ranged(per, "s", name="k")
     buckets = per.groupBy("k").agg(F.sum("b").alias("n"))
-    before = buckets.select("k", F.coalesce(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 257 rows
+    buckets = buckets.select("k", before(buckets, "n", "k").alias("before"))  # a row a range
     inside = F.coalesce(F.sum("b").over(Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = per.withColumn("inside", inside).join(F.broadcast(before), "k")
+    rows = per.withColumn("inside", inside).join(F.broadcast(buckets), "k")
     return rows.agg((F.sum(F.col("g") * (F.col("before") + F.col("inside") + F.col("b") / 2)) / (F.sum("g") * F.sum("b"))).alias("auc"))
 
 
@@ -164,32 +177,18 @@ def _two(spark, sf) -> DataFrame:
     return _features(B.languages(spark, sf).withColumn("y", (F.col("y") == 1).cast("int")).select("id", "x", "y"))
 
 
-def _count(spark, model) -> DataFrame:
-    return spark.range(1).select(F.lit(parameter_count(model)).alias("value"))
-
-
 def z04_logistic(spark, sf):
     rows = _two(spark, sf)
     model, rows = linearize(LogisticRegression(labelCol="y", regParam=0.01, standardization=False).fit(rows), rows)
     return L.influence_one(rows, model).select("id", "self_influence")
 
 
-def z03_sgd(spark, sf):
-    rows = _two(spark, sf).cache()
-    return T.self_influence(lambda df: L.fit_logistic_stages(df, 10, 1.0, regul=0.01)[-1]).trust_score(rows)
-
-
 def z07_trees(spark, sf):
     rows = _two(spark, sf)
     model, rows = linearize(_tree(rows, 3), rows)
     return L.influence(rows, model).select("id", "cook")
 
 
-def f01_tree_projections(spark, sf):
-    rows = _features(B.languages(spark, sf))
-    return tree_projections(_tree(rows), rows.drop("features")).select("id", "x")
-
-
 def _mlp(rows: DataFrame) -> networks.Mlp:
     sizes = [7, 5, 4]
     return networks.Mlp.of_spark(MultilayerPerceptronClassifier(labelCol="y", layers=sizes, seed=SEED, maxIter=30).fit(rows).weights.toArray(), sizes)
@@ -202,108 +201,8 @@ def z05_mlp(spark, sf):
     return L.influence(hidden, mlp.linearised(1.0)).select("id", "self_influence", "approximate_loo")
 
 
-def z06_fisher(spark, sf):
-    mlp = networks.Mlp.init([7, 3, 4], SEED)
-    h = networks.fisher(B.languages(spark, sf), mlp, 0.1)
-    return spark.createDataFrame([(i, float(h[i, i])) for i in range(len(h))], "parameter int, value double")
-
-
-def f02_tangent(spark, sf):
-    return networks.neural_tangent_features(B.languages(spark, sf), networks.Mlp.init([7, 3, 4], SEED))
-
-
-def f03_random(spark, sf):
-    return networks.neural_random_features(B.languages(spark, sf), networks.Mlp.init([7, 6, 4], SEED))
-
-
-def f04_kernel(spark, sf):
-    import numpy as np
-
-    return networks.kernel_rows(B.languages(spark, sf), networks.Mlp.init([7, 3, 4], SEED), np.eye(7))
-
-
-def _gbt_margins(spark, sf, rounds: int = 5) -> DataFrame:
-    """Running sums of weighted tree outputs: id, y, member, margin of every prefix."""
-    rows = _two(spark, sf)
-    model = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=2, seed=SEED).fit(rows)
-    out = rows
-    for k, t in enumerate(model.trees):
-        out = t.setPredictionCol(f"_t{k}").transform(out)
-        out = out.drop(t.getOrDefault("rawPredictionCol") if t.hasParam("rawPredictionCol") and t.isSet("rawPredictionCol") else "_none")
-    terms = F.array(*[F.col(f"_t{k}") * F.lit(float(w)) for k, w in enumerate(model.treeWeights)])
-    prefixes = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda k: E.total(F.slice(terms, F.lit(1), k)))
-    return out.select("id", "y", F.posexplode(prefixes).alias("member", "margin"))
-
-
-def _staged(spark, sf, source: str) -> DataFrame:
-    rows = _gbt_margins(spark, sf)
-    m = F.col("margin")
-    if source == "predictions":
-        return rows.withColumn("s", (m > 0).cast("int"))
-    p = E.logistic(2.0 * m)
-    return rows.withColumn("s", F.array(1.0 - p, p) if source == "probabilities" else F.array(-m, m))
-
-
-def _stage_stream(rows: DataFrame, probe: P.Probe) -> DataFrame:
-    return rows.select("id", "member", F.lit(False).alias("oob"), F.lit(1.0).alias("weight"), F.array(probe.column(F.col("s"), F.col("y")).cast("double")).alias("score"))
-
-
-def s02_boosting_aum(spark, sf):
-    return A.TOTAL.run(_stage_stream(_staged(spark, sf, "scores"), P.margin())).withColumnRenamed("value", "trust")
-
-
-def s10_nested(spark, sf):
-    return _stage_stream(_staged(spark, sf, "scores"), P.margin()).select("id", "member", "score")
-
-
-def s12_probabilities(spark, sf):
-    return _staged(spark, sf, "probabilities").select("id", "member", F.col("s").alias("score"))
-
-
-def s13_predictions(spark, sf):
-    return A.FORGET.run(_stage_stream(_staged(spark, sf, "predictions"), P.accuracy()))
-
-
-def s04_adaboost(spark, sf):
-    rows = _two(spark, sf).select("id", "x", "y").cache()
-    return T.area_under_margin(N.BoostedStumps(5).stages).trust_score(rows)
-
-
-def s06_depths(spark, sf):
-    """A stage for each depth of a tree: MLlib has no pruning path."""
-    rows = _features(B.languages(spark, sf))
-    out = None
-    for k in range(5):
-        m = _tree(rows, k)
-        part = m.transform(rows).select("id", "y", F.lit(k).alias("member"), F.col("prediction").cast("int").alias("s"))
-        out = part if out is None else out.unionByName(part)
-    return A.FORGET.run(_stage_stream(out, P.accuracy()))
-
-
-def e06_calibrated(spark, sf):
-    rows = B.languages(spark, sf).cache()
-    e = N.CalibratedEnsemble(N.NoEnsemble(lambda df: L.fit_naive_bayes(df, 4)[0]), 4, F.pmod(F.col("id"), F.lit(4)) == 0, method="isotonic")
-    return A.TOTAL.run(e.probe(rows, P.margin("probabilities")))
-
-
 QUERIES = {
-    "Z03_sgd_linearised": z03_sgd,
     "Z04_logistic_linearised": z04_logistic,
     "Z05_mlp_linearised": z05_mlp,
-    "Z06_mlp_fisher": z06_fisher,
     "Z07_tree_linearised": z07_trees,
-    "F01_tree_projections": f01_tree_projections,
-    "F02_neural_tangent_features": f02_tangent,
-    "F03_neural_random_features": f03_random,
-    "F04_neural_tangent_kernel": f04_kernel,
-    "P40c_tree_leaves": lambda s, d: _count(s, _tree(_features(B.languages(s, d)))),
-    "P40d_forest_leaves": lambda s, d: _count(s, RandomForestClassifier(labelCol="y", numTrees=5, seed=SEED).fit(_features(B.languages(s, d)))),
-    "P40e_boosting_leaves": lambda s, d: _count(s, GBTClassifier(labelCol="y", maxIter=3, seed=SEED).fit(_two(s, d))),
-    "S02_boosting_aum": s02_boosting_aum,
-    "S04_adaboost_aum": s04_adaboost,
-    "S06_tree_depth_forget": s06_depths,
-    "S10_staged_margin": s10_nested,
-    "S12_staged_probabilities": s12_probabilities,
-    "S13_staged_predictions_forget": s13_predictions,
-    "E06_calibrated_margin": e06_calibrated,
 }
