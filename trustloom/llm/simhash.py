@@ -29,9 +29,7 @@ SEED = 42
 GOLAY = 0b110001110101
 HALF = 23
 RADIUS = 3
-#: Members of an anchor that are compared at once.
-BLOCK = 2048
-#: Homes and members of an anchor over which it is cut into separate groups.
+#: Homes, and members, of an anchor that one group holds at most, about: a larger anchor is cut into a grid of groups.
 HOT = 8192
 
 
@@ -156,6 +154,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(code), pa.array(part[row]), pa.array(home)], ["anchor", "fp", "home"])
 
 
+def _home_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False)
+        low, high = _within(fp & ((1 << HALF) - 1), 0)[1], _within(fp >> HALF & ((1 << HALF) - 1), 0)[1]
+        yield pa.record_batch([pa.array(low << HALF | high)], ["anchor"])
+
+
 def _forest(homes: np.ndarray, members: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links between homes and members that join everything linked: at most one for each member."""
     us, vs = [], []
@@ -181,7 +186,7 @@ def _forest(homes: np.ndarray, members: np.ndarray, threshold: int) -> tuple[lis
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each run of rows with one anchor and block; rows come sorted by them.
 
-    Holds one group at a time: eight bytes a member of an anchor's block.
+    Holds one group at a time, of about twice HOT rows at most.
     """
     rest: pa.Table | None = None
 
@@ -231,48 +236,58 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(u, v): links between distinct fingerprints (a column fp), enough to join all that are linked.
 
-    Homes of an anchor over HOT are cut into blocks by hash; the anchor's
-    members go to each of them, so a crowded anchor is many groups.
+    An anchor with more homes or members than HOT is cut by hash into a grid of
+    groups, of some homes and some members each: every home meets every member
+    in one of them, and no task holds a crowded anchor whole.
     """
     if threshold != THRESHOLD:
         raise ValueError(f"the anchors are laid out for a threshold of {THRESHOLD}")
-    rows = fps.select("fp").mapInArrow(_anchor_rows, "anchor long, fp long, home boolean")
-    homes = rows.filter("home").groupBy("anchor").agg(F.count("*").alias("n")).select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
-    # Only anchors where some fingerprint is at home can compare anything: the join drops the rest.
-    rows = rows.join(homes, "anchor")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.withColumn("block", F.explode(blocks)).withColumn("home", F.col("home") & (own == F.col("block"))).select("anchor", "block", "fp", "home")
+    # Only anchors where some fingerprint is at home can compare anything: the join drops the rest. Tables that
+    # are joined are stored: the planner sends small ones to all and can split the hot keys of large ones.
+    homes = stored(fps.select("fp").mapInArrow(_home_rows, "anchor long").distinct(), "homes")
+    rows = fps.select("fp").mapInArrow(_anchor_rows, "anchor long, fp long, home boolean").join(homes, "anchor")
+    rows = stored(rows.select("anchor", "fp", "home"), "members")
+    cuts = lambda n: F.ceil(n / HOT).cast("int")
+    hot = rows.groupBy("anchor").agg(cuts(F.count_if("home")).alias("h"), cuts(F.count("*")).alias("m")).filter("m > 1")
+    rows = rows.join(stored(hot, "hot"), "anchor", "left").withColumns({"h": F.coalesce("h", F.lit(1)), "m": F.coalesce("m", F.lit(1))})
+    part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    group = lambda i, j, home: F.struct((i * F.col("m") + j).alias("block"), home.alias("home"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(upto("h"), lambda i: group(i, part("m"), F.col("home") & (i == part("h"))))
+    as_home = F.transform(F.filter(upto("m"), lambda j: F.col("home") & (j != part("m"))), lambda j: group(part("h"), j, F.lit(True)))
+    rows = rows.select("anchor", "fp", F.explode(F.concat(as_member, as_home)).alias("g")).select("anchor", "g.block", "fp", "g.home")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "anchor", "block").sortWithinPartitions("anchor", "block", "fp")
     return rows.mapInArrow(_links, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over the edges (u, v), for all nodes that have one.
 
     Each round links every node's larger neighbours, and the node itself, to its
     least neighbour, and then does so for the smaller ones; what is left is a
     star for each component. The number of rounds grows with the logarithm of a
-    component's width. Rows are cut off from their lineage in the shared folder.
+    component's width; each makes progress, so there are no more than nodes. Rows
+    are cut off from their lineage in the shared folder, and a node's least
+    neighbour is stored before the join, in which a hub's rows can be split.
     """
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    before, rounds = None, 0
+    while True:
         # Large star: over both directions, larger neighbours go to the least.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         # Small star: the smaller neighbours of a node, and the node, go to their least.
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
+        m = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
         now = stored(small.filter("u <> v").distinct(), "edges")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
+        before, rounds = state, rounds + 1
+        if rounds > 2 * state["n"] + 2:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -282,15 +297,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A row per input row. Copies share a fingerprint and are linked through it
     without pairs. Empty, blank and null texts have fingerprint zero and link
     like any other. Null ids are kept and don't name a component unless no
-    other id is in it. Extra columns are ignored.
+    other id is in it. Texts of any length are read whole; repeated rows give a
+    row each. Extra columns are ignored; an empty table gives no rows.
     """
     fps = stored(fingerprints(docs, doc_id, text), "fingerprints")
     groups = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    comp = components(links(groups))
+    comp = stored(components(links(groups)), "components")
     # Component ids follow from the least id of each fingerprint, not of each document.
     member = groups.join(comp, groups["fp"] == comp["node"])
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = comp.join(roots, "root").select("node", "component_id")
+    named = comp.join(stored(roots, "roots"), "root").select("node", "component_id")
     ids = groups.join(named, groups["fp"] == named["node"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = fps.join(ids, "fp")
+    out = fps.join(stored(ids, "ids"), "fp")  # stored, so that the rows of a hot fingerprint can be split
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
