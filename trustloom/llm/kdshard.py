@@ -2,10 +2,12 @@
 
 A node with k shards is split into floor(k / 2) and ceil(k / 2) shards at the
 weighted quantile floor(k / 2) / k along its widest dimension, until each leaf
-is one shard of about the target bytes. Each dimension of a row is one integer:
-the value in the high bits and a hash of the row in the low ones, so that ties
-(one source or size that a third of the rows share) are cut as evenly as
-anything else. Quantiles are found by histograms, narrowed until the cut is
+is one shard of about the target bytes. How wide a node is along a number is its
+range, and along a name (language, source) how many names it holds, each as a
+share of the whole table's. Each dimension of a row is one integer: the value, of
+a name its hash, in the high bits and a hash of the row in the low ones, so that
+ties (one source or size that a third of the rows share, rows that repeat) are
+cut as evenly as anything else. Quantiles are found by histograms, narrowed until the cut is
 exact or within ``TOLERANCE`` of a shard; the driver only sees ``BINS`` sums a
 node, whatever the number of rows.
 """
@@ -85,18 +87,20 @@ def _cuts(rows: DataFrame, root: Node, nodes: list[Node], weights: dict[int, flo
                 del open_[first]
 
 
-def kd_tree(rows: DataFrame, dims: list[str], shards: int) -> Node:
-    """The tree over ``rows`` (the key columns ``dims`` and size)."""
+def kd_tree(rows: DataFrame, dims: list[str], shards: int, names: tuple[str, ...] = ()) -> Node:
+    """The tree over ``rows`` (the key columns ``dims`` and size); ``names`` are the dimensions without an order."""
     root = Node(shards, 0)
     total = None
+    count = lambda d: F.approx_count_distinct(F.shiftright(d, TIE_BITS)) if d in names else F.lit(0)
+    extent = lambda r, d: r[f"n_{d}"] - 1 if d in names else r[f"max_{d}"] - r[f"min_{d}"]
     while True:
         nodes = [n for n in _leaves(root) if n.shards > 1]
         if not nodes:
             return root
-        aggs = [F.sum("size").alias("w")] + [f(d).alias(f"{k}_{d}") for d in dims for k, f in (("min", F.min), ("max", F.max))]
+        aggs = [F.sum("size").alias("w")] + [f(d).alias(f"{k}_{d}") for d in dims for k, f in (("min", F.min), ("max", F.max), ("n", count))]
         seen = {r["_node"]: r for r in rows.withColumn("_node", _route(root, lambda n: F.lit(n.first))).groupBy("_node").agg(*aggs).collect()}
         if total is None:
-            whole = {d: max(1, seen[0][f"max_{d}"] - seen[0][f"min_{d}"]) for d in dims} if seen else {}
+            whole = {d: max(1, extent(seen[0], d)) for d in dims} if seen else {}
             total = seen[0]["w"] if seen else 0
         weights, ranges, full = {}, {}, []
         for n in nodes:
@@ -104,7 +108,7 @@ def kd_tree(rows: DataFrame, dims: list[str], shards: int) -> Node:
             if r is None:  # nothing here: any cut will do
                 n.cut, n.left, n.right = (dims[0], 0), Node(n.shards // 2, n.first), Node(n.shards - n.shards // 2, n.first + n.shards // 2)
                 continue
-            widest = max(dims, key=lambda d: (r[f"max_{d}"] - r[f"min_{d}"]) / whole[d])
+            widest = max(dims, key=lambda d: extent(r, d) / whole[d])
             weights[n.first], ranges[n.first] = float(r["w"]), (widest, r[f"min_{widest}"], r[f"max_{widest}"])
             full.append(n)
         if full:
@@ -116,19 +120,20 @@ def kd_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     Give the number of shards, or ``target_bytes`` for as many as needed. The
     dimensions are the size, the language, the source and the id. Size is the
-    text's UTF-8 bytes plus 16; null texts count none. Null metadata sorts
-    first. Repeated rows are rows like others; rows that agree in id and text
-    can't be told apart, and share a shard. Extra columns are ignored. An
-    empty table gives no rows.
+    text's UTF-8 bytes plus 16; null texts count none, and very long ones weigh
+    as much as they have bytes. Null metadata sorts first. Each row is dealt by
+    itself: equal texts, and rows that repeat, spread like others. Extra columns,
+    whatever their names, are ignored. An empty table gives no rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    tie = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << TIE_BITS))
+    tie = F.pmod(F.xxhash64(doc_id, text, F.monotonically_increasing_id()), F.lit(1 << TIE_BITS))
     key = lambda value: (F.least(value, F.lit((1 << 31) - 1)) * F.lit(1 << TIE_BITS) + tie).cast("long")
     code = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit((1 << 31) - 1)) + 1, F.lit(0))
     size = (F.octet_length(t) + 16).cast("long")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         size.alias("size"),
+        tie.alias("tie"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
         key(size).alias("d_size"),
         key(F.when(F.col(lang).isNull(), 0).otherwise(code(F.col(lang)))).alias("d_lang"),
@@ -140,20 +145,20 @@ def kd_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
     dims = ["d_size", "d_lang", "d_source", "d_id"]
-    root = kd_tree(rows, dims, shards)
+    root = kd_tree(rows, dims, shards, ("d_lang", "d_source"))
     rows = rows.withColumn("shard", _route(root, lambda n: F.lit(n.first)))
-    return _numbered(rows.select("doc_id", "size", "text_crc32", "shard"), shards)
+    return _numbered(rows.select("doc_id", "size", "text_crc32", "shard", "tie"), shards)
 
 
 def _numbered(rows: DataFrame, shards: int) -> DataFrame:
     """Add slot: rows of a shard go to hashed buckets of about SLOT_ROWS, numbered in themselves and then offset."""
     buckets = max(4, -(-rows.count() // (shards * SLOT_ROWS)))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod("tie", F.lit(buckets)).cast("int"))
     from pyspark.sql import Window
 
     counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "tie")
     rows = rows.withColumn("_at", F.row_number().over(inside) - 1).join(counts, ["shard", "_bucket"])
     return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("_before") + F.col("_at")).cast("long").alias("slot"))
