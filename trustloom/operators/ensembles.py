@@ -39,11 +39,13 @@ def stream(df: DataFrame, models: dict[int, LinearModel], probe: Probe | Callabl
 
 #: Modulus of the hash that folds are dealt by, and rows of a class that one task deals, about.
 PRIME = (1 << 31) - 1
+#: Factor of the hash in the first repeat, and what each repeat adds: large, so that neighbouring ids part.
+FACTOR, STRIDE = 1_103_515_245, 620_089_847
 DEAL_ROWS = 50_000
 
 
 def _hash(id_: str, repeat: Column) -> Column:
-    return F.pmod(F.pmod(F.col(id_), F.lit(PRIME)) * (F.lit(7919) + 2 * repeat) + (F.lit(13) + repeat), F.lit(PRIME))
+    return F.pmod(F.pmod(F.col(id_), F.lit(PRIME)) * F.pmod(F.lit(FACTOR) + F.lit(STRIDE) * repeat.cast("long"), F.lit(PRIME)) + (F.lit(13) + repeat), F.lit(PRIME))
 
 
 def folds(df: DataFrame, k: int, repeats: int = 1, stratify: str | None = "y", id_: str = "id") -> DataFrame:

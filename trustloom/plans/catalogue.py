@@ -246,7 +246,7 @@ _HASH = "(((id % 2147483647) * {a} + {b}) % 2147483647)"
 
 
 def _fold_sql(k: int, repeat: int = 0) -> str:
-    h = _HASH.format(a=7919 + 2 * repeat, b=13 + repeat)
+    h = _HASH.format(a=(N.FACTOR + N.STRIDE * repeat) % N.PRIME, b=13 + repeat)
     buckets = "(select greatest(1, count(*) // 50000) from documents)"
     return f"(row_number() over (partition by y, {h} * {buckets} // 2147483647 order by {h}, id) % {k})::integer"
 
