@@ -190,6 +190,43 @@ def test_handlers_and_final_model(spark):
         assert h.predict(df).filter("prediction = y").count() > 270
 
 
+def test_weights_enter_the_final_fit(spark):
+    rows = [(i, [float(i % 2)], i % 3 % 2, 1 + i % 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int, sample_quality int")
+    many = spark.createDataFrame([r[:3] for r in rows for _ in range(r[3])], "id long, x array<double>, y int")
+    a, b = L.fit_naive_bayes(df, 2)[0], L.fit_naive_bayes(many, 2)[0]
+    assert np.allclose(a.coef, b.coef) and np.allclose(a.intercept, b.intercept)
+
+
+def test_tree_complexity_fits_without_each_row(spark):
+    rng = np.random.default_rng(9)
+    X, y = rng.integers(0, 2, (60, 4)).astype(float), rng.integers(0, 3, 60)
+    df = frame(spark, X, y)
+
+    def leaves(keep, depth):
+        def grow(rows, at):
+            n = np.bincount(y[rows], minlength=3)
+            gini = lambda r: len(r) - (np.bincount(y[r]) ** 2).sum() / max(1, len(r))
+            best, gain = None, 1e-9 * len(rows)
+            if at == depth or (n > 0).sum() < 2:
+                return 1
+            for j in range(4):
+                on = [r for r in rows if X[r, j] > 0.5]
+                off = [r for r in rows if X[r, j] <= 0.5]
+                if on and off and gini(rows) - gini(on) - gini(off) > gain + 1e-12:
+                    best, gain = (on, off), gini(rows) - gini(on) - gini(off)
+            return 1 if best is None else grow(best[0], at + 1) + grow(best[1], at + 1)
+
+        return grow(keep, 0)
+
+    for depth in (2, None):
+        got = {r.id: r.trust for r in T.TreeComplexity(depth).trust_score(df).collect()}
+        assert got == {i: leaves([k for k in range(60) if k != i], depth) for i in range(60)}
+    assert T.TreeComplexity().trust_score(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        T.TreeComplexity(max_cells=3).trust_score(df)
+
+
 def test_networks(spark, data):
     X, y = data
     mlp = networks.Mlp.init([2, 3, 2], 1)
@@ -241,6 +278,14 @@ def test_readers(spark, tmp_path):
     assert [(r.text, r.y) for r in readers.weasel(spark, f"file://{tmp_path}/w.csv").collect()] == [("hello", 0)]
     with pytest.raises(ValueError):
         readers.wrench(spark, "x", "most")
+    (tmp_path / "good.txt").write_text("Hello\nvery nice\n\n")
+    (tmp_path / "bad.txt").write_text("bye\n")
+    rules = readers.rules(spark, {0: f"file://{tmp_path}/good.txt", 1: f"file://{tmp_path}/bad.txt"})
+    assert rules == {0: ["Hello", "very nice"], 1: ["bye"]}
+    text = spark.createDataFrame([(1, "Hello, bye!"), (2, "very nice"), (3, None)], "id long, text string")
+    assert [r.votes for r in readers.voted(text, rules).orderBy("id").collect()] == [[0, -1, 1], [-1, 0, -1], [-1, -1, -1]]
+    named = {str(k): v for k, v in rules.items()}
+    assert [r.votes for r in readers.voted(text, {"0": named["0"]}, {"1": named["1"]}).orderBy("id").collect()] == [["1", "-1", "-1"], ["-1", "-1", "0"], ["-1", "-1", "-1"]]
 
 
 def test_softmax_and_logistic(spark):

@@ -178,7 +178,7 @@ class HandleClassifier:
 
     Labels may be of any type; ``predict`` gives them back. ``handler`` is one of
     the three above; -1 labels are left out of the final fit, and a
-    sample_quality of 0 counts for nothing.
+    sample_quality goes into it as the row's weight.
     """
 
     detector: object
@@ -194,10 +194,8 @@ class HandleClassifier:
         trust = self.detector.trust_score(rows)
         self.marked = self.splitter.split(rows.join(trust, "id"), "trust")
         rows = self.handler(self.marked)
-        rows = rows.filter("y >= 0")
-        if "sample_quality" in rows.columns:
-            rows = rows.filter("sample_quality > 0")
-        self.model = self.fit(rows.select("id", "x", "y"), len(names))
+        weights = [c for c in ("sample_quality",) if c in rows.columns]
+        self.model = self.fit(rows.filter("y >= 0").select("id", "x", "y", *weights), len(names))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:

@@ -325,11 +325,13 @@ def fit_naive_bayes(df: DataFrame, classes: int, by: str | None = None, within:
 
     With ``by`` (a fold column) a model for each fold, trained on the other
     folds, of the same repeat where ``within`` names that column: one aggregation
-    gives the counts of all, and a fold's are left out of its repeat's sums.
+    gives the counts of all, and a fold's are left out of its repeat's sums. A
+    column sample_quality weighs the rows.
     """
+    weight = F.col("sample_quality").cast("double") if "sample_quality" in df.columns else F.lit(1.0)
     d = len(df.select("x").first()["x"])
     keys = ["y", *[k for k in (within, by) if k]]
-    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.get("x", F.lit(j))).alias(f"c{j}") for j in range(d)]).collect()  # classes x folds rows
+    rows = df.groupBy(*keys).agg(F.sum(weight).alias("n"), *[F.sum(weight * F.get("x", F.lit(j))).alias(f"c{j}") for j in range(d)]).collect()  # classes x folds rows
     members = sorted({(r[within], r[by]) if within else r[by] for r in rows}) if by else [0]
     out = {}
     for m in members:

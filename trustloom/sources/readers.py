@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.operators.decide import keyword_votes, priority_votes
+
 SPLITS = ("train", "validation", "test", "all")
 
 
@@ -38,6 +42,17 @@ def lexicon(spark: SparkSession, path: str) -> list[str]:
     return [r["value"] for r in spark.read.text(path).filter(F.trim("value") != "").collect()]
 
 
+def rules(spark: SparkSession, files: Mapping[int | str, str]) -> dict[int | str, list[str]]:
+    """Labelling rules: the keywords of a lexicon file for each label, in the files' order."""
+    return {label: lexicon(spark, path) for label, path in files.items()}
+
+
+def voted(rows: DataFrame, by: Mapping[int | str, list[str]], first: Mapping[str, list[str]] | None = None, text: str = "text") -> DataFrame:
+    """Add votes, one a keyword: -1 where it abstains; keywords in ``first`` come before the others and silence them."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return rows.withColumn("votes", keyword_votes(t, dict(by)) if first is None else priority_votes(t, dict(first), dict(by)))
+
+
 def write_trust(df: DataFrame, path: str) -> None:
     """Trust tables as Parquet, for splitters run later with other settings."""
     df.write.mode("overwrite").parquet(path)
