@@ -1,54 +1,28 @@
-"""Shared helpers: the folder all executors see, lineage cuts and text columns."""
+"""Shared helpers: row keys, text columns and memos, and the stored tables of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trustloom.functions.expr import held
+from trustloom.sources.store import shared_dir, stored
+
+__all__ = ["BLANK", "BLANK_CHARS", "NOT_BLANK", "SEPARATORS", "Memo", "held", "row_key", "shared_dir", "stored", "tail"]
+
 #: Word separators: space and the ASCII controls tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one in spark.checkpoint.dir.
-
-    Only where the setting is absent and the master is local (tests, a notebook)
-    a local temporary folder is made and set for the session; on a cluster
-    without the setting this raises.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="trustloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/trustloom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage with a table any executor can read again, and gives the
-    planner the true size of what follows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def words(text: Column) -> Column:
-    """The maximal runs of non-blank characters; none for null and blank texts."""
-    trimmed = F.btrim(text, F.lit(BLANK_CHARS))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, BLANK + "+")).otherwise(F.array().cast("array<string>"))
+def row_key(*columns: Column | str) -> Column:
+    """128 bits by which rows are told apart: two hashes of ``columns``, null or not, that begin differently."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+    parts = [x for c in cols for x in (c.isNull(), c)]
+    return F.struct(*[F.xxhash64(F.lit(k), *parts).alias(name) for k, name in enumerate("ab")])
 
 
 def tail(array: Column, n: int) -> Column:
@@ -61,20 +35,6 @@ def tail(array: Column, n: int) -> Column:
     return F.slice(array, n + 1, F.greatest(F.size(array) - n, F.lit(0)))
 
 
-def held(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add ``columns``, each evaluated once a row, whatever refers to it.
-
-    The optimizer puts a projection's expressions in the place of their names,
-    and so evaluates a costly one at each use, even once an element within a
-    lambda. It does not look through a generator: one of a single element keeps
-    the values.
-    """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    kept = [c for c in df.columns if c not in columns]
-    out = df.select(*kept, F.explode(F.array(row)).alias("_held"))
-    return out.select(*kept, *[F.col(f"_held.{name}").alias(name) for name in columns])
-
-
 #: Python's split() also cuts at these four, which are no white space in Unicode.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 

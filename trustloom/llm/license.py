@@ -1,9 +1,11 @@
 """License scan: Dice coefficient over word bigrams against licence templates.
 
-Built from DataFrame functions alone. A segment (each line, each paragraph and the
-whole text where they have several lines) is compared only to templates whose bigram count
-lies within the bounds that the threshold implies: with a and b distinct
-bigrams, Dice is at most 2 min(a, b) / (a + b).
+Built from DataFrame functions alone. A segment (each line, each sentence, each
+paragraph and the whole text where they have several lines) is compared only to
+templates whose bigram count lies within the bounds that the threshold implies:
+with a and b distinct bigrams, Dice is at most 2 min(a, b) / (a + b). By the same
+bounds a match shares at least threshold / (2 - threshold) of its template's
+bigrams: texts are cut into segments only where the whole text has as many.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from trustloom.llm.common import held, tail
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
-#: Longest segment that the SQL of op2 compares; the operator has no such cap.
-MAX_CHARS = 4000
+#: Between sentences, which may run over several lines.
+SENTENCE = r"[.!?][\t\n\f\r ]+"
+#: Between paragraphs: lines without letters and digits, as blank ones and those of comment signs alone.
+PARAGRAPH = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 
 _GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -44,7 +48,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         *_GRANT,
         " ".join(_GRANT),
     ),
@@ -77,13 +80,23 @@ def bigrams(text: str) -> set[tuple[str, str]]:
     return set(zip(w, w[1:]))
 
 
+def _with_pairs(rows: DataFrame, text: str) -> DataFrame:
+    """Add _pairs: hashes of the distinct bigrams of a text column."""
+    rows = held(rows, _words=F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    pairs = F.slice(F.zip_with("_words", tail(F.col("_words"), 1), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size("_words") - 1, F.lit(0)))
+    return held(rows, _pairs=F.array_distinct(pairs)).drop("_words")
+
+
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice (double), n_segments (long): a row per document and licence found.
 
     dice is the best over the document's segments and the licence's templates;
     n_segments counts the segments that reach the threshold. Null, empty and
-    one-word texts have no bigrams and give no row; repeated rows give each
-    their rows. The templates are a parameter, held in the plan as literals.
+    one-word texts have no bigrams and give no row; texts of any length are read
+    whole. Rows that agree in id and text give their rows once, and rows of one
+    id with different texts each their own. Of licences that tie each gets a
+    row. Extra columns, whatever their names, are ignored, and an empty table
+    gives no rows. The templates are a parameter, held in the plan as literals.
     """
     flat = [(name, t) for name, texts in templates.items() for t in texts if bigrams(t)]
     if not flat:
@@ -91,21 +104,22 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     counts = [len(bigrams(t)) for _, t in flat]
     bound = lambda n: (threshold / (2 - threshold) * n, (2 - threshold) / threshold * n)
     least, most = min(bound(n)[0] for n in counts), max(bound(n)[1] for n in counts)
+    hashed = lambda a, b: F.xxhash64(F.xxhash64(F.lit(a)), F.xxhash64(F.lit(b)))
+    pair_hashes = lambda pairs: F.array(*[hashed(a, b) for a, b in sorted(pairs)])
+    table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), pair_hashes(bigrams(t)).alias("own")) for (name, t), n in zip(flat, counts)])
+    known = pair_hashes({p for _, t in flat for p in bigrams(t)})
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(t, "\n", -1)
-    whole = F.when(F.size(lines) > 1, F.array(t)).otherwise(F.array().cast("array<string>"))
-    # Paragraphs end at lines without letters and digits, as blank lines and those of comment signs alone.
-    joined = F.filter(F.split(t, r"\n(?:[^\p{L}\p{N}\n]*+\n)++", -1), lambda s: F.contains(s, F.lit("\n")))
-    near = F.filter(F.array_distinct(F.concat(lines, whole, joined)), lambda s: F.length(s) >= 3)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_row"), F.explode(near).alias("_segment"))
-    rows = held(rows, _words=F.transform(F.filter(F.split(F.lower("_segment"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    pairs = F.slice(F.zip_with("_words", tail(F.col("_words"), 1), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size("_words") - 1, F.lit(0)))
-    rows = held(rows, _pairs=F.array_distinct(pairs)).drop("_words")
+    # The whole text's bigrams hold those of all its segments.
+    rows = _with_pairs(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_row"), t.alias("_text")), "_text")
+    rows = held(rows, _shared=F.array_intersect("_pairs", known)).drop("_pairs").filter(F.size("_shared") > 0)
+    enough = lambda x: F.size(F.array_intersect("_shared", x["own"])) >= threshold / (2 - threshold) * x["n"] - 1e-9
+    rows = rows.filter(F.exists(table, enough))
+    lines = F.split("_text", "\n", -1)
+    whole = F.when(F.size(lines) > 1, F.array("_text")).otherwise(F.array().cast("array<string>"))
+    joined = F.filter(F.split("_text", PARAGRAPH, -1), lambda s: F.contains(s, F.lit("\n")))
+    segments = F.filter(F.array_distinct(F.concat(lines, F.split("_text", SENTENCE, -1), whole, joined)), lambda s: F.length(s) >= 3)
+    rows = _with_pairs(rows.select("doc_id", "_row", F.explode(segments).alias("_segment")), "_segment")
     rows = rows.withColumn("_n", F.size("_pairs")).filter(F.col("_n").between(least, most))
-    # A segment that shares no bigram with any template is dropped before the templates are looked at one by one.
-    known = {p for _, t in flat for p in bigrams(t)}
-    rows = rows.filter(F.arrays_overlap("_pairs", F.array(*[F.xxhash64(F.xxhash64(F.lit(a)), F.xxhash64(F.lit(b))) for a, b in sorted(known)])))
-    table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.array(*[F.xxhash64(F.xxhash64(F.lit(a)), F.xxhash64(F.lit(b))) for a, b in sorted(bigrams(t))]).alias("own")) for (name, t), n in zip(flat, counts)])
     near = F.filter(table, lambda x: (F.col("_n") >= threshold / (2 - threshold) * x["n"]) & (F.col("_n") <= (2 - threshold) / threshold * x["n"]))
     dice = F.transform(near, lambda x: F.struct(x["license"].alias("license"), (2.0 * F.size(F.array_intersect("_pairs", x["own"])) / (F.col("_n") + x["n"])).alias("dice")))
     rows = rows.select("doc_id", "_row", F.explode(F.filter(dice, lambda x: x["dice"] >= threshold)).alias("_m"), "_segment")

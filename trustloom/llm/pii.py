@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import held, stored
+from trustloom.llm.common import held, row_key, stored
 
 #: Share of an entity's information content that a term may disclose.
 DISCLOSURE = 0.8
@@ -104,15 +104,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disc
     reach with a chance over :data:`CHANCE` (Chernoff's bound) is left out, so
     that few texts don't make a term of what meets by accident.
     """
-    found = found.withColumn("_row", F.xxhash64("_text")).dropDuplicates(["_row"])
-    rows = held(found.select("_row", "_text", "spans"), _blank=blanked(F.col("_text"), F.col("spans")))
+    found = found.withColumn("_row", row_key("_text")).dropDuplicates(["_row"])
+    # A pair needs ``support`` texts, and so does its value: other values never meet their terms.
+    values = F.array_distinct(F.transform("spans", lambda s: s["value"]))
+    seen_in = found.select("_row", F.explode(values).alias("value"))
+    entities = stored(seen_in.groupBy("value").agg(F.count("*").alias("with")).filter(F.col("with") >= support), "entities")
+    if entities.isEmpty():
+        return entities.select("value", F.col("value").alias("term"))
+    kept = stored(seen_in.join(entities, "value", "left_semi").groupBy("_row").agg(F.collect_set("value").alias("_values")), "values")
+    rows = held(found.join(kept, "_row"), _blank=blanked(F.col("_text"), F.col("spans")))
     if unit == "line":
-        rows = rows.select("_row", "_blank", F.explode("spans").alias("s"))
+        rows = rows.select("_row", "_blank", F.explode(F.filter("spans", lambda s: F.array_contains("_values", s["value"]))).alias("s"))
         head = F.substring_index(F.substr("_blank", F.lit(1), F.col("s.start")), "\n", -1)
         tail = F.substring_index(F.substr("_blank", F.col("s.end") + 1), "\n", 1)
         rows = rows.select("_row", F.col("s.value").alias("value"), F.concat_ws(" ", head, tail).alias("_unit"))
     else:
-        rows = rows.select("_row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"), F.col("_blank").alias("_unit"))
+        rows = rows.select("_row", F.explode("_values").alias("value"), F.col("_blank").alias("_unit"))
     terms = F.array_distinct(F.regexp_extract_all(F.lower("_unit"), F.lit(TERM), F.lit(0)))
     pairs = rows.select("_row", "value", F.explode(terms).alias("term")).distinct()
     both = pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
@@ -122,13 +129,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disc
     wanted = both.select("term").distinct()
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     # Each text counts once, as in the pairs. Terms that aren't wanted go after the counts are added up.
-    texts = docs.withColumn("_hash", F.xxhash64(text))
+    texts = docs.withColumn("_hash", row_key(text))
     copies = stored(texts.groupBy("_hash").agg(F.count("*").alias("n")).filter("n > 1"), "copies")
     own = lambda d: d.select(F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)))).alias("term"))
     once = texts.join(copies, "_hash", "left_anti")
     again = texts.join(copies, "_hash", "left_semi").groupBy("_hash").agg(F.first(text).alias(text))
     seen = own(once).unionByName(own(again)).groupBy("term").agg(F.count("*").alias("in_docs")).join(wanted, "term", "left_semi")
-    entities = rows.select("_row", "value").distinct().groupBy("value").agg(F.count("*").alias("with"))
     total = texts.agg(F.count("*").alias("n_rows")).crossJoin(copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("more"))).select((F.col("n_rows") - F.col("more")).alias("total"))
     scored = both.join(seen, "term").join(entities, "value").crossJoin(F.broadcast(total))
     pmi = F.log(F.col("total") * F.col("both") / (F.col("with") * F.col("in_docs")))
@@ -140,14 +146,17 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", disc
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, clean: bool = True, unit: str = "line") -> DataFrame:
     """``docs`` with base_spans, spans (arrays) and, with ``clean``, clean_text.
 
-    Null and empty texts have no spans; a null text stays null. Rows that agree
-    in id and text get equal results. In clean_text each span becomes its kind
-    in brackets; spans that overlap become the first one's. Input columns that
-    bear one of the added names are replaced. ``unit`` is where a term must
-    stand with a value to be counted: "line" or "document".
+    Null and empty texts have no spans; a null text stays null. Texts of any
+    length are read whole. Rows that agree in id and text get equal results, a
+    row each. In clean_text each span becomes its kind in brackets; spans that
+    overlap become the first one's, of those that begin together the first kind's.
+    Input columns that bear one of the added names are replaced, and those whose
+    names begin with an underscore are left out. An empty table gives no rows.
+    ``unit`` is where a term must stand with a value to be counted: "line" or
+    "document".
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("_") or c in ("base_spans", "spans", "clean_text")])
-    based = base_spans(docs.withColumn("_row", F.xxhash64(doc_id, text)), text).withColumnRenamed("spans", "base_spans")
+    based = base_spans(docs.withColumn("_row", row_key(doc_id, text)), text).withColumnRenamed("spans", "base_spans")
     found = stored(based.filter(F.size("base_spans") > 0).select("_row", F.col(text).alias("_text"), F.col("base_spans").alias("spans")).dropDuplicates(["_row"]), "found")
     pairs = disclosing_terms(docs, found, text, disclosure, support, unit)
     # The terms of a document: those that disclose an entity it holds.

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import BLANK, BLANK_CHARS, NOT_BLANK, held, stored, tail, words
+from trustloom.llm.common import BLANK, BLANK_CHARS, NOT_BLANK, held, stored, tail
 
 #: A line held by more documents of one host than this is removed.
 MAX_DOCS = 30
