@@ -152,6 +152,33 @@ def test_linearised_models_keep_their_predictions(rows):
     assert both.filter("own = prediction").count() >= 290
 
 
+def test_isolation_forest_finds_outliers(spark):
+    rng = np.random.default_rng(5)
+    X = np.concatenate([rng.standard_normal((400, 3)), [[8.0, 8.0, 8.0], [-9.0, 7.0, 0.0]]])
+    df = spark.createDataFrame([(i, list(map(float, x)), i % 2) for i, x in enumerate(X)], "id long, x array<double>, y int")
+    from trustloom.operators import outliers as O
+
+    model = O.IsolationForest(seed=1).fit(df)
+    low = df.select("id", model.score(F.col("x")).alias("s")).orderBy("s").limit(2).collect()
+    assert {r.id for r in low} == {400, 401} and all(-1 <= r.s < 0 for r in low)
+    trust = T.outlier_detector(O.IsolationForest(8)).trust_score(df).orderBy("trust").limit(2).collect()
+    assert {r.id for r in trust} == {400, 401}
+    assert O.IsolationForest().fit(df.limit(0)).trees == [0.0] and O.average_path(2) == 1.0
+
+
+def test_one_vs_rest_and_self_training(spark):
+    rng = np.random.default_rng(6)
+    y = np.arange(300) % 3
+    X = np.eye(3)[y] * 2 + 0.3 * rng.standard_normal((300, 3))
+    df = spark.createDataFrame([(i, list(map(float, x)), int(v)) for i, (x, v) in enumerate(zip(X, y))], "id long, x array<double>, y int").cache()
+    one = L.fit_one_vs_rest(df, 3, S.GradientDescent(20).fit)
+    binary = S.GradientDescent(20).fit(df.withColumn("y", (F.col("y") == 1).cast("int")))
+    assert one.coef[1] == binary.coef[0] and df.filter(one.predictions(F.col("x")) == F.col("y")).count() > 290
+    some = df.withColumn("y", F.when(F.col("id") < 30, F.col("y")).otherwise(-1))
+    model = L.self_training(some, lambda d: L.fit_one_vs_rest(d, 3, S.GradientDescent(20).fit), 0.4, 3)
+    assert df.filter(model.predictions(F.col("x")) == F.col("y")).count() > 290
+
+
 def test_hat_blocks_have_the_leverage_as_trace(spark):
     rng = np.random.default_rng(3)
     X, y = rng.standard_normal((50, 2)), rng.integers(0, 3, 50)

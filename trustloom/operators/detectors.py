@@ -53,8 +53,8 @@ class InfluenceDetector:
         return rows.select("id", (F.col(self.column) * F.lit(1.0 if self.maximize else -1.0)).alias("trust"))
 
 
-def outlier_detector() -> ModelProbingDetector:
-    return ModelProbingDetector(OutlierEnsemble(), P.outliers(), "sum")
+def outlier_detector(model=None) -> ModelProbingDetector:
+    return ModelProbingDetector(OutlierEnsemble(model=model), P.outliers(), "sum")
 
 
 def self_influence(fit) -> InfluenceDetector:

@@ -172,11 +172,18 @@ class ProgressiveEnsemble:
 
 @dataclass
 class OutlierEnsemble:
-    """A Gaussian of independent features for each class, on its own rows, times the class's share."""
+    """An outlier model for each class, on its own rows, times the class's share.
+
+    By default a Gaussian of independent features; ``model`` is anything else with
+    a fit method that gives a score column, as an isolation forest.
+    """
 
     floor: float = 1e-6
+    model: object = None
 
     def probe(self, df: DataFrame, probe=None, **context) -> DataFrame:
+        if self.model is not None:
+            return self._by_model(df)
         d = len(df.select("x").first()["x"])
         at = lambda j: F.get("x", F.lit(j))
         moments = df.groupBy("y").agg(
@@ -193,6 +200,15 @@ class OutlierEnsemble:
         return rows.select("id", F.lit(0).alias("member"), F.lit(False).alias("oob"), F.lit(1.0).alias("weight"), F.array(score).alias("score"))
 
 
+    def _by_model(self, df: DataFrame) -> DataFrame:
+        counts = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a class
+        score = F.lit(None).cast("double")
+        for y, n in counts.items():
+            own = self.model.fit(df.filter(F.col("y") == y)).score(F.col("x")) * F.lit(n / sum(counts.values()))
+            score = F.when(F.col("y") == y, own).otherwise(score)
+        return df.select("id", F.lit(0).alias("member"), F.lit(False).alias("oob"), F.lit(1.0).alias("weight"), F.array(score).alias("score"))
+
+
 @dataclass
 class CalibratedEnsemble:
     """Members calibrated on a slice of rows before they are probed; the rest are the rows returned.

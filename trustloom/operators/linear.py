@@ -7,7 +7,7 @@ and one aggregation by matrix entry adds the shares.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -320,6 +320,30 @@ def fit_logistic_stages(df: DataFrame, epochs: int = 5, rate: float = 1.0, class
     return out
 
 
+def fit_one_vs_rest(df: DataFrame, classes: int, fit: Callable[[DataFrame], LinearModel]) -> LinearModel:
+    """A model of two classes for each class against the others; its scores side by side, by their logistics."""
+    models = [fit(df.withColumn("y", (F.col("y") == c).cast("int"))) for c in range(classes)]
+    return LinearModel([m.coef[0] for m in models], [m.intercept[0] if m.intercept else 0.0 for m in models], models[0].loss, models[0].regul)
+
+
+def self_training(df: DataFrame, fit: Callable[[DataFrame], LinearModel], threshold: float = 0.75, rounds: int = 10) -> LinearModel:
+    """Fit on labelled rows, label the rows of label -1 whose probability reaches ``threshold``, and fit again.
+
+    Ends after ``rounds`` fits or when no row gets a label. Labels are columns
+    of the models so far, so that no rows are moved.
+    """
+    model, label, known = fit(df.filter("y >= 0")), F.col("y"), None
+    for _ in range(rounds - 1):
+        p = model.probabilities(F.col("x"))
+        label = F.when(label >= 0, label).when(F.array_max(p) >= threshold, E.argmax(p)).otherwise(F.lit(-1))
+        rows = E.held(df.select("id", "x", "y"), y=label)
+        n = rows.filter("y >= 0").count()
+        if n == known:
+            break
+        known, model = n, fit(rows.filter("y >= 0"))
+    return model
+
+
 def fit_naive_bayes(df: DataFrame, classes: int, by: str | None = None, within: str | None = None, smoothing: float = 1.0) -> dict:
     """Bernoulli naive Bayes on 0/1 features, as linear models by member: 0, or the fold, or (repeat, fold).
 

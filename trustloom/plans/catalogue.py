@@ -162,13 +162,6 @@ query("P34_sensitivity", f"with {SCORED}, g as (select id, list_transform(p, lam
     lambda s, d: B.languages(s, d).select("id", B.MULTI.grad_x(F.col("x"), F.col("y")).alias("value"))
 )
 
-# Complexity ------------------------------------------------------------------------------------
-
-_FLAT = [w for row in B.COEF for w in row]
-query("P40_parameter_count", f"select count(*)::integer as value from (select unnest({_arr(_FLAT + B.INTERCEPT)}) as w) where w <> 0")(lambda s, d: s.range(1).select(F.lit(K.parameter_count(B.MULTI)).alias("value")))
-query("P40b_linear_parameter_count", f"select count(*)::integer as value from (select unnest({_arr(B.BINARY.coef[0] + B.BINARY.intercept)}) as w) where w <> 0")(lambda s, d: s.range(1).select(F.lit(K.parameter_count(B.BINARY)).alias("value")))
-query("P41_param_norm", f"select round(sqrt(sum(w * w)), 6) as value from (select unnest({_arr(_FLAT)}) as w)")(lambda s, d: s.range(1).select(E.F.sqrt(E.norm2(E.doubles(_FLAT))).alias("value")))
-
 # Linear algebra and influence ------------------------------------------------------------------
 
 _G = f"{SCORED}, g as (select *, list_transform(p, lambda v, i: v - (i = y + 1)::integer) as g from p)"
@@ -194,7 +187,7 @@ def _hessian(spark, sf):
     return spark.createDataFrame([(i, j, float(h[i, j])) for i in range(3) for j in range(3)], "i int, j int, value double")
 
 
-query("L11_shape", "select 8::integer as in_dim, 4::integer as out_dim, 32::integer as dof")(lambda s, d: s.range(1).select(*[F.lit(v).alias(k) for k, v in (("in_dim", B.MULTI.in_dim[0]), ("out_dim", B.MULTI.in_dim[1]), ("dof", B.MULTI.dof))]))
+query("L11_shape", f"with {LANG} select (max(len(x)) + 1)::integer as in_dim, count(distinct y)::integer as out_dim, ((max(len(x)) + 1) * count(distinct y))::integer as dof from m")(lambda s, d: (lambda m: s.createDataFrame([(*m.in_dim, m.dof)], "in_dim int, out_dim int, dof int"))(L.fit_naive_bayes(B.languages(s, d), 4)[0]))
 query("L12_flat_outer", f"with {BINP} select id, [round(x[1] * z, 6) + 0.0, round(x[1] * p, 6) + 0.0, round(x[2] * z, 6) + 0.0, round(x[2] * p, 6) + 0.0] as value from bq")(
     lambda s, d: B.binary(s, d).select("id", E.outer(F.col("x"), F.array(F.get(B.BINARY.decision(F.col("x")), F.lit(0)), F.get(B.BINARY.link(F.col("x")), F.lit(0)))).alias("value"))
 )
@@ -345,6 +338,10 @@ _sg = "(case when y = 1 then 1 else -1 end)"
 query("D16_finite_diff_vog", _vog(lambda u: f"{_sg} * (a * {u[0]!r} + c * {u[1]!r})"))(lambda s, d: T.finite_diff_vog(_STAGES, DIRS).trust_score(_kept(s, d)))
 query("D17_finite_diff_volg", _vog(lambda u: f"(ln(1 + exp(-{_sg} * (z + 0.1 * (a * {u[0]!r} + c * {u[1]!r})))) - ln(1 + exp(-{_sg} * z))) / 0.1"))(lambda s, d: T.finite_diff_volg(_STAGES, DIRS).trust_score(_kept(s, d)))
 query("D18_volg", f"with {_gd_sql()} select id, round(-(var_pop((p - y) * a) + var_pop((p - y) * c)) / 2, 6) + 0.0 as trust from st group by id")(lambda s, d: T.volg(_STAGES).trust_score(_kept(s, d)))
+# Complexity of fitted models
+query("P40_parameter_count", f"with {_gd_sql()} select ((a <> 0)::integer + (c <> 0)::integer + (i <> 0)::integer)::integer as value from ws where member = {EPOCHS - 1}")(lambda s, d: s.createDataFrame([(K.parameter_count(_STAGES(_kept(s, d))[-1]),)], "value int"))
+query("P40b_linear_parameter_count", f"with {_RIDGE} select ((w <> 0)::integer + (w0 <> 0)::integer)::integer as value from f")(lambda s, d: s.createDataFrame([(K.parameter_count(L.fit_ridge(B.parts(s, d))),)], "value int"))
+query("P41_param_norm", f"with {_RIDGE} select round(sqrt(w * w), 6) as value from f")(lambda s, d: s.createDataFrame([(L.fit_ridge(B.parts(s, d)).param_norm(),)], "value double"))
 _W = B.BINARY.coef[0]
 query("D08_finite_diff_complexity", f"with {BIN} select id, round(-({' + '.join(f'abs(2 * ({_W[0]!r} * {u[0]!r} + {_W[1]!r} * {u[1]!r}))' for u in DIRS)}) / 3, 6) as trust from b")(lambda s, d: T.finite_diff_complexity(lambda df: B.BINARY, DIRS).trust_score(B.binary(s, d)))
 

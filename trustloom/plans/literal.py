@@ -14,6 +14,7 @@ from trustloom.operators import detectors as T
 from trustloom.operators import ensembles as N
 from trustloom.operators import linear as L
 from trustloom.operators import networks
+from trustloom.operators import outliers as O
 from trustloom.operators import staged as S
 from trustloom.plans import base as B
 from trustloom.plans import catalogue as C
@@ -153,6 +154,12 @@ query(
 q as (select unnest(range(1, 41)) as q) select (q - 1)::integer as parameter, round(sum({_VJ.replace('{q}', 'q')}) + 0.1, 6) as value from j, q group by q""",
 )(lambda s, d: (lambda h: s.createDataFrame([(i, float(h[i, i])) for i in range(len(h))], "parameter int, value double"))(networks.fisher(B.languages(s, d), NET, 0.1)))
 
+# Outliers: isolation trees on two features, leaves are path lengths ---------------------------------
+
+ISOLATION = O.Isolation([S.Split(0, 0.3, S.Split(1, 0.5, 3.5, 2.0), 1.0), S.Split(1, 0.25, 2.0, S.Split(0, 0.15, 3.0, 2.5))], 64)
+_PATHS = "((case when x[1] <= 0.3 then (case when x[2] <= 0.5 then 3.5 else 2.0 end) else 1.0 end) + (case when x[2] <= 0.25 then 2.0 else (case when x[1] <= 0.15 then 3.0 else 2.5 end) end))"
+query("P06b_isolation_forest", f"with {C.BIN} {C._v(f'-pow(2.0, -{_PATHS} / (2 * (2 * (ln(63.0) + 0.5772156649015329) - 126 / 64.0)))', 'b')}")(lambda s, d: B.binary(s, d).select("id", ISOLATION.score(F.col("x")).alias("value")))
+
 # Linearised gradient descent: the inverse of the three-by-three Hessian in the open ----------------
 
 _Z03 = f"""with {C._gd_sql()}, u as (select id, y, p, [x[1], x[2], 1.0] as t from st where member = {C.EPOCHS - 1}),
