@@ -9,18 +9,15 @@ from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
     GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassifier,
     RandomForestClassificationModel,
-    RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustloom.functions import expr as E
 from trustloom.operators import linear as L
 from trustloom.operators import networks
 from trustloom.operators import staged as S

@@ -7,6 +7,9 @@ libraries. Gradient steps, AdaBoost and calibration are unrolled.
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from trustloom.functions import probes as P
 from trustloom.operators import aggregates as A
 from trustloom.operators import decide as D
@@ -19,7 +22,6 @@ from trustloom.operators import staged as S
 from trustloom.plans import base as B
 from trustloom.plans import catalogue as C
 from trustloom.plans import learners as K
-from pyspark.sql import functions as F
 
 query = C.query
 
@@ -36,8 +38,6 @@ SIZES = [7, 3, 4]
 
 
 def _weights(rows: int, columns: int, a: int, b: int):
-    import numpy as np
-
     return np.array([[((i * a + j * b) % 11 - 5) / 10 for j in range(columns)] for i in range(rows)])
 
 
@@ -71,7 +71,6 @@ def _stream(probe, steps: int = 1):
 
 # Stages ------------------------------------------------------------------------------------------
 
-_ST = f"{TWO}, s0 as (select avg(x[1]) as m1, avg(x[2]) as m2, coalesce(nullif(stddev_pop(x[1]), 0), 1) as d1, coalesce(nullif(stddev_pop(x[2]), 0), 1) as d2 from b0)"
 _PIPE = C._gd_sql().replace("b as (", "b0 as (", 1).replace(", w0 as", ", s0 as (select avg(x[1]) as m1, avg(x[2]) as m2, coalesce(nullif(stddev_pop(x[1]), 0), 1) as d1, coalesce(nullif(stddev_pop(x[2]), 0), 1) as d2 from b0), b as (select id, [(x[1] - m1) / d1, (x[2] - m2) / d2] as x, y from b0, s0), w0 as", 1)
 query("S01_pipeline_stages", f"with {_PIPE} select id, round(sum({C._MB}), 6) + 0.0 as trust from st group by id")(lambda s, d: T.area_under_margin(S.Pipeline([S.standardised], S.GradientDescent(C.EPOCHS))).trust_score(C._kept(s, d)))
 query("S02_boosting_aum", f"with {STAGED} select id, round(sum(case when y = 1 then 2 * z else -2 * z end), 6) + 0.0 as trust from tp group by id")(lambda s, d: T.ModelProbingDetector(_boosted(), P.margin(), "sum").trust_score(two(s, d)))
