@@ -1,7 +1,6 @@
 """Each operator against brute force, a round trip or held-out accuracy, and the odd cases."""
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -96,6 +95,11 @@ def test_license(spark, empty, odd):
     assert license.license_scan(empty).count() == 0 and license.license_scan(odd).count() == 0
 
 
+def test_license_hashes_are_those_of_spark(spark):
+    rows = spark.createDataFrame([("the", "license"), ("é", "x" * 40)], "a string, b string").withColumn("h", F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))).collect()
+    assert all(license.pair_hash(r.a, r.b) == r.h for r in rows)
+
+
 def test_license_brute(docs):
     want, own = {}, {name: [license.bigrams(t) for t in texts] for name, texts in license.TEMPLATES.items()}
     for r in docs.collect():

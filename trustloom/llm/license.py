@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,13 @@ def bigrams(text: str) -> set[tuple[str, str]]:
     return set(zip(w, w[1:]))
 
 
+def pair_hash(a: str, b: str) -> int:
+    """What xxhash64(xxhash64(a), xxhash64(b)) is in Spark, so that plans hold numbers instead of expressions to fold."""
+    word = lambda w: xxhash.xxh64_digest(w.encode(), 42)[::-1]  # noqa: E731  little-endian
+    h = xxhash.xxh64_intdigest(word(b), xxhash.xxh64_intdigest(word(a), 42))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _with_pairs(rows: DataFrame, text: str) -> DataFrame:
     """Add _pairs: hashes of the distinct bigrams of a text column."""
     rows = held(rows, _words=F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
@@ -104,10 +112,9 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     counts = [len(bigrams(t)) for _, t in flat]
     bound = lambda n: (threshold / (2 - threshold) * n, (2 - threshold) / threshold * n)
     least, most = min(bound(n)[0] for n in counts), max(bound(n)[1] for n in counts)
-    hashed = lambda a, b: F.xxhash64(F.xxhash64(F.lit(a)), F.xxhash64(F.lit(b)))
-    pair_hashes = lambda pairs: F.array(*[hashed(a, b) for a, b in sorted(pairs)])
-    table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), pair_hashes(bigrams(t)).alias("own")) for (name, t), n in zip(flat, counts)])
-    known = pair_hashes({p for _, t in flat for p in bigrams(t)})
+    hashes = lambda pairs: f"array({', '.join(f'{pair_hash(a, b)}L' for a, b in sorted(pairs))})"
+    table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.expr(hashes(bigrams(t))).alias("own")) for (name, t), n in zip(flat, counts)])
+    known = F.expr(hashes({p for _, t in flat for p in bigrams(t)}))
     t = F.coalesce(F.col(text), F.lit(""))
     # The whole text's bigrams hold those of all its segments.
     rows = _with_pairs(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_row"), t.alias("_text")), "_text")
