@@ -47,7 +47,7 @@ class Memo(dict):
     characters aren't kept.
     """
 
-    def __init__(self, of: Callable, size: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, of: Callable, size: int = 150_000, longest: int = 64) -> None:
         super().__init__()
         self.of, self.size, self.longest, self.old = of, size, longest, {}
 

@@ -50,7 +50,7 @@ SEED = 7
 BLOCK_ITEMS = 20_000
 #: Bytes of text in one block at most.
 BLOCK_BYTES = 8 << 20
-MEMO = 500_000
+MEMO = 150_000
 #: Longest run of words by which passages are found.
 Q = 3
 #: Pairs of a place and an item that are looked at together.
