@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.llm import bpe, decontam, kdshard, license, pii, quality, rans, simhash, toxicity, warc
-from trustloom.llm.common import shared_dir
+from trustloom.llm import bpe, classifier, decontam, divergence, kdshard, license, pii, quality, rans, simhash, spelling, toxicity, warc
+from trustloom.llm.common import shared_dir, stored
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +70,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_quality_rules, op2_license_scan, op3_warc, op4_kd_shards, op5_bpe, op6_decontaminate, op7_rans, op8_simhash, op9_pii, op10_toxicity)
-}
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(classifier.with_statistics(_t(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    out = classifier.score(rows, classifier.train(rows, _t(spark, sf_dir, "labels")))
+    return out.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_t(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_t(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_quality_rules, op2_license_scan, op3_warc, op4_kd_shards, op5_bpe, op6_decontaminate, op7_rans, op8_simhash, op9_pii, op10_toxicity,
+    op11_quality_classifier, op12_source_divergence, op13_spelling_variants,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _RE_BLANK = r"[\x20\x09-\x0D]+"
 
@@ -141,8 +156,75 @@ select doc_id, license, round(max(dice), 6)::double as dice, count(distinct seg)
 from x where dice >= {th} group by doc_id, license
 """
 
+_OP12 = rf"""
+with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (
+  select doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), c as (
+  select lang, source, term, count(*) as n from t group by all
+), k as (
+  select lang, term from t group by lang, term having count(distinct doc) >= {divergence.MIN_DOCS}
+), g as (
+  select distinct lang, source from d
+), v as (
+  select lang, count(k.term) as v from (select distinct lang from d) left join k using (lang) group by lang
+), x as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n from g join k using (lang) left join c using (lang, source, term)
+), y as (
+  select *, sum(n) over (partition by lang, source) as whole, sum(n) over (partition by lang, term) as lang_n, sum(n) over (partition by lang) as lang_whole from x join v using (lang)
+), p as (
+  select lang, source, term, n, (1 + 1000000000 * (n + 2) // (whole + 2 * v))::bigint as p, (1 + 1000000000 * (lang_n + 2) // (lang_whole + 2 * v))::bigint as q from y
+), pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum((pa.p - pb.p) * (pa.p - pb.p) // (pa.p + pb.p)), 0)::bigint as value
+  from g as a join g as b on a.lang = b.lang and a.source <> b.source
+  left join p as pa on pa.lang = a.lang and pa.source = a.source
+  left join p as pb on pb.lang = b.lang and pb.source = b.source and pb.term = pa.term
+  group by all
+), term as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from (select * from pair union all select * from term)
+)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= {divergence.TOP}
+"""
+
+#: The CRC-32 is computed by its bits: its table by rule, then a step a byte.
+_OP13 = r"""
+with recursive crc(t) as (
+  select list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end))
+), r as (
+  select coalesce(doc_id::varchar, '') as doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents
+), o as (
+  select doc_id, run, count(*) as n, hex(doc_id || ':' || run) as bytes from r where length(run) >= 7 group by doc_id, run
+), h as (
+  select run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(bytes), 2), lambda i: ('0x' || substr(bytes, i, 2))::bigint), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) as h from o, crc
+), w as (
+  select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h
+), dict as (
+  select word, sum(n)::bigint as n from w where length(word) >= 7 group by word having sum(n) >= 2
+), gap as (
+  select word, n, unnest(range(1, length(word) + 1)) as i from dict
+), cut as (
+  select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from gap
+), links as (
+  select distinct a.word, b.word as near, b.n as near_n from cut as a join cut as b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union all select distinct cut.word, dict.word, dict.n from cut join dict on cut.rest = dict.word
+  union all select distinct dict.word, cut.word, cut.n from cut join dict on cut.rest = dict.word
+), best as (
+  select word, count(*) as n_near, (list(near order by near_n desc, near))[1] as near, max(near_n) as near_n from links group by word
+), f as (
+  select dict.word, dict.n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 10 * dict.n then near end as form, case when near_n >= 10 * dict.n then near_n end as form_n from dict left join best using (word)
+), path(word, now) as (
+  select word, word from f union all select path.word, f.form from path join f on path.now = f.word where f.form is not null
+), ends as (
+  select path.word, path.now as root from path join f on path.now = f.word where f.form is null
+)
+select f.word, f.form, ends.root, f.n, f.n_near, f.form_n from f join ends using (word)
+"""
 
 ORACLE_SQL = {
     "op1_quality_rules": _OP1,
     "op2_license_scan": _op2(),
+    "op12_source_divergence": _OP12,
+    "op13_spelling_variants": _OP13,
 }
