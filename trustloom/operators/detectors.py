@@ -5,11 +5,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +15,8 @@ from trustloom.functions import expr as E
 from trustloom.functions import probes as P
 from trustloom.operators import aggregates as A
 from trustloom.operators import linear as L
+from trustloom.operators.complexity import TreeComplexity  # noqa: F401  D07
 from trustloom.operators.ensembles import IndependentEnsemble, LeaveOneOutEnsemble, NoEnsemble, OutlierEnsemble, ProgressiveEnsemble
-from trustloom.sources.store import stored
 
 
 @dataclass
@@ -149,67 +147,6 @@ def volg(stages, steps: int = 1) -> ModelProbingDetector:
     return _variance_over_stages(stages, lambda m, x, y: m.grad_x(x, y), steps, "fit")
 
 
-def gini_leaves(X: np.ndarray, counts: np.ndarray, depth: int | None, at: int = 0) -> int:
-    """Leaves of the tree that splits 0/1 cells (rows of X, with a count a class) by Gini impurity, first of equal gains.
-
-    A node is a leaf if it is pure, at ``depth``, or no feature lowers its impurity.
-    """
-    whole = counts.sum(axis=0)
-    n = whole.sum()
-    if at == depth or (whole > 0).sum() < 2:
-        return 1
-    on = X.T @ counts
-    off = whole - on
-    a, b = on.sum(axis=1), off.sum(axis=1)
-    good = (a > 0) & (b > 0)
-    # The weighted impurity after a split is n less this; more is better.
-    after = np.where(good, (on**2).sum(axis=1) / np.maximum(a, 1) + (off**2).sum(axis=1) / np.maximum(b, 1), -1.0)
-    best = int(after.argmax())
-    if after[best] <= (whole**2).sum() / n + 1e-9 * n:
-        return 1
-    side = X[:, best] > 0.5
-    return gini_leaves(X[side], counts[side], depth, at + 1) + gini_leaves(X[~side], counts[~side], depth, at + 1)
-
-
-@dataclass
-class TreeComplexity:
-    """Leaves of the decision tree fitted without the row, on 0/1 features.
-
-    Rows that agree in features and label have equal trees: there are as many
-    fits as such cells, whatever the number of rows. The cells' counts are sent
-    to all tasks, each of which fits its share; over ``max_cells`` of them raises.
-    """
-
-    max_depth: int | None = None
-    max_cells: int = 50_000
-
-    def trust_score(self, df: DataFrame) -> DataFrame:
-        cells = stored(df.groupBy("x", "y").agg(F.count("*").alias("n")), "cells")
-        if cells.count() > self.max_cells:
-            raise ValueError(f"over {self.max_cells} distinct rows: features must be few and 0 or 1")
-        table, depth = cells.toPandas(), self.max_depth
-        keys = {tuple(x): k for k, x in enumerate(dict.fromkeys(map(tuple, table["x"])))}
-        X = np.array(list(keys), float)
-        counts = np.zeros((len(keys), int(table["y"].max()) + 1 if len(table) else 1))
-        for x, y, n in zip(table["x"], table["y"], table["n"]):
-            counts[keys[tuple(x)], y] = n
-        shared = df.sparkSession.sparkContext.broadcast((keys, X, counts))
-
-        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys, X, counts = shared.value
-            for b in batches:
-                out = []
-                for x, y in zip(b["x"], b["y"]):
-                    less = counts.copy()
-                    less[keys[tuple(x)], y] -= 1
-                    kept = less.sum(axis=1) > 0
-                    out.append(float(gini_leaves(X[kept], less[kept], depth)) if kept.any() else 1.0)
-                yield b[["x", "y"]].assign(trust=out)
-
-        fitted = stored(cells.mapInPandas(fit, "x array<double>, y int, trust double"), "leaves")
-        return df.join(fitted, ["x", "y"]).select("id", "trust")
-
-
 @dataclass
 class StumpComplexity:
     """D07 in closed form for a rule in place of a tree: the leaves of the stump of majorities fitted without the row.

@@ -130,12 +130,13 @@ def _(estimator: BoostedStumps, df: DataFrame):
 
 @dataclass(frozen=True)
 class Split:
-    """A tree: rows with feature ``at`` up to ``threshold`` go to ``left``; leaves are numbers."""
+    """A tree: rows with feature ``at`` up to ``threshold`` go to ``left``; leaves are numbers, and ``value`` is the node's own."""
 
     at: int
     threshold: float
     left: "Split | float"
     right: "Split | float"
+    value: float | None = None
 
 
 def tree_column(tree: Split | float, x: Column, leaf: Callable[[int, float], float] = lambda k, v: v) -> Column:
@@ -156,10 +157,14 @@ def leaves(tree: Split | float) -> int:
 
 
 def pruned(tree: Split | float, depth: int) -> Split | float:
-    """The tree cut off at a depth; a node that is cut takes its leftmost leaf's value."""
+    """The tree cut off at a depth; a node that is cut takes its own value, which it must have."""
     if not isinstance(tree, Split):
         return tree
-    return pruned(tree.left, 0) if depth == 0 else Split(tree.at, tree.threshold, pruned(tree.left, depth - 1), pruned(tree.right, depth - 1))
+    if depth == 0:
+        if tree.value is None:
+            raise ValueError("a node without a value of its own can't be a leaf")
+        return tree.value
+    return Split(tree.at, tree.threshold, pruned(tree.left, depth - 1), pruned(tree.right, depth - 1), tree.value)
 
 
 @dataclass

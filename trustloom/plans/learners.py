@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from trustloom.operators import linear as L
 from trustloom.operators import networks
 from trustloom.operators import staged as S
+from trustloom.operators import trees as T
+from trustloom.operators.committees import Committee
 from trustloom.plans import base as B
 from trustloom.sources.store import before, ranged
 
@@ -65,6 +67,14 @@ def _(model: S.TreeSum) -> int:
     return sum(S.leaves(t) for t in model.trees)
 
 
+@parameter_count.register(T.TreeClasses)
+@parameter_count.register(T.TreeMeans)
+@parameter_count.register(T.BoostedTrees)
+@parameter_count.register(Committee)
+def _(model) -> int:
+    return model.parameter_count()
+
+
 @parameter_count.register
 def _(model: S.StumpSum) -> int:
     return 2 * len(model.stumps)
