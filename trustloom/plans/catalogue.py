@@ -287,7 +287,6 @@ t as (select c, j, count(*) filter (where y = c and x[j] > 0.5) as a, count(*) f
 w as (select id, j, c, a - (y = c and x[j] > 0.5)::integer as a, b - (y = c and x[j] < 0.5)::integer as b from m, t),
 l as (select id, j, list(a order by c) as a, list(b order by c) as b from w group by id, j)"""
 query("D07_decision_tree_complexity", f"with {_STUMP} select id, max(case when list_position(a, list_max(a)) <> list_position(b, list_max(b)) and list_max(a) > 0 and list_max(b) > 0 then 2.0 else 1.0 end)::double as trust from l group by id")(lambda s, d: T.StumpComplexity(4).trust_score(B.languages(s, d)))
-query("D07b_tree_complexity")(lambda s, d: T.TreeComplexity(max_depth=3).trust_score(B.languages(s, d)))
 _OUT = f"""{BIN}, g as (select y, count(*)::double as n, avg(x[1]) as a, avg(x[2]) as c, greatest(var_pop(x[1]), 1e-6) as va, greatest(var_pop(x[2]), 1e-6) as vc, sum(count(*)) over () as t from b group by y)"""
 _OUTV = "-0.5 * ((x[1] - a) * (x[1] - a) / va + ln(va) + (x[2] - c) * (x[2] - c) / vc + ln(vc) + 2 * ln(2 * 3.141592653589793)) * n / t"
 query("E05_outlier_ensemble", f"with {_OUT} select id, 0::integer as member, false as oob, 1.0::double as weight, [round({_OUTV}, 6) + 0.0] as score from b join g using (y)")(lambda s, d: N.OutlierEnsemble().probe(B.binary(s, d)))
@@ -447,3 +446,6 @@ query("M03_confusion", f"with {SCORED} select y, (list_position(z, list_max(z))
 QUERIES |= {k: (lambda s, d, f=f: B.rounded(f(s, d))) for k, f in K.QUERIES.items()}
 
 from trustloom.plans import literal as _literal  # noqa: E402,F401  registers its queries here
+from trustloom.plans import fitted as _fitted  # noqa: E402,F401  so does this
+from trustloom.plans import neighbour_queries as _neighbours  # noqa: E402,F401  and this
+from trustloom.plans import sparse_queries as _sparse  # noqa: E402,F401  and this
