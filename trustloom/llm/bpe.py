@@ -14,14 +14,13 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import SEPARATORS, Memo
+from trustloom.llm.common import SEPARATORS, Memo, only
 
 NONE = 1 << 62
 
@@ -164,9 +163,8 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+    return only(lambda: WordBpe(path), "bpe", path)
 
 
 def default_path() -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trustloom.functions.expr import held
 from trustloom.sources.store import shared_dir, stored
 
-__all__ = ["BLANK", "BLANK_CHARS", "NOT_BLANK", "SEPARATORS", "Memo", "held", "row_key", "shared_dir", "stored", "tail"]
+__all__ = ["BLANK", "BLANK_CHARS", "NOT_BLANK", "SEPARATORS", "Memo", "held", "only", "row_key", "shared_dir", "stored", "tail"]
 
 #: Word separators: space and the ASCII controls tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]"
@@ -61,3 +61,19 @@ class Memo(dict):
                 self.clear()
             self[key] = found
         return found
+
+
+_SLOT: dict[tuple, object] = {}
+
+
+def only(build: Callable, *key):
+    """``build()``, made once for ``key`` in a worker process and kept until another key is asked for.
+
+    A worker holds one such object with its memos, however many stages it
+    serves one after the other: an index or a scorer isn't built anew for each
+    task, and what an earlier stage has gathered makes room for the next.
+    """
+    if key not in _SLOT:
+        _SLOT.clear()
+        _SLOT[key] = build()
+    return _SLOT[key]

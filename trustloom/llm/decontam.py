@@ -20,6 +20,7 @@ taken where as many shared runs of one item lie within n + d words.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import Memo, row_key, stored
+from trustloom.llm.common import Memo, only, row_key, stored
 
 #: Edits allowed, as a share of an item's words.
 DISTANCE = 0.2
@@ -381,11 +382,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         items = [(i, t) for i, t in block if len(normal_words(t)) >= min_words]
         if not items:
             continue
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, distance, recall)
-            number = numbers(index.vocab).__getitem__
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            def build():
+                index = Index(shared.value, distance, recall)
+                return index, numbers(index.vocab).__getitem__
+
+            index, number = only(build, "decontam", name)
             names = ["doc_id", "item_id", "end_word", "edits"]
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()

@@ -19,7 +19,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.llm.bpe import byte_symbols, default_path, tokenizer
-from trustloom.llm.common import SEPARATORS, Memo, shared_dir
+from trustloom.llm.bpe import WordBpe, byte_symbols, default_path
+from trustloom.llm.common import SEPARATORS, Memo, only, shared_dir
 
 #: Bits of the shared table's total.
 BITS = 20
@@ -140,9 +139,8 @@ class Coder:
         return out.reshape(-1)[: n - first_mark * CHECKPOINT * lanes if ends_block else None]
 
 
-@lru_cache(maxsize=1)
 def _coder(data: bytes) -> Coder:
-    return Coder(np.frombuffer(data, np.int64))
+    return only(lambda: Coder(np.frombuffer(data, np.int64)), "coder", data)
 
 
 def id_kind(symbols: int) -> str:
@@ -267,7 +265,7 @@ class Encoder:
     def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
-        self.rules, self.library, self.kind = tokenizer(path), Tokenizer.from_file(path), kind
+        self.rules, self.library, self.kind = WordBpe(path), Tokenizer.from_file(path), kind
         self.library.no_truncation()
         self.library.no_padding()
         self.model, self.code = self.library.model, np.dtype(kind).char
@@ -288,9 +286,8 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, kind: str) -> Encoder:
-    return Encoder(path, kind)
+    return only(lambda: Encoder(path, kind), "encoder", path, kind)
 
 
 def token_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, symbols: int = SYMBOLS) -> DataFrame:

@@ -12,6 +12,7 @@ set on rows of the training sample that the embeddings weren't fitted to.
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from trustloom.llm.common import Memo
+from trustloom.llm.common import Memo, only
 
 BUCKETS = 1 << 15
 DIM = 8
@@ -268,10 +269,10 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     gives no rows. The text alone is looked at; the other columns pass through.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.scorer()
+        score = only(lambda: shared.value.scorer(), "toxicity", name)
         at = names.index(text)
         for batch in batches:
             s = np.array([score(x or "") for x in batch.column(at).to_pylist()], np.float64)
