@@ -504,28 +504,54 @@ def test_pii_terms_match_brute_force(spark, docs):
     def spans_of(t):
         return [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in brute_spans(t)]
 
+    def blanked(t):
+        for _, s, e in spans_of(t):
+            t = t[:s] + " " * (e - s) + t[e:]
+        return t
+
+    def keys_of(t):
+        out = set()
+        for kind, s, e in spans_of(t):
+            v, digits = t[s:e].lower(), re.sub("[^0-9]", "", t[s:e])
+            out |= {f"value={t[s:e]}", f"kind={kind}"}
+            if kind == "email":
+                out.add("domain=" + v.split("@")[-1])
+                stem = re.sub("[^a-z]+$", "", v.split("@")[0])
+                out |= {f"name={stem}"} if len(stem) > 2 else set()
+            else:
+                out.add({"ip": "net=" + ".".join(v.split(".")[:2]), "card": "issuer=" + digits[:6], "phone": "area=" + digits[:4]}[kind])
+        return out
+
     term = re.compile(r"[^\W_]+")
     seen, within, entity = Counter(), Counter(), Counter()
     distinct = {t for _, t in texts if t is not None}
     for t in distinct:
         seen.update(set(term.findall(t.lower())))
-        values = {t[s:e] for _, s, e in spans_of(t)}
-        blank = t
-        for _, s, e in spans_of(t):
-            blank = blank[:s] + " " * (e - s) + blank[e:]
-        entity.update(values)
-        within.update((v, w) for v in values for w in set(term.findall(blank.lower())))
-    n = len(distinct)
+        keys = keys_of(t)
+        entity.update(keys)
+        within.update((v, w) for v in keys for w in set(term.findall(blanked(t).lower())))
+    # All rows without a text are one empty text.
+    n = len(distinct | {""})
+    # The pairs that chance is shared out to: terms that some entity may reach.
+    found = Counter()
+    for t in distinct:
+        if keys_of(t):
+            found.update(set(term.findall(blanked(t).lower())))
+    may = {w for w, k in found.items() if k >= pii.SUPPORT and (k + 1) / (seen[w] + 1) >= (pii.SUPPORT / n) ** (1 - pii.DISCLOSURE)}
+    least = lambda v: pii.SUPPORT if v.startswith("value=") else pii.SHARED_SUPPORT
+    tried = {(v, w): k for (v, w), k in within.items() if k >= least(v) and w in may}
     risky = defaultdict(set)
-    for (v, w), both in within.items():
-        pmi, content = np.log(n * both / (entity[v] * seen[w])), np.log(n / entity[v])
-        if both >= pii.SUPPORT and content > 0 and pmi >= pii.DISCLOSURE * content and both * (1 - pmi) <= np.log(pii.CHANCE):
+    for (v, w), both in tried.items():
+        p, share = entity[v] / n, both / seen[w]
+        kl = share * np.log(share / p) + ((1 - share) * np.log((1 - share) / (1 - p)) if share < 1 else 0)
+        if share > p and np.log((both + p) / (seen[w] + 1) / p) >= pii.DISCLOSURE * -np.log(p) and np.log(len(tried)) - seen[w] * kl <= np.log(pii.CHANCE):
             risky[v].add(w)
-    assert len(risky) == 6 and {"name2x"} <= risky[people[2]]
+    assert {"name2x"} <= risky["value=" + people[2]] and {"name2x"} <= risky["domain=corp2.org"]
 
     def want(t):
         base = spans_of(t or "")
-        own = set().union(*[risky[t[s:e]] for _, s, e in base])
+        own = set().union(*[risky[k] for k in keys_of(t or "")])
+        own &= set(term.findall(blanked(t or "").lower()))
         more = [("term", m.start(), m.end()) for m in term.finditer(t or "") if m[0].lower() in own and not any(s < m.end() and m.start() < e for _, s, e in base)]
         order = [*pii.KINDS, "term"]
         return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(base + more, key=lambda x: (x[1], order.index(x[0]))))
@@ -536,6 +562,19 @@ def test_pii_terms_match_brute_force(spark, docs):
         assert r.s == want(r.text), r.text[:200]
 
 
+def test_pii_terms_that_disclose_a_class(spark):
+    """No address stands in two texts; a name goes with a domain, and a word with cards of one issuer."""
+    rows = [(i, f"Dear Kowalczyk, write to kowalczyk{i}@clinic.org about item{i}") for i in range(50)]
+    rows += [(50 + i, f"plain text number {i} about the way to write") for i in range(100)]
+    numbers = [next(str(n) for n in range(k, k + 10) if luhn(str(n))) for k in range(4111110000000000, 4111110000000400, 10)]
+    rows += [(150 + i, f"Paid by platinumclub {n} on the way") for i, n in enumerate(numbers)]
+    got = {r.doc_id: r.clean_text for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), unit="document").collect()}
+    assert "Kowalczyk" not in got[7] and "[TERM]" in got[7] and "write to" in got[7] and "about item7" in got[7]
+    assert all(got[50 + i] == rows[50 + i][1] for i in range(100))
+    cards = [t for i, t in got.items() if i >= 150 and "[CARD]" in t]
+    assert len(cards) == 40 and all("platinumclub" not in t and t.endswith("the way") for t in cards)
+
+
 def test_pii_kept_texts(docs):
     for r in pii.personal_data(docs).collect():
         want, at = "", 0

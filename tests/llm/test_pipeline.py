@@ -68,3 +68,23 @@ def test_stages_tell_rows_of_one_id_apart(spark, sf):
     df = spark.createDataFrame([(None, "x " + passage), (None, prose("a")), (1, passage), (1, prose("b")), (1, None), (None, None)], "doc_id long, text string")
     got = {tuple(r) for r in corpus_pipeline.drop_contaminated(spark, df, sf).collect()}
     assert got == {(None, prose("a")), (1, prose("b")), (1, None), (None, None)}
+
+
+def test_planted_terms_are_replaced_on_the_way(spark, sf, tmp_path):
+    """A name that goes with a domain, in documents that all stages keep, is replaced before the ids are made."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = [w for r in docs.filter("doc_id < 60").collect() for w in (r.text or "").split() if w.isalpha()]
+    prose = lambda: " ".join(rng.choice(some, 40))
+    rows = [(10**9 + i, f"{prose()} Zyxwarden {prose()} zed{i}@vault.example.org {prose()}", "en", "planted", 0) for i in range(30)]
+    spark.createDataFrame(rows, docs.schema).unionByName(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    t, kept = Tokenizer.from_file(bpe.default_path()), [r for r in rows if r[0] in got]
+    assert len(kept) > 20
+    for i, text, *_ in kept:
+        want = text.replace("Zyxwarden", "[TERM]").replace(text.split("@")[0].split()[-1] + "@vault.example.org", "[EMAIL]")
+        assert got[i].n_tokens == len(t.encode(want, add_special_tokens=False).ids)
