@@ -187,3 +187,41 @@ def test_hat_blocks_have_the_leverage_as_trace(spark):
     lever = {r.id: r.leverage for r in L.influence(df, model).collect()}
     for r in L.hat_blocks(df, model).collect():
         assert np.trace(np.array(r.block)) == pytest.approx(lever[r.id]) and np.allclose(r.block, np.array(r.block).T)
+
+
+@pytest.mark.parametrize("aggregate", ["sum", "count", "mean", "var", A.FORGET, A.oob("mean"), A.itb("var"), A.oob(A.FORGET), A.from_axis(F.avg, A.VAR), A.from_axis(F.max, A.MEAN)])
+def test_members_in_a_row_reduce_as_a_stream_does(spark, aggregate):
+    rng = np.random.default_rng(6)
+    data = [(i, [(k, bool(rng.integers(0, 2)), float(rng.integers(1, 4)), [float(rng.integers(0, 5)), float(rng.normal())]) for k in range(6)]) for i in range(20)]
+    df = spark.createDataFrame([*data, (None, data[0][1])], "id long, _members array<struct<member: int, oob: boolean, weight: double, score: array<double>>>")
+    a = A.check_aggregate(aggregate)
+    own = {r.id: r.value for r in df.select("id", a.in_row(F.col("_members")).alias("value")).collect()}
+    stream = df.select("id", F.explode("_members").alias("m")).select("id", "m.*")
+    want = {r.id: r.value for r in a.run(stream).collect()}
+    assert own.keys() == want.keys() and None in own
+    for i, v in want.items():
+        assert (v is None and own[i] is None) or own[i] == pytest.approx(v), i
+
+
+def test_stage_detectors_shuffle_nothing_and_keep_null_ids(spark, rows):
+    some = rows.withColumn("id", F.when(F.col("id") % 50 != 0, F.col("id")))
+    model = S.GradientDescent(3).fit(rows)
+    for detector in (T.area_under_margin(lambda df: [model] * 3), T.forget_scores(lambda df: [model] * 3), T.volg(lambda df: [model] * 3)):
+        out = detector.trust_score(some)
+        assert out.count() == some.count() and out.filter("id is null").count() == 6
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hundred_boosted_stages_plan_fast(rows):
+    import time
+
+    trees = [S.Split(k % 2, (k % 7) / 7 - 0.5, S.Split((k + 1) % 2, 0.1, -0.2, 0.1), 0.05 * (k % 3)) for k in range(100)]
+    model = S.TreeSum(trees, [0.1] * 100)
+    N.ProgressiveEnsemble(lambda df: model, 1, "predict").members(rows.limit(5), P.margin()).collect()
+    began = time.time()
+    out = T.area_under_margin(lambda df: model, staging="predict").trust_score(rows)
+    out._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 10  # 3 s on an idle machine
+    last = {r.id: r.m for r in rows.select("id", (sum((S.TreeSum(trees[:k], [0.1] * k).margin(F.col("x")) for k in (1, 2)), F.lit(0.0))).alias("m")).collect()}
+    two = {r.id: r.trust for r in T.area_under_margin(lambda df: S.TreeSum(trees[:2], [0.1] * 2), staging="predict").trust_score(rows.withColumn("y", F.lit(1))).collect()}
+    assert two == pytest.approx({i: 2 * v for i, v in last.items()})

@@ -1,7 +1,10 @@
 """Aggregates over the member axis of a probe stream (id, member, oob, weight, score array).
 
-Each is a grouped reduction by id with a partial step before the shuffle. A
-row that no member selects gets null where the sum of weights is empty.
+A stream is reduced by id: sums, counts and means with a partial step before the
+shuffle; the variance and forgetting bring an id's members together. Ensembles
+that hold all members of a row in one array don't make a stream at all: named
+aggregates reduce the array where it is (:meth:`Aggregate.in_row`), and nothing
+is shuffled. A row that no member selects gets null where the sum of weights is empty.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustloom.functions import expr as E
 
 @dataclass(frozen=True)
 class Aggregate:
@@ -24,6 +28,23 @@ class Aggregate:
     selects: str | None = None  #: oob or itb
     along: Callable[[Column], Column] | None = None  #: over the probe axis, after the members
     each: "Aggregate | None" = None
+    local: Callable[[Column], Column] | None = None  #: of an array of (s, w) in the order of members
+
+    def in_row(self, members: Column) -> Column | None:
+        """The value from a row's array of (member, oob, weight, score), or None where only a stream will do."""
+        inner = self.each if self.along is not None else self
+        over = _ALONG.get(getattr(self.along, "__name__", None)) if self.along is not None else None
+        if inner is None or inner.local is None or (self.along is not None and over is None):
+            return None
+        weight = {"oob": lambda m: F.when(m["oob"], m["weight"]).otherwise(0.0), "itb": lambda m: F.when(m["oob"], 0.0).otherwise(m["weight"])}.get(self.selects, lambda m: m["weight"])
+
+        def at(p: Column) -> Callable[[Column], Column]:
+            return lambda members: E.let(F.transform(members, lambda m: F.struct(F.get(m["score"], p).alias("s"), weight(m).alias("w"))), inner.local)
+
+        if self.along is None:
+            return at(F.lit(0))(members)
+        places = F.sequence(F.lit(0), F.size(F.get(members, F.lit(0))["score"]) - 1)
+        return E.let(F.transform(places, lambda p: at(p)(members)), over)
 
     def run(self, stream: DataFrame) -> DataFrame:
         """(id, value)."""
@@ -56,8 +77,9 @@ def _var(s: Column, w: Column) -> Column:
 
 def _centred(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Scores less their row's plain mean: large scores that differ little keep their differences."""
-    means = rows.groupBy(*keys).agg(F.avg("s").alias("_mean"))
-    return rows.join(means, keys).withColumn("s", F.col("s") - F.col("_mean")).drop("_mean")
+    means = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.avg("s").alias("_mean"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]  # null ids are rows too
+    return rows.join(means, same).withColumn("s", F.col("s") - F.col("_mean")).select(*rows.columns)
 
 
 def _steps(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,17 +88,47 @@ def _steps(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("s", F.coalesce((F.lag("s").over(order) > F.col("s")).cast("double"), F.lit(0.0)))
 
 
-TOTAL = Aggregate("sum", lambda s, w: F.sum(s * w))
-COUNT = Aggregate("count", lambda s, w: F.sum(w))
-MEAN = Aggregate("mean", _mean)
-VAR = Aggregate("var", _var, maximize=False, before=_centred)
-FORGET = Aggregate("forget", lambda s, w: F.sum(s * w), maximize=False, before=_steps)
+def _added(values: Column) -> Column:
+    """The sum of an array without its nulls, null if there is nothing else."""
+    return F.aggregate(values, F.lit(None).cast("double"), lambda a, v: F.coalesce(a + v, v, a))
+
+
+def _weighted(of: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda pairs: _added(F.transform(pairs, of))
+
+
+_LOCAL_SUM, _LOCAL_COUNT = _weighted(lambda p: p["s"] * p["w"]), _weighted(lambda p: p["w"])
+
+
+def _local_mean(pairs: Column) -> Column:
+    return F.try_divide(_LOCAL_SUM(pairs), _LOCAL_COUNT(pairs))
+
+
+def _local_var(pairs: Column) -> Column:
+    return E.let(_local_mean(pairs), lambda m: F.try_divide(_added(F.transform(pairs, lambda p: p["w"] * (p["s"] - m) * (p["s"] - m))), _LOCAL_COUNT(pairs)))
+
+
+def _local_forget(pairs: Column) -> Column:
+    """The weight of the members that fall below the one before them."""
+    after = F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0)))
+    return F.coalesce(_added(F.zip_with(F.slice(pairs, 1, F.size(after)), after, lambda a, b: F.when(a["s"] > b["s"], b["w"]).otherwise(0.0))), F.lit(0.0))
+
+
+_LOCAL_AVG = lambda a: F.try_divide(_added(a), F.size(F.filter(a, lambda v: v.isNotNull())))
+#: Reductions of the probe axis that have a form on arrays, by their names in Spark.
+_ALONG = {"avg": _LOCAL_AVG, "mean": _LOCAL_AVG, "sum": _added, "max": F.array_max, "min": F.array_min}
+
+TOTAL = Aggregate("sum", lambda s, w: F.sum(s * w), local=_LOCAL_SUM)
+COUNT = Aggregate("count", lambda s, w: F.sum(w), local=_LOCAL_COUNT)
+MEAN = Aggregate("mean", _mean, local=_local_mean)
+VAR = Aggregate("var", _var, maximize=False, before=_centred, local=_local_var)
+FORGET = Aggregate("forget", lambda s, w: F.sum(s * w), maximize=False, before=_steps, local=_local_forget)
 
 NAMED = {"sum": TOTAL, "count": COUNT, "mean": MEAN, "var": VAR}
 
 
 def _selecting(a: Aggregate, what: str) -> Aggregate:
-    return Aggregate(f"{what}({a.name})", a.of, a.maximize, a.before, what, a.along, a.each)
+    return Aggregate(f"{what}({a.name})", a.of, a.maximize, a.before, what, a.along, a.each, a.local)
 
 
 def oob(a: Aggregate | str) -> Aggregate:

@@ -33,7 +33,11 @@ class ModelProbingDetector:
         probe = self.probe if callable(self.probe) and not isinstance(self.probe, P.Probe) else P.check_probe(self.probe)
         aggregate = A.check_aggregate(self.aggregate)
         better = probe.maximize if isinstance(probe, P.Probe) else bool(self.maximize)
-        out = aggregate.run(self.ensemble.probe(df, probe, **self.context))
+        value = aggregate.in_row(F.col("_members")) if hasattr(self.ensemble, "members") else None
+        if value is not None:  # all members stand in the row: no shuffle, and null ids stay apart
+            out = self.ensemble.members(df, probe, **self.context).select("id", value.alias("value"))
+        else:
+            out = aggregate.run(self.ensemble.probe(df, probe, **self.context))
         return out.select("id", (F.col("value") * F.lit(float(A.sign(aggregate, better)))).alias("trust"))
 
 
@@ -127,7 +131,8 @@ def finite_difference_probe(probe: P.Probe, along: list[list[float]], epsilon: f
 
 
 def finite_diff_complexity(fit, along, epsilon: float = 0.1) -> ModelProbingDetector:
-    each = A.Aggregate("mean of abs", lambda s, w: F.try_divide(F.sum(F.abs(s) * w), F.sum(w)))
+    absolute = lambda pairs: A.MEAN.local(F.transform(pairs, lambda p: F.struct(F.abs(p["s"]).alias("s"), p["w"].alias("w"))))
+    each = A.Aggregate("mean of abs", lambda s, w: F.try_divide(F.sum(F.abs(s) * w), F.sum(w)), local=absolute)
     return ModelProbingDetector(NoEnsemble(fit), finite_difference_probe(P.margin(), along, epsilon), A.from_axis(F.avg, each), maximize=False)
 
 

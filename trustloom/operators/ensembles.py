@@ -2,7 +2,8 @@
 
 Members are rows of a small table of parameters that is sent to all tasks; its
 size is members times parameters, set by the caller and not by the data. The
-result is the probe stream (id, member, oob, weight, score).
+result is the probe stream (id, member, oob, weight, score), or the same as an
+array in each row.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from trustloom.functions import expr as E
 from trustloom.functions.probes import Probe
 from trustloom.operators.linear import LinearModel, fit_logistic_stages, fit_naive_bayes
-from trustloom.operators.staged import staged_fit, staged_predict
+from trustloom.operators.staged import Given, running, staged_fit, staged_predict
 from trustloom.sources.store import stored
 
 STREAM = ("id", "member", "oob", "weight", "score")
@@ -29,12 +30,35 @@ def member_score(m: LinearModel, probe: Probe | Callable, x: Column, y: Column,
     return probe(m, x, y)
 
 
-def stream(df: DataFrame, models: dict[int, LinearModel], probe: Probe | Callable, oob: Column | None = None, **context) -> DataFrame:
-    """All members on all rows: one projection that makes an array of members, then one explode."""
+def members(df: DataFrame, models: dict[int, LinearModel], probe: Probe | Callable, oob: Column | None = None, **context) -> DataFrame:
+    """``df`` with ``_members``: an array of (member, oob, weight, score) in the order of members.
+
+    Stages of a sum (:class:`staged.Prefixes`) are had from one running sum of
+    its terms, so that many stages cost as much as the last one alone.
+    """
     x, y = F.col("x"), F.col("y")
-    rows = F.array(*[F.struct(F.lit(k).alias("member"), member_score(m, probe, x, y, **context).alias("score")) for k, m in models.items()])
-    out = df.select("*", F.explode(rows).alias("_m")).select("*", F.col("_m.member").alias("member"), F.col("_m.score").alias("score"))
-    return out.select("id", "member", (oob if oob is not None else F.lit(False)).alias("oob"), F.lit(1.0).alias("weight"), "score")
+    out = lambda k, score: F.struct(k.cast("int").alias("member"), (oob if oob is not None else F.lit(False)).alias("oob"), F.lit(1.0).alias("weight"), score.alias("score"))
+    whole = getattr(models, "whole", None)
+    if whole is None or not isinstance(probe, Probe):
+        rows = F.array(*[out(F.lit(k), member_score(m, probe, x, y, **context)) for k, m in models.items()])
+        return E.held(df, _members=rows)
+    sums = E.held(df, _sums=running(whole.base, whole.steps(x)))
+    kept = F.array(*[F.lit(k) for k in models])
+    rows = F.transform(kept, lambda k: out(k, member_score(Given(F.get("_sums", k), whole), probe, x, y, **context)))
+    return E.held(sums, _members=rows).drop("_sums")
+
+
+def stream(df: DataFrame, models: dict[int, LinearModel], probe: Probe | Callable, oob: Column | None = None, **context) -> DataFrame:
+    """All members on all rows: the array of :func:`members`, exploded."""
+    return members(df, models, probe, oob, **context).select("id", F.explode("_members").alias("_m")).select("id", "_m.member", "_m.oob", "_m.weight", "_m.score")
+
+
+class Stages(dict):
+    """Models by member, those kept of a sequence of stages, with the sum they are prefixes of, if any."""
+
+    def __init__(self, models: Sequence, steps: int) -> None:
+        super().__init__({k: m for k, m in enumerate(models) if k % steps == 0})
+        self.whole = getattr(models, "whole", None)
 
 
 #: Modulus of the hash that folds are dealt by, and rows of a class that one task deals, about.
@@ -80,6 +104,9 @@ class NoEnsemble:
 
     fit: Callable[[DataFrame], LinearModel]
 
+    def members(self, df: DataFrame, probe, **context) -> DataFrame:
+        return members(df, {0: self.fit(df)}, probe, **context)
+
     def probe(self, df: DataFrame, probe, **context) -> DataFrame:
         return stream(df, {0: self.fit(df)}, probe, **context)
 
@@ -166,8 +193,11 @@ class ProgressiveEnsemble:
             return staged_fit(self.stages, df)
         return staged_predict(self.stages.fit(df) if hasattr(self.stages, "fit") else self.stages(df))
 
+    def members(self, df: DataFrame, probe, **context) -> DataFrame:
+        return members(df, Stages(self.models(df), self.steps), probe, **context)
+
     def probe(self, df: DataFrame, probe, **context) -> DataFrame:
-        return stream(df, {k: m for k, m in enumerate(self.models(df)) if k % self.steps == 0}, probe, **context)
+        return stream(df, Stages(self.models(df), self.steps), probe, **context)
 
 
 @dataclass

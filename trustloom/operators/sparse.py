@@ -298,7 +298,7 @@ def inverse_blocks(blocks: DataFrame, parameters: int, side: int) -> DataFrame:
 
     for p in range(rounds):
         n = _size(p, side, parameters)
-        pivot = np.linalg.inv(read(now.filter((F.col("bi") == p) & (F.col("bj") == p)).first()["m"], n, n))
+        pivot = np.linalg.pinv(read(now.filter((F.col("bi") == p) & (F.col("bj") == p)).first()["m"], n, n), hermitian=True)
         shared = spark.sparkContext.broadcast(pivot)
         row, column = now.filter(F.col("bi") == p).select("bj", F.col("m").alias("r")), now.filter(F.col("bj") == p).select("bi", F.col("m").alias("c"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions import expr as E
 from trustloom.operators.linear import LinearModel, fit_logistic_stages
+from trustloom.sources.store import stored
 
 
 @singledispatch
@@ -61,6 +62,34 @@ class Scores:
         return of[source](x)
 
 
+class Given(Scores):
+    """A model whose margin is there already, which otherwise scores as ``like`` does."""
+
+    def __init__(self, margin: Column, like: Scores) -> None:
+        self._margin, self._like = margin, like
+
+    def margin(self, x: Column) -> Column:
+        return self._margin
+
+    def predictions(self, x: Column) -> Column:
+        return self._margin if getattr(self._like, "loss", None) == "squared" else super().predictions(x)
+
+
+class Prefixes(list):
+    """Stages that are the prefixes of one sum, ``whole``, which has a ``base`` and ``steps`` of x."""
+
+    def __init__(self, stages: Sequence, whole) -> None:
+        super().__init__(stages)
+        self.whole = whole
+
+
+def running(base: float, steps: Column) -> Column:
+    """The sums of the base and the first 1, 2, .. steps."""
+    start = F.struct(F.lit(float(base)).alias("sum"), F.array().cast("array<double>").alias("all"))
+    add = lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.array_append(a["all"], a["sum"] + v).alias("all"))
+    return F.aggregate(steps, start, add, lambda a: a["all"])
+
+
 # Gradient descent (S05) ------------------------------------------------------------------------------
 
 
@@ -90,9 +119,14 @@ class StumpSum(Scores):
     """A fitted sum of one-feature stumps on 0/1 features: (feature, weight) in order of boosting."""
 
     stumps: list[tuple[int, float]] = field(default_factory=list)
+    base: float = 0.0
+
+    def steps(self, x: Column) -> Column:
+        """What each stump adds."""
+        return E.let(x, lambda x: F.array(*[F.lit(a) * (2.0 * F.get(x, F.lit(j)) - 1.0) for j, a in self.stumps]))
 
     def margin(self, x: Column) -> Column:
-        return E.let(x, lambda x: sum((F.lit(a) * (2.0 * F.get(x, F.lit(j)) - 1.0) for j, a in self.stumps), F.lit(0.0)))
+        return E.total(self.steps(x)) if self.stumps else F.lit(0.0)
 
 
 @dataclass
@@ -102,21 +136,25 @@ class BoostedStumps:
     rounds: int = 5
 
     def fit(self, df: DataFrame) -> StumpSum:
-        d = len(df.select("x").first()["x"])
-        model, sign = StumpSum(), 2.0 * F.col("y") - 1.0
-        for _ in range(self.rounds):
-            rows = df.select("x", sign.alias("s"), F.exp(-sign * model.margin(F.col("x"))).alias("w"))
+        """Features and weights are stored, so that a round reads neither texts nor the stumps so far."""
+        first = df.select("x").first()
+        d, model = len(first["x"]) if first else 0, StumpSum()
+        rows = stored(df.select("x", (2.0 * F.col("y") - 1.0).alias("s"), F.lit(1.0).alias("w")), "stumps") if d else None
+        for n in range(self.rounds if d else 0):
             sums = rows.agg(F.sum("w").alias("all"), *[F.sum(F.col("w") * F.col("s") * (2.0 * F.get("x", F.lit(j)) - 1.0)).alias(f"c{j}") for j in range(d)]).first()
             edge = [sums[f"c{j}"] / sums["all"] for j in range(d)]
-            j = max(range(d), key=lambda k: abs(edge[k]))
+            j = max(range(d), key=lambda k: abs(round(edge[k], 12)))
             r = min(max(edge[j], -1 + 1e-9), 1 - 1e-9)
             model.stumps.append((j, 0.5 * math.log((1 + r) / (1 - r))))
+            if n + 1 < self.rounds:
+                step = F.lit(model.stumps[-1][1]) * (2.0 * F.get("x", F.lit(j)) - 1.0)
+                rows = stored(rows.withColumn("w", F.col("w") * F.exp(-F.col("s") * step)), "stumps")
         return model
 
 
 @staged_predict.register
 def _(model: StumpSum):
-    return [StumpSum(model.stumps[:k]) for k in range(1, len(model.stumps) + 1)]
+    return Prefixes([StumpSum(model.stumps[:k]) for k in range(1, len(model.stumps) + 1)], model)
 
 
 @staged_fit.register
@@ -173,9 +211,14 @@ class TreeSum(Scores):
 
     trees: list[Split | float]
     weights: list[float]
+    base: float = 0.0
+
+    def steps(self, x: Column) -> Column:
+        """What each tree adds to the log odds."""
+        return E.let(x, lambda x: F.array(*[F.lit(2.0 * w) * tree_column(t, x) for t, w in zip(self.trees, self.weights)]))
 
     def margin(self, x: Column) -> Column:
-        return E.let(x, lambda x: sum((F.lit(2.0 * w) * tree_column(t, x) for t, w in zip(self.trees, self.weights)), F.lit(0.0)))
+        return E.total(self.steps(x)) if self.trees else F.lit(0.0)
 
     @classmethod
     def of_spark(cls, model) -> "TreeSum":
@@ -192,7 +235,7 @@ class TreeSum(Scores):
 
 @staged_predict.register
 def _(model: TreeSum):
-    return [TreeSum(model.trees[:k], model.weights[:k]) for k in range(1, len(model.trees) + 1)]
+    return Prefixes([TreeSum(model.trees[:k], model.weights[:k]) for k in range(1, len(model.trees) + 1)], model)
 
 
 @dataclass

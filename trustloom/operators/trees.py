@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions import expr as E
-from trustloom.operators.staged import Scores, Split, staged_fit, staged_predict
+from trustloom.operators.staged import Prefixes, Scores, Split, staged_fit, staged_predict
 from trustloom.sources.store import stored
 
 #: Thresholds a feature, at most: features of more values are cut at quantiles.
@@ -490,7 +490,7 @@ class BoostedTrees(Scores):
 
 @staged_predict.register
 def _(model: BoostedTrees):
-    return [BoostedTrees(model.base, model.rate, model.trees[:k], model.loss) for k in range(1, len(model.trees) + 1)]
+    return Prefixes([BoostedTrees(model.base, model.rate, model.trees[:k], model.loss) for k in range(1, len(model.trees) + 1)], model)
 
 
 @dataclass

@@ -230,7 +230,18 @@ _agg("A06_oob_mean", A.oob("mean"), "select id, round(sum(w * s) filter (where o
 _agg("A07_itb_mean", A.itb("mean"), "select id, round(sum(w * s) filter (where not oob) / sum(w) filter (where not oob), 6) + 0.0 as value from e0 group by id")
 _agg("A08_from_axis", A.from_axis(F.avg, A.VAR), "select id, round((v1 + v2) / 2, 6) + 0.0 as value from (select id, sum(w * (s - m1) * (s - m1)) / sum(w) as v1, sum(w * (s2 - m2) * (s2 - m2)) / sum(w) as v2 from e0 join (select id, sum(w * s) / sum(w) as m1, sum(w * s2) / sum(w) as m2 from e0 group by id) using (id) group by id)")
 query("A09_signed_sum", f"with {EVENTS} select id, round(-sum(w * s), 6) + 0.0 as value from e0 group by id")(lambda s, d: A.TOTAL.run(B.event_stream(s, d)).select("id", (F.col("value") * A.sign(A.TOTAL, False)).alias("value")))
-query("A10_minimize", "select -1::integer as var, -1::integer as forget, 1::integer as sum")(lambda s, d: s.range(1).select(F.lit(A.sign(A.VAR, True)).alias("var"), F.lit(A.sign(A.FORGET, True)).alias("forget"), F.lit(A.sign(A.TOTAL, True)).alias("sum")))
+@query(
+    "A10_minimize",
+    f"""with {EVENTS} select id, round(-sum(w * (s - m) * (s - m)) / sum(w), 6) + 0.0 as var, round(-sum(case when pr > s then w else 0 end), 6) + 0.0 as forget, round(sum(w * s), 6) + 0.0 as total
+from (select *, lag(s) over (partition by id order by member) as pr from e0) join (select id, sum(w * s) / sum(w) as m from e0 group by id) using (id) group by id""",
+)
+def _signed(spark, sf):
+    """Aggregates by their own directions where they have one, else by a probe's that is maximised."""
+    rows = stored(B.event_stream(spark, sf), "stream")
+    of = lambda a, name: a.run(rows).select("id", (F.col("value") * A.sign(a, True)).alias(name))
+    return of(A.VAR, "var").join(of(A.FORGET, "forget"), "id").join(of(A.TOTAL, "total"), "id")
+
+
 query("A11_named_aggregate", f"with {EVENTS} select id, round(sum(w), 6) as value from e0 group by id")(lambda s, d: A.check_aggregate("count").run(B.event_stream(s, d)))
 query("A12_stacked", f"with {EVENTS} select id, list(round(s, 6) order by member) as values from e0 group by id")(lambda s, d: A.stacked(B.event_stream(s, d)))
 
@@ -421,14 +432,28 @@ select id, [case when a then 'spanish' else '-1' end, case when b and not a then
 
 # Generators ------------------------------------------------------------------------------------------
 
+# As many points as the table has documents: c holds their number and that of each shape.
 _xy = "round({a}, 6) + 0.0 as x1, round({b}, 6) + 0.0 as x2, ({y})::integer as y"
-_gen = lambda n, sql: f"with i as (select unnest(range({n})) as id) select id, {sql} from i"
-query("G01_blobs", _gen(999, _xy.format(a="2 * cos(pi() / 4 + (id % 3) * 2 * pi() / 3)", b="2 * sin(pi() / 4 + (id % 3) * 2 * pi() / 3)", y="(id % 3)")))(lambda s, d: toy.blobs(s, 1000, 3, 2.0))
-query("G02_spirals", _gen(999, _xy.format(a="((id // 3) * 2 * pi() / 332 + 1) * cos((id // 3) * 2 * pi() / 332 + 1 + (id % 3) * 2 * pi() / 3)", b="((id // 3) * 2 * pi() / 332 + 1) * sin((id // 3) * 2 * pi() / 332 + 1 + (id % 3) * 2 * pi() / 3)", y="(id % 3)")))(lambda s, d: toy.spirals(s, 1000, 3, 1.0, 1.0))
-query("G03_circles", _gen(999, _xy.format(a="(id % 3) * cos((id // 3) * 2 * pi() / 333)", b="(id % 3) * sin((id // 3) * 2 * pi() / 333)", y="(id % 3)")))(lambda s, d: toy.circles(s, 1000, 3))
-query("G04_xor_camembert", _gen(996, _xy.format(a="((id // 6) / 166.0 + 1) * cos((id % 6) * (2 * pi() - pi() / 3) / 5)", b="-((id // 6) / 166.0 + 1) * sin((id % 6) * (2 * pi() - pi() / 3) / 5)", y="(id % 6) % 3")))(lambda s, d: toy.xor_camembert(s, 1000, 3))
-_T = "(case when id < 333 then pow(id / 332.0, 2) else 1 - pow((id - 333) / 666.0, 2) end)"
-query("G05_moons", _gen(1000, _xy.format(a=f"case when id < 333 then cos(pi() * {_T}) else 1 - cos(pi() * {_T}) end", b=f"case when id < 333 then sin(pi() * {_T}) else 0.5 - sin(pi() * {_T}) end", y="(id >= 333)")))(lambda s, d: toy.moons(s, 1000, "asymmetric", 2.0, 2.0))
+
+
+def _gen(parts: int, sql: str, rows: str | None = None) -> str:
+    return f"with c as (select count(*) as n, count(*) // {parts} as m, round(count(*) / 3.0)::bigint as outer_n from documents), i as (select unnest(range((select {rows or f'm * {parts}'} from c))) as id) select id, {sql} from i, c"
+
+
+def _points(make):
+    return lambda s, d: make(s, B.table(s, d, "documents").count())
+
+
+query("G01_blobs", _gen(3, _xy.format(a="2 * cos(pi() / 4 + (id % 3) * 2 * pi() / 3)", b="2 * sin(pi() / 4 + (id % 3) * 2 * pi() / 3)", y="(id % 3)")))(_points(lambda s, n: toy.blobs(s, n, 3, 2.0)))
+_T = "(id // 3) * 2 * pi() / (m - 1) + 1"
+query("G02_spirals", _gen(3, _xy.format(a=f"({_T}) * cos({_T} + (id % 3) * 2 * pi() / 3)", b=f"({_T}) * sin({_T} + (id % 3) * 2 * pi() / 3)", y="(id % 3)")))(_points(lambda s, n: toy.spirals(s, n, 3, 1.0, 1.0)))
+query("G03_circles", _gen(3, _xy.format(a="(id % 3) * cos((id // 3) * 2 * pi() / m)", b="(id % 3) * sin((id // 3) * 2 * pi() / m)", y="(id % 3)")))(_points(lambda s, n: toy.circles(s, n, 3)))
+_R = "((id // 6) / m::double + 1)"
+query("G04_xor_camembert", _gen(6, _xy.format(a=f"{_R} * cos((id % 6) * (2 * pi() - pi() / 3) / 5)", b=f"-{_R} * sin((id % 6) * (2 * pi() - pi() / 3) / 5)", y="(id % 6) % 3")))(_points(lambda s, n: toy.xor_camembert(s, n, 3)))
+_T = "(case when id < outer_n then pow(id / (outer_n - 1)::double, 2) else 1 - pow((id - outer_n) / (n - outer_n - 1)::double, 2) end)"
+query("G05_moons", _gen(1, _xy.format(a=f"case when id < outer_n then cos(pi() * {_T}) else 1 - cos(pi() * {_T}) end", b=f"case when id < outer_n then sin(pi() * {_T}) else 0.5 - sin(pi() * {_T}) end", y="(id >= outer_n)"), "n"))(
+    _points(lambda s, n: toy.moons(s, n, "asymmetric", 2.0, 2.0))
+)
 query("G06_histogram_truth", f"with {BIN} select i, j, round(count(*) / any_value(t)::double, 6) as p_x, round(avg(y), 6) as p_y from (select floor(x[1] * 5)::integer as i, floor(x[2] * 4)::integer as j, y, count(*) over () as t from b where x[1] < 1) group by i, j")(
     lambda s, d: toy.histogram_truth(B.binary(s, d).select(F.get("x", F.lit(0)).alias("x1"), F.get("x", F.lit(1)).alias("x2"), "y").filter("x1 < 1"), (5, 4), (0.0, 0.0), (1.0, 1.0))
 )
