@@ -474,3 +474,4 @@ from trustloom.plans import literal as _literal  # noqa: E402,F401  registers it
 from trustloom.plans import fitted as _fitted  # noqa: E402,F401  so does this
 from trustloom.plans import neighbour_queries as _neighbours  # noqa: E402,F401  and this
 from trustloom.plans import sparse_queries as _sparse  # noqa: E402,F401  and this
+from trustloom.plans import kernel_queries as _kernels  # noqa: E402,F401  and this
