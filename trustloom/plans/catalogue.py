@@ -384,6 +384,26 @@ from (select sum(1 - r) as n0, sum(r) as n1, sum((1 - r) * s) as u0, sum(r * s)
 
 
 query("T03_gmm", f"with {_em_sql(4)}")(lambda s, d: _flag(D.GmmSplitter(4).split(trusted(s, d))))
+
+
+def _mixture_sql(steps: int) -> str:
+    """Two Gaussians over two columns, unrolled: m means, v and c the covariance, a the weights."""
+    out = f"{_TR}, lim as (select min(trust) as l1, max(trust) - min(trust) as w1, min(other) as l2, max(other) - min(other) as w2 from tr), v as (select id, (trust - l1) / w1 as s, (other - l2) / w2 as u from tr, lim), "
+    out += "g0 as (select " + ", ".join(f"{m}::double as m{k}, {m}::double as n{k}, 0.0625::double as v{k}, 0.0::double as c{k}, 0.0625::double as u{k}, 0.5::double as a{k}" for k, m in ((0, 0.25), (1, 0.75))) + ")"
+
+    def log(k: int) -> str:
+        det = f"(v{k} * u{k} - c{k} * c{k})"
+        return f"(ln(a{k}) - 0.5 * ln({det}) - 0.5 * ((s - m{k}) * (s - m{k}) * u{k} - 2 * (s - m{k}) * (u - n{k}) * c{k} + (u - n{k}) * (u - n{k}) * v{k}) / {det})"
+
+    high = f"1 / (1 + exp({log(0)} - {log(1)}))"
+    for t in range(1, steps + 1):
+        sums = ", ".join(f"sum({r}) as w{k}, sum({r} * s) / sum({r}) as m{k}, sum({r} * u) / sum({r}) as n{k}, sum({r} * s * s) / sum({r}) as q{k}, sum({r} * s * u) / sum({r}) as x{k}, sum({r} * u * u) / sum({r}) as y{k}" for k, r in ((0, "(1 - r)"), (1, "r")))
+        new = ", ".join(f"m{k}, n{k}, q{k} - m{k} * m{k} + 0.001 as v{k}, x{k} - m{k} * n{k} as c{k}, y{k} - n{k} * n{k} + 0.001 as u{k}, w{k} / (w0 + w1) as a{k}" for k in (0, 1))
+        out += f", g{t} as materialized (select {new} from (select {sums} from (select s, u, {high} as r from v, g{t - 1})))"
+    return out + f" select id, ({high} >= 0.5) = (m1 + n1 >= m0 + n0) as trusted from v, g{steps}"
+
+
+query("T03b_mixture_of_two_scores", f"with {_mixture_sql(3)}")(lambda s, d: _flag(D.MixtureSplitter(3).split(trusted(s, d), "trust", "other")))
 query("H01_filter", f"with {_TR} select id, y from tr where trust >= 0.3")(lambda s, d: D.filter_untrusted(D.ThresholdSplitter(0.3).split(trusted(s, d), "trust")).select("id", "y"))
 query("H02_semi_supervised", f"with {_TR} select id, (case when trust >= 0.3 then y else -1 end)::integer as y from tr")(lambda s, d: D.unlabel_untrusted(D.ThresholdSplitter(0.3).split(trusted(s, d), "trust")).select("id", "y"))
 query("H03_biquality", f"with {_TR} select id, y, (trust >= 0.3)::integer as sample_quality from tr")(lambda s, d: D.weight_untrusted(D.ThresholdSplitter(0.3).split(trusted(s, d), "trust")).select("id", "y", "sample_quality"))
@@ -475,3 +495,4 @@ from trustloom.plans import fitted as _fitted  # noqa: E402,F401  so does this
 from trustloom.plans import neighbour_queries as _neighbours  # noqa: E402,F401  and this
 from trustloom.plans import sparse_queries as _sparse  # noqa: E402,F401  and this
 from trustloom.plans import kernel_queries as _kernels  # noqa: E402,F401  and this
+from trustloom.plans import path_queries as _paths  # noqa: E402,F401  and this
