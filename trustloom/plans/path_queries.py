@@ -1,4 +1,4 @@
-"""Queries on chosen penalties, and SQL in closed form on one feature."""
+"""Queries on chosen penalties and rank correlation, and SQL in closed form and over all pairs."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trustloom.operators import detectors as T
 from trustloom.operators import paths
+from trustloom.operators.ranks import kendall
 from trustloom.plans import base as B
 from trustloom.plans import catalogue as C
 
@@ -37,3 +38,8 @@ query("Z02c_ridge_by_leave_one_out", f"{_LEFT} {_CHOSEN}")(lambda s, d: _errors(
 query("D10c_ridge_of_chosen_penalty", f"{_FOLDED}, t as (select {_SUMS} from r), b as (select alpha from e order by round(error, 12), alpha desc limit 1), v as (select {_W} as w, (sy - {_W} * sx) / n as w0 from t, b) select id, round(-abs(y - w * x - w0), 6) + 0.0 as trust from r, v")(
     lambda s, d: T.regressor(lambda df: paths.ridge_by_folds(df, ALPHAS, FOLDS, deal=_dealt)[0]).trust_score(B.parts(s, d))
 )
+
+_SIGNS = "sign(round(a.trust, 2) - round(b.trust, 2)) as s, sign(round(a.other, 1) - round(b.other, 1)) as u"
+query("M06_kendall", f"with {C._TR}, pr as (select {_SIGNS} from tr as a join tr as b on a.id < b.id) select round(sum(s * u) / (sqrt(sum(abs(s))) * sqrt(sum(abs(u)))), 6) as tau from pr")(
+    lambda s, d: kendall(C.trusted(s, d).select(F.round("trust", 2).alias("a"), F.round("other", 1).alias("b")), "a", "b")
+)
