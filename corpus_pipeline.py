@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trustloom.llm import bpe, decontam, pii, simhash, toxicity
 from trustloom.llm.common import row_key, shared_dir, stored
+from trustloom.sources.store import remove, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what a stage stored, and its input once it is done, is removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
