@@ -496,3 +496,4 @@ from trustloom.plans import neighbour_queries as _neighbours  # noqa: E402,F401
 from trustloom.plans import sparse_queries as _sparse  # noqa: E402,F401  and this
 from trustloom.plans import kernel_queries as _kernels  # noqa: E402,F401  and this
 from trustloom.plans import path_queries as _paths  # noqa: E402,F401  and this
+from trustloom.plans import grid_queries as _grids  # noqa: E402,F401  and this
