@@ -255,6 +255,10 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
+#: Entries of a generation of the encoder's memos: this query's workers hold nothing else.
+MEMO = 400_000
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library's model, as bytes.
 
@@ -270,8 +274,8 @@ class Encoder:
         self.library.no_padding()
         self.model, self.code = self.library.model, np.dtype(kind).char
         self.bytes = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
-        self.words = Memo(self.word)
-        self.pieces = Memo(lambda p: b"".join([self.words[w] for w in self.rules.cut(p)]))
+        self.words = Memo(self.word, MEMO)
+        self.pieces = Memo(lambda p: b"".join([self.words[w] for w in self.rules.cut(p)]), MEMO)
 
     def word(self, w: str) -> bytes:
         symbols = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.bytes)
