@@ -152,8 +152,10 @@ s as (
   select doc_id, seg, license, 2.0 * len(list_intersect(p, b)) / (len(p) + len(b)) as dice
   from p, tpl where len(p) between {th} / (2 - {th}) * len(b) and (2 - {th}) / {th} * len(b)
 )
-select doc_id, license, round(max(dice), 6)::double as dice, count(distinct seg)::bigint as n_segments
-from x where dice >= {th} group by doc_id, license
+, g as (
+  select doc_id, license, max(dice) as dice, count(distinct seg)::bigint as n_segments from x where dice >= {th} group by doc_id, license
+)
+select doc_id, license, round(dice, 6)::double as dice, n_segments, dice = max(dice) over (partition by doc_id) as best from g
 """
 
 _OP12 = rf"""
