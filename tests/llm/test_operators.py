@@ -95,6 +95,31 @@ def test_license(spark, empty, odd):
     assert license.license_scan(empty).count() == 0 and license.license_scan(odd).count() == 0
 
 
+def test_license_families(spark):
+    """Tags, openings and notices that only a version or a variant tells apart: the right one is best."""
+    copies = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    notice = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    texts = [
+        ("MIT", "// SPDX-License-Identifier: MIT\nint main();"),
+        ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+        ("LGPL-2.1", "/* SPDX-License-Identifier: LGPL-2.1-only */"),
+        ("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike 4.0"),
+        ("CC-BY-NC-ND-4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"),
+        ("GPL-3.0", f"                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n {copies}\n"),
+        ("GPL-2.0", notice.format("program", "General Public License", 2)),
+        ("LGPL-2.1", notice.format("library", "Lesser General Public License", 2.1)),
+        ("ISC", "Copyright (c) 2020, A. Body\n\n" + isc),
+        (None, "The license identifier of this version is free software as well."),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = defaultdict(set)
+    for r in license.license_scan(df).collect():
+        if r.best:
+            got[r.doc_id].add(r.license)
+    assert got == {i: {name} for i, (name, _) in enumerate(texts) if name}
+
+
 def test_license_hashes_are_those_of_spark(spark):
     rows = spark.createDataFrame([("the", "license"), ("é", "x" * 40)], "a string, b string").withColumn("h", F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))).collect()
     assert all(license.pair_hash(r.a, r.b) == r.h for r in rows)
@@ -200,6 +225,23 @@ def test_shards(spark, docs, odd, empty):
     assert {r.shard for r in kdshard.kd_shards(docs, target_bytes=50_000).collect()} == set(range(-(-sum(len(t.encode()) + 16 for t in text.values()) // 50_000)))
 
 
+def test_shards_of_any_ids(spark, docs):
+    """Ids as strings, beyond 2^53 and at both ends of long; the same shards however the input is split."""
+    wide = [f"{v}" for v in (-(2**63), -(2**63) + 1, 2**63 - 2, 2**63 - 1, 0)] + [f"{2**53 + k}" for k in range(95)]
+    rows = spark.createDataFrame([(int(v), "a text of its own " + v, "en", "s") for v in wide], "doc_id long, text string, lang string, source string")
+    for df in (rows, rows.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id")), rows.withColumn("doc_id", F.lit(None).cast("string"))):
+        got = kdshard.kd_shards(df, shards=8).collect()
+        size = check_shards(got, 8)
+        assert len(got) == 100 and max(size) - min(size) <= 3 * max(r.size for r in got)
+    place = {r.doc_id: r.p for r in rows.select("doc_id", kdshard._id_place(rows).alias("p")).collect()}
+    order = [place[k] for k in sorted(place)]
+    assert order == sorted(order) and 0 < order[0] and order[-1] < 1 << 31
+    near = rows.filter(f"doc_id >= {2**53}").filter(f"doc_id < {2**54}")
+    assert [r.p for r in near.select("doc_id", kdshard._id_place(near).alias("p")).orderBy("doc_id").collect()] == list(range(1, 96))
+    where = lambda df: {r.doc_id: (r.shard, r.slot) for r in kdshard.kd_shards(df, shards=5).collect()}
+    assert where(docs.repartition(3)) == where(docs.repartition(7, "source"))
+
+
 def test_shards_are_a_kd_tree(spark):
     """A small tree against one built with whole sorts."""
     rng = np.random.default_rng(3)

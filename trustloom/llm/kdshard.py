@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from trustloom.llm.common import stored
 
@@ -115,9 +116,38 @@ def kd_tree(rows: DataFrame, dims: list[str], shards: int, names: tuple[str, ...
             _cuts(rows, root, full, weights, ranges, total / shards)
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Add tie: a hash of the row, so that shards don't hang on how the input is split.
+
+    Only rows that repeat in every column are told apart by where they are read;
+    they are each other's equals, but a third of all rows may be such.
+    """
+    bits = F.lit(1 << TIE_BITS)
+    repeats = rows.groupBy("_row").agg(F.count("*").alias("_n")).filter("_n > 1").select("_row", F.lit(True).alias("_repeats"))
+    place = F.xxhash64("_row", F.monotonically_increasing_id())
+    rows = rows.withColumn("_place", place).join(repeats, "_row", "left")
+    return rows.withColumn("tie", F.pmod(F.when(F.col("_repeats"), F.col("_place")).otherwise(F.xxhash64("_row")), bits)).drop("_place", "_repeats")
+
+
+def _id_place(rows: DataFrame) -> Column:
+    """The id as a dimension below 2^31, null first."""
+    id_ = F.col("doc_id")
+    if not isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        return F.when(id_.isNull(), 0).otherwise(F.pmod(F.xxhash64(id_), F.lit((1 << 31) - 1)) + 1)
+    r = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    if r["low"] is None:
+        return F.lit(0)
+    step = max(1, -(-(r["high"] - r["low"] + 1) // (1 << 30)))
+    place = F.floor((id_.cast("decimal(20,0)") - F.lit(r["low"]).cast("decimal(20,0)")) / F.lit(step)) if step > 1 else id_.cast("long") - F.lit(r["low"])
+    return F.coalesce(place.cast("long") + 1, F.lit(0))
+
+
 def kd_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", shards: int | None = 40, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: every row in one shard, slots gapless from 0 in each.
 
+    Ids may be of any type: of whole numbers the dimension is their place in
+    their range, in steps of 2^-30 of it, and of other ids a hash.
+
     Give the number of shards, or ``target_bytes`` for as many as needed. The
     dimensions are the size, the language, the source and the id. Size is the
     text's UTF-8 bytes plus 16; null texts count none, and very long ones weigh
@@ -126,26 +156,25 @@ def kd_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     whatever their names, are ignored. An empty table gives no rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    tie = F.pmod(F.xxhash64(doc_id, text, F.monotonically_increasing_id()), F.lit(1 << TIE_BITS))
-    key = lambda value: (F.least(value, F.lit((1 << 31) - 1)) * F.lit(1 << TIE_BITS) + tie).cast("long")
     code = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit((1 << 31) - 1)) + 1, F.lit(0))
     size = (F.octet_length(t) + 16).cast("long")
+    id_ = F.col(doc_id)
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
+        id_.alias("doc_id"),
         size.alias("size"),
-        tie.alias("tie"),
+        F.xxhash64(id_, F.col(text), F.col(lang), F.col(source)).alias("_row"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
-        key(size).alias("d_size"),
-        key(F.when(F.col(lang).isNull(), 0).otherwise(code(F.col(lang)))).alias("d_lang"),
-        key(F.when(F.col(source).isNull(), 0).otherwise(code(F.col(source)))).alias("d_source"),
-        key(F.coalesce(F.pmod(F.floor(F.col(doc_id) / 1), F.lit((1 << 31) - 2)) + 1, F.lit(0))).alias("d_id"),
+        F.when(F.col(lang).isNull(), 0).otherwise(code(F.col(lang))).alias("_lang"),
+        F.when(F.col(source).isNull(), 0).otherwise(code(F.col(source))).alias("_source"),
     )
-    rows = stored(rows, "metadata")
+    rows = _told_apart(stored(rows, "metadata"))
+    key = lambda value: (F.least(value, F.lit((1 << 31) - 1)) * F.lit(1 << TIE_BITS) + F.col("tie")).cast("long")
+    dims = {"d_size": F.col("size"), "d_lang": F.col("_lang"), "d_source": F.col("_source"), "d_id": _id_place(rows)}
+    rows = stored(rows.select("doc_id", "size", "text_crc32", "tie", *[key(v).alias(k) for k, v in dims.items()]), "keys")
     if target_bytes is not None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    dims = ["d_size", "d_lang", "d_source", "d_id"]
-    root = kd_tree(rows, dims, shards, ("d_lang", "d_source"))
+    root = kd_tree(rows, list(dims), shards, ("d_lang", "d_source"))
     rows = rows.withColumn("shard", _route(root, lambda n: F.lit(n.first)))
     return _numbered(rows.select("doc_id", "size", "text_crc32", "shard", "tie"), shards)
 
