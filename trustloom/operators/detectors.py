@@ -114,7 +114,7 @@ def area_under_margin(stages, steps: int = 1, staging: str = "fit") -> ModelProb
 
 
 def tracin(stages, steps: int = 1) -> ModelProbingDetector:
-    return ModelProbingDetector(ProgressiveEnsemble(stages, steps), lambda m, x, y: F.array(L.grad_norm(m, x, y)), "sum", maximize=False)
+    return ModelProbingDetector(ProgressiveEnsemble(stages, steps), lambda m, x, y: F.array(m.grad_norm(x, y) if hasattr(m, "grad_norm") else L.grad_norm(m, x, y)), "sum", maximize=False)
 
 
 def forget_scores(stages, steps: int = 1, staging: str = "fit") -> ModelProbingDetector:

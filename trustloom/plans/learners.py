@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from trustloom.operators import linear as L
 from trustloom.operators import networks
 from trustloom.operators import staged as S
+from trustloom.operators import training
 from trustloom.operators import trees as T
 from trustloom.operators.committees import Committee
 from trustloom.plans import base as B
@@ -71,6 +72,7 @@ def _(model: S.TreeSum) -> int:
 @parameter_count.register(T.TreeMeans)
 @parameter_count.register(T.BoostedTrees)
 @parameter_count.register(Committee)
+@parameter_count.register(training.Network)
 def _(model) -> int:
     return model.parameter_count()
 
@@ -110,6 +112,11 @@ def _(model: LogisticRegressionModel, df: DataFrame):
     return L.LinearModel(model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist(), "log_loss", model.getRegParam() * df.count()), df
 
 
+@linearize.register
+def _(model: training.Network, df: DataFrame):
+    return training.linearised(model, df)
+
+
 @linearize.register(DecisionTreeClassificationModel)
 @linearize.register(RandomForestClassificationModel)
 @linearize.register(GBTClassificationModel)
