@@ -498,3 +498,4 @@ from trustloom.plans import kernel_queries as _kernels  # noqa: E402,F401  and t
 from trustloom.plans import path_queries as _paths  # noqa: E402,F401  and this
 from trustloom.plans import grid_queries as _grids  # noqa: E402,F401  and this
 from trustloom.plans import network_queries as _networks  # noqa: E402,F401  and this
+from trustloom.plans import left_out_queries as _left_out  # noqa: E402,F401  and this
