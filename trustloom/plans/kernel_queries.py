@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from trustloom.operators import kernels as R
+from trustloom.operators.truth import KernelLogistic, truth_grid
 from trustloom.plans import base as B
 from trustloom.plans import catalogue as C
 from trustloom.sources.store import stored
@@ -52,3 +53,33 @@ def _one_class(spark, sf):
 
 
 query("P06c_one_class", f"with {_one_class_sql()}, o as (select quantile_cont(s, {NU}) as o from s) select id, round(s - o, 6) + 0.0 as value from s, o")(_one_class)
+
+#: The grid of a ground truth, and the one landmark, in standardised features, of the map behind its logistic.
+BINS, LOW, HIGH, CENTRE, WIDTH, NEWTON = (10, 8), (0.0, 0.0), (1.0, 1.0), [0.5, -0.25], 0.5, 15
+
+
+def _truth_sql() -> str:
+    """n<k>: weight and intercept after Newton step k; p(y | x) at the middle of each cell that has rows."""
+    near = lambda a, b: f"exp(-{WIDTH} * (pow(({a} - m1) / s1 - {CENTRE[0]}, 2) + pow(({b} - m2) / s2 - {CENTRE[1]}, 2)))"
+    out = f"""with {C.BIN}, s as (select {', '.join(f'avg(x[{i}]) as m{i}, stddev_pop(x[{i}]) as s{i}' for i in (1, 2))} from b),
+k as (select y, {near('x[1]', 'x[2]')} as k from b, s), n0 as (select 0.0::double as w, 0.0::double as c)"""
+    for t in range(NEWTON):
+        out += f""",
+g{t} as materialized (select any_value(w) as w, any_value(c) as c, sum(k * (q - y)) + any_value(w) as gw, sum(q - y) as gc, sum(k * k * q * (1 - q)) + 1 as hw, sum(k * q * (1 - q)) as hk, sum(q * (1 - q)) as hc
+  from (select k, y, w, c, 1 / (1 + exp(-(k * w + c))) as q from k, n{t})),
+n{t + 1} as materialized (select w - dw / greatest(1, greatest(abs(dw), abs(dc)) / 5) as w, c - dc / greatest(1, greatest(abs(dw), abs(dc)) / 5) as c
+  from (select w, c, (hc * gw - hk * gc) / (hw * hc - hk * hk) as dw, (hw * gc - hk * gw) / (hw * hc - hk * hk) as dc from g{t}))"""
+    middle = [f"({name} + 0.5) * {(HIGH[i] - LOW[i]) / BINS[i]!r}" for i, name in enumerate("ij")]
+    return out + f""",
+e as (select floor(x[1] * {BINS[0]}.0)::integer as i, floor(x[2] * {BINS[1]}.0)::integer as j from b),
+h as (select i, j, count(*)::double as n from e where i between 0 and {BINS[0] - 1} and j between 0 and {BINS[1] - 1} group by i, j)
+select i, j, round(n / (sum(n) over ()), 6) as p_x, round(1 / (1 + exp(-({near(*middle)} * w + c))), 6) as p_y from h, s, n{NEWTON}"""
+
+
+def _truth(spark, sf):
+    rows = stored(B.binary(spark, sf), "labelled")
+    model = KernelLogistic(lambda df: R.nystroem_map([CENTRE], WIDTH)).fit(rows)
+    return truth_grid(rows, model, BINS, LOW, HIGH)
+
+
+query("G06b_kernel_truth", _truth_sql())(_truth)
