@@ -70,3 +70,27 @@ def test_members_are_out_of_fold(spark):
     df = spark.createDataFrame(points(60), "id long, x array<double>, y int")
     out = H.NeighboursFolds(3, 3, 4, 2).probe(df, P.confidence("probabilities"))
     assert out.count() == 120 and out.filter("oob").count() == 120 and out.agg(F.count_distinct("member")).first()[0] == 8
+
+
+def test_rows_without_structure_are_not_copied_for_each_cell(spark, monkeypatch):
+    monkeypatch.setattr(H, "CELL", 8)
+    written, stored = {}, H.stored
+
+    def counted(df, name="table", **options):
+        out = stored(df, name, **options)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(H, "stored", counted)
+    rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(np.random.default_rng(2).normal(size=(400, 32)))]
+    got = {r.id: [v.id for v in r.near] for r in H.neighbours(spark.createDataFrame(rows, "id long, x array<double>, y int"), 3).collect()}
+    assert got == brute(rows, 3)
+    assert max(written.values()) <= 400  # fifty cells, none of which can be ruled out
+
+
+@pytest.mark.parametrize("scale, at", [(1.0, 1e7), (1e20, 0.0), (1e-25, 0.0)])
+def test_numbers_that_single_precision_cannot_tell_apart(spark, monkeypatch, scale, at):
+    monkeypatch.setattr(H, "BLOCK", 40)
+    rows = [(i, [at + float(v) * scale for v in x], 0) for i, x in enumerate(np.random.default_rng(4).integers(-9, 9, (120, 4)))] + [(900, [0.0, float("nan"), 0.0, 0.0], 0)]
+    got = {r.id: r.near and [v.id for v in r.near] for r in H.neighbours(spark.createDataFrame(rows, "id long, x array<double>, y int"), 4).collect()}
+    assert got == brute(rows[:-1], 4) | {900: None}

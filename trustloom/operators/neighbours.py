@@ -2,9 +2,13 @@
 
 Rows of one place are put together first, so that copies, however many, are one
 point that keeps as many of its rows as can be asked for. Points are dealt to
-the nearest of a bounded number of pivots. A point's neighbours within its own
-cell bound the distance that matters; by the triangle inequality only cells that
-reach within it are searched, in blocks of bounded size on both sides.
+the nearest of a bounded number of pivots, and neighbouring cells are put
+together to blocks of bounded size. A point's neighbours within its own block
+bound the distance that matters; by the triangle inequality only blocks with a
+cell that reaches within it are searched, each once. Where nothing can be ruled
+out (many features without structure) every pair of blocks meets in a task of its
+own: a product of matrices in single precision rules out all but a few pairs,
+and only their distances are summed.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +30,14 @@ from trustloom.sources.store import stored
 
 #: Points a cell, about, and pivots at most: both are sent to all tasks.
 CELL, PIVOTS = 400, 2048
-#: Points and queries of a block.
-BLOCK = 1000
+#: Points of a block.
+BLOCK = 40_000
 #: Parts that a hot place's rows are first thinned in.
 SALT = 64
 #: Numbers that a block's distances take at once.
 HELD = 4_000_000
+#: Squares up to which single precision is trusted, and its unit of rounding.
+LARGE, UNIT = 1e30, 2.0**-24
 
 
 def _square_distances(Q: np.ndarray, X: np.ndarray) -> np.ndarray:
@@ -42,6 +49,88 @@ def _square_distances(Q: np.ndarray, X: np.ndarray) -> np.ndarray:
     return out
 
 
+def _of_pairs(Q: np.ndarray, X: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same squares for single pairs."""
+    out, step = np.empty(len(i)), max(1, HELD // max(1, X.shape[1]))
+    for k in range(0, len(i), step):
+        out[k : k + step] = ((Q[i[k : k + step]] - X[j[k : k + step]]) ** 2).sum(axis=1)
+    return out
+
+
+class _Rough:
+    """Square distances to some points from a product of matrices, and how far they may be off for each query."""
+
+    def __init__(self, X: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.X, self.at = X, X.mean(axis=0)
+            x = X - self.at
+            n = (x * x).sum(axis=1)
+        self.top = n.max()
+        self.fits = bool(self.top <= LARGE)
+        if self.fits:
+            self.x, self.n = np.ascontiguousarray(x.T, np.float32), n.astype(np.float32)
+
+    def of(self, Q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            q = Q - self.at
+            n = (q * q).sum(axis=1)
+        if not (self.fits and n.max() <= LARGE):
+            return _square_distances(Q, self.X), np.zeros(len(Q))
+        out = q.astype(np.float32) @ self.x
+        out *= -2
+        out += self.n
+        out += n.astype(np.float32)[:, None]
+        return out, 2 * (Q.shape[1] + 16) * UNIT * (n + self.top) + 1e-37
+
+
+def _within(Q: np.ndarray, X: np.ndarray, cut: np.ndarray, take: int, folds: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, point and square distance of pairs within ``cut``; where that is infinite, of the ``take`` nearest at least.
+
+    ``folds`` of queries and points: those of equal ones are left out.
+    """
+    rough, found, step = _Rough(X), [], max(1, HELD // len(X))
+    for k in range(0, len(Q), step):
+        own = Q[k : k + step]
+        A, off = rough.of(own)
+        if folds is not None:
+            A[folds[0][k : k + step, None] == folds[1][None, :]] = np.inf
+        limit, open_ = cut[k : k + step].copy(), np.isinf(cut[k : k + step])
+        if open_.any() and take <= len(X):
+            limit[open_] = np.partition(A[open_], take - 1, axis=1)[:, take - 1] + off[open_]
+        most = np.minimum((limit + off) * (1 + 4 * UNIT), np.finfo(A.dtype).max).astype(A.dtype)
+        i, j = np.nonzero(A <= most[:, None])
+        d = _of_pairs(own, X, i, j)
+        good = np.isfinite(d) & (d <= limit[i])
+        found.append((i[good] + k, j[good], d[good]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, rows: pa.ListArray, take: int) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Of pairs of queries and points: each query's ``take`` nearest rows, by distance and id, as query, distance and row."""
+    at, values = rows.offsets.to_numpy(), rows.values
+    size = np.diff(at)[j]
+    i, d, row = np.repeat(i, size), np.repeat(d, size), np.repeat(at[j], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    rank = np.empty(len(values), np.int64)
+    rank[pc.sort_indices(pc.struct_field(values, "id")).to_numpy()] = np.arange(len(values))
+    order = np.lexsort((rank[row], d, i))
+    i, d, row = i[order], d[order], row[order]
+    new = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
+    kept = np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < take
+    return i[kept], d[kept], values.take(pa.array(row[kept]))
+
+
+def _leaves(pivots: np.ndarray, cells: list[int], sizes: list[int]) -> list[list[int]]:
+    """Cells in groups of at most BLOCK points (or one cell), halved along the feature that spreads most."""
+    if len(cells) < 2 or sum(sizes) <= BLOCK:
+        return [cells] if cells else []
+    X = pivots[cells]
+    order = np.argsort(X[:, np.argmax(np.ptp(X, axis=0))], kind="stable")
+    total = np.cumsum(np.array(sizes)[order])
+    half = min(len(cells) - 1, max(1, int(np.searchsorted(total, total[-1] / 2)) + 1))
+    pick = lambda a, of: [a[k] for k in of]
+    return [leaf for of in (order[:half], order[half:]) for leaf in _leaves(pivots, pick(cells, of), pick(sizes, of))]
+
+
 def _points(df: DataFrame, k: int, apart: str | None, within: str | None) -> DataFrame:
     """pid, x, apart, within, rows: a place (and fold), with its first k + 1 rows by id."""
     keys = ["x", "_apart", "_within"]
@@ -52,23 +141,18 @@ def _points(df: DataFrame, k: int, apart: str | None, within: str | None) -> Dat
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "y"))).alias("rows")).withColumn("pid", F.monotonically_increasing_id())
 
 
-def _nearest(Q: np.ndarray, q_apart: np.ndarray, q_id: np.ndarray, X: np.ndarray, apart: np.ndarray, ids: np.ndarray, folded: bool) -> np.ndarray:
-    """Square distances, infinite where a query may not look: its own fold, or (without folds) its own place."""
-    D = _square_distances(Q, X)
-    D[q_apart[:, None] == apart[None, :] if folded else q_id[:, None] == ids[None, :]] = np.inf
-    return D
-
-
 def neighbours(df: DataFrame, k: int = 5, apart: str | None = None, within: str | None = None) -> DataFrame:
     """id, y, near: the k nearest rows (square distance ``d``, ``id``, ``y``) of each row of (id, x, y), nearest first.
 
     A row isn't its own neighbour; with the column ``apart`` no row of the same
     value is. With ``within`` only rows of the same value are looked at. Of
     equally near rows the least id comes first. Fewer rows than k give all.
-    Rows whose x is null have null neighbours and are nobody's.
+    Rows whose x is null, or holds what isn't a finite number, have null
+    neighbours and are nobody's.
     """
     spark, folded = df.sparkSession, apart is not None
-    kept = df.filter("x is not null")
+    take = k if folded else k + 1  # of what is found, one may be the row itself
+    kept = df.filter(F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     points = stored(_points(kept, k, apart, within), "points")
     n = points.count()
     wanted = max(1, min(PIVOTS, n // CELL))
@@ -76,86 +160,101 @@ def neighbours(df: DataFrame, k: int = 5, apart: str | None = None, within: str
     shared = spark.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rough = _Rough(shared.value) if len(shared.value) else None
         for b in batches:
             if b.num_rows:
-                D = _square_distances(matrix(b.column("x")), shared.value)
-                cell = D.argmin(axis=1)
-                yield pa.record_batch([*b.columns, pa.array(cell, pa.int32()), pa.array(np.sqrt(D[np.arange(len(D)), cell]))], [*b.schema.names, "cell", "r"])
+                X = matrix(b.column("x"))
+                cell = rough.of(X)[0].argmin(axis=1)
+                r = np.sqrt(_of_pairs(X, shared.value, np.arange(len(X)), cell))
+                yield pa.record_batch([*b.columns, pa.array(cell, pa.int32()), pa.array(r)], [*b.schema.names, "cell", "r"])
 
     id_kind, y_kind = (df.schema[c].dataType.simpleString() for c in ("id", "y"))
-    point = f"x array<double>, _apart int, _within int, rows array<struct<id: {id_kind}, y: {y_kind}>>, pid long"
-    cells = stored(points.mapInArrow(assign, f"{point}, cell int, r double"), "cells")
-    sizes = {(r["_within"], r["cell"]): (r["n"], r["lo"], r["hi"]) for r in cells.groupBy("_within", "cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}  # parts x pivots
-    chunk = _number(spark, {key: -(-size // BLOCK) for key, (size, _, _) in sizes.items()}, "chunks")
-    cells = cells.join(F.broadcast(chunk), ["_within", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")))
-    cells = stored(cells, "chunked")
-
-    # The k-th distance within a point's own chunk bounds the search.
-    def bound(rows: pa.Table) -> pa.Table:
+    row_kind = f"array<struct<id: {id_kind}, y: {y_kind}>>"
+    cells = stored(points.mapInArrow(assign, f"x array<double>, _apart int, _within int, rows {row_kind}, pid long, cell int, r double"), "cells")
+    sizes: dict[int, dict[int, tuple]] = {}
+    for r in cells.groupBy("_within", "cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect():  # parts x pivots
+        sizes.setdefault(r["_within"], {})[r["cell"]] = (r["n"], r["lo"], r["hi"])
+    where, rings, count = [], {}, 0
+    for w, of in sizes.items():
+        leaves = _leaves(pivots, list(of), [m for m, _, _ in of.values()])
+        blocks = []
+        for leaf in leaves:
+            parts = -(-sum(of[c][0] for c in leaf) // BLOCK) if len(leaf) == 1 else 1
+            where += [(w, c, count, parts) for c in leaf]
+            blocks.append(range(count, count + parts))
+            count += parts
+        flat = [c for leaf in leaves for c in leaf]
+        starts = np.cumsum([0, *map(len, leaves[:-1])])
+        rings[w] = (np.array(flat), np.array([of[c][1] for c in flat]), np.array([of[c][2] for c in flat]), starts, blocks)
+    at = spark.createDataFrame(where, "_within int, cell int, base int, parts int")
+    block = (F.col("base") + F.pmod(F.xxhash64("pid"), F.col("parts"))).cast("int")
+    cells = cells.join(F.broadcast(at), ["_within", "cell"]).select("x", "_apart", "_within", "rows", "pid", block.alias("block"))
+
+    # The k-th distance within a point's own block bounds the search.
+    def own(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        X, fold, pid = matrix(rows.column("x").combine_chunks()), rows.column("_apart").to_numpy(), rows.column("pid").to_numpy()
-        D = _nearest(X, fold, pid, X, fold, pid, folded)
-        far = np.partition(D, k - 1, axis=1)[:, k - 1] if D.shape[1] >= k else np.full(len(D), np.inf)
-        return rows.select(["x", "_apart", "_within", "pid"]).append_column("bound", pa.array(far))
-
-    bounded = cells.select("x", "_apart", "_within", "pid", "cell", "chunk").groupBy("_within", "cell", "chunk").applyInArrow(bound, "x array<double>, _apart int, _within int, pid long, bound double")
-    rings = spark.sparkContext.broadcast({w: [(c, lo, hi) for (of, c), (_, lo, hi) in sizes.items() if of == w] for w in {w for w, _ in sizes}})
+        X, fold, of = matrix(rows.column("x").combine_chunks()), rows.column("_apart").to_numpy(), rows.column("rows").combine_chunks()
+        i, d, found = _first(*_within(X, X, np.full(len(X), np.inf), take, (fold, fold) if folded else None), of, take)
+        many = np.bincount(i, minlength=len(X))
+        ends, cut = np.cumsum(many), np.full(len(X), np.inf)
+        cut[many == take] = d[ends[many == take] - 1]
+        near = pa.StructArray.from_arrays([pa.array(d), *found.flatten()], ["d", "id", "y"])
+        near = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), near)
+        return pa.table([*rows.columns, near, pa.array(cut)], names=[*rows.column_names, "near", "cut"])
+
+    near_kind = f"array<struct<d: double, id: {id_kind}, y: {y_kind}>>"
+    first = cells.groupBy("block").applyInArrow(own, f"x array<double>, _apart int, _within int, rows {row_kind}, pid long, block int, near {near_kind}, cut double")
+    first = stored(first, "first")
+    shared_rings = spark.sparkContext.broadcast(rings)
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each point once for every cell that may hold a neighbour."""
+        """Each point once for every other block that may hold a neighbour."""
+        rough = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            part, far = b.column("_within").to_numpy(), np.sqrt(b.column("bound").to_numpy())
-            X = matrix(b.column("x"))
+            part, far, own, X = b.column("_within").to_numpy(), np.sqrt(b.column("cut").to_numpy()), b.column("block").to_numpy(), matrix(b.column("x"))
             for w in np.unique(part).tolist():
-                own = np.flatnonzero(part == w)
-                cell, lo, hi = (np.array(v) for v in zip(*rings.value[w]))
-                D = np.sqrt(_square_distances(X[own], shared.value[cell]))
-                least = np.maximum(0, np.maximum(D - hi, lo - D))
-                i, c = np.nonzero(least <= far[own][:, None] * (1 + 1e-9) + 1e-9)
-                yield pa.record_batch([*b.take(pa.array(own[i])).drop_columns(["bound"]).columns, pa.array(cell[c], pa.int32())], ["x", "_apart", "_within", "pid", "cell"])
-
-    asked = stored(bounded.mapInArrow(reach, "x array<double>, _apart int, _within int, pid long, cell int"), "asked")
-    many = {(r["_within"], r["cell"]): r["n"] for r in asked.groupBy("_within", "cell").agg(F.count("*").alias("n")).collect()}  # parts x pivots
-    both = chunk.join(_number(spark, {key: -(-size // BLOCK) for key, size in many.items()}, "blocks"), ["_within", "cell"])
-    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
-    left = asked.join(F.broadcast(both), ["_within", "cell"]).withColumn("block", F.pmod(F.xxhash64("pid"), F.col("blocks"))).withColumn("chunk", numbers("chunks"))
-    right = cells.drop("chunks").join(F.broadcast(both), ["_within", "cell"]).withColumn("block", numbers("blocks"))
-    keys = ["_within", "cell", "chunk", "block"]
+                cell, lo, hi, starts, blocks = shared_rings.value[w]
+                if w not in rough:
+                    rough[w] = _Rough(shared.value[cell])
+                at = np.flatnonzero(part == w)
+                D, off = rough[w].of(X[at])
+                least = np.maximum(np.sqrt(np.maximum(D - off[:, None], 0)) - hi, lo - np.sqrt(np.maximum(D + off[:, None], 0)))
+                reached = np.logical_or.reduceat(least <= far[at][:, None] * (1 + 1e-9) + 1e-9, starts, axis=1)
+                for leaf, numbers in enumerate(blocks):
+                    for number in numbers:
+                        asking = at[reached[:, leaf] & (own[at] != number)]
+                        if len(asking):
+                            out = b.select(["x", "_apart", "pid", "cut", "block"]).take(pa.array(asking))
+                            yield pa.record_batch([*out.columns, pa.array(np.full(len(asking), number), pa.int32())], [*out.schema.names, "other"])
+
+    asked = first.select("x", "_apart", "_within", "pid", "cut", "block").mapInArrow(reach, "x array<double>, _apart int, pid long, cut double, block int, other int")
+    met = stored(asked.select("block", "other").distinct(), "met")  # pairs of blocks
+    found = first.select("x", "_apart", "rows", F.col("block").alias("other")).join(F.broadcast(met), "other")
 
     def search(queries: pa.Table, found: pa.Table) -> pa.Table:
-        out = {"pid": [], "d": [], "id": [], "y": []}
-        if queries.num_rows and found.num_rows:
-            queries, found = queries.combine_chunks(), found.combine_chunks()
-            pid, at = queries.column("pid").to_numpy(), found.column("pid").to_numpy()
-            D = _square_distances(matrix(queries.column("x").combine_chunks()), matrix(found.column("x").combine_chunks()))
-            if folded:
-                D[queries.column("_apart").to_numpy()[:, None] == found.column("_apart").to_numpy()[None, :]] = np.inf
-            rows = found.column("rows").to_pylist()
-            take = min(k + 1, len(at))
-            far = np.partition(D, take - 1, axis=1)[:, take - 1]
-            for i in range(len(pid)):
-                near = np.flatnonzero((D[i] <= far[i]) & np.isfinite(D[i]))
-                for d, row_id, y in sorted((D[i, j], r["id"], r["y"]) for j in near.tolist() for r in rows[j])[: k + 1]:
-                    for name, v in zip(out, (pid[i], d, row_id, y)):
-                        out[name].append(v)
         kinds = found.schema.field("rows").type.value_type
-        return pa.table([pa.array(out["pid"], pa.int64()), pa.array(out["d"], pa.float64()), pa.array(out["id"], kinds.field("id").type), pa.array(out["y"], kinds.field("y").type)], names=list(out))
-
-    pairs = left.select("x", "_apart", "pid", *keys).groupBy(*keys).cogroup(right.select("x", "_apart", "pid", "rows", *keys).groupBy(*keys)).applyInArrow(search, f"pid long, d double, id {id_kind}, y {y_kind}")
+        names, types = ["pid", "d", "id", "y"], [pa.int64(), pa.float64(), kinds.field("id").type, kinds.field("y").type]
+        if not (queries.num_rows and found.num_rows):
+            return pa.table([pa.array([], t) for t in types], names=names)
+        queries, found = queries.combine_chunks(), found.combine_chunks()
+        Q, X = matrix(queries.column("x").combine_chunks()), matrix(found.column("x").combine_chunks())
+        folds = (queries.column("_apart").to_numpy(), found.column("_apart").to_numpy()) if folded else None
+        i, d, rows = _first(*_within(Q, X, queries.column("cut").to_numpy(), take, folds), found.column("rows").combine_chunks(), take)
+        return pa.table([queries.column("pid").take(pa.array(i)), pa.array(d), *rows.flatten()], names=names)
+
+    keys = ["block", "other"]
+    pairs = asked.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(search, f"pid long, d double, id {id_kind}, y {y_kind}")
+    pairs = pairs.unionByName(first.select("pid", F.explode("near").alias("v")).select("pid", "v.*"))
     place = F.row_number().over(Window.partitionBy("pid").orderBy("d", "id"))
-    near = pairs.withColumn("_place", place).filter(F.col("_place") <= k + 1).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d", "id", "y"))).alias("near"))
-    near = stored(cells.select("pid", "x", "_apart", "_within").join(near, "pid", "left"), "near")
+    near = pairs.withColumn("_place", place).filter(F.col("_place") <= take).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d", "id", "y"))).alias("near"))
+    near = stored(first.select("pid", "x", "_apart", "_within").join(near, "pid", "left"), "near")
     key = lambda f, name: (F.col(name) if name else F.lit(0)).cast("int").eqNullSafe(near[f])
     rows = df.join(near, (df["x"] == near["x"]) & key("_apart", apart) & key("_within", within), "left").select(*[df[c] for c in df.columns], near["near"])
     return rows.withColumn("near", F.slice(F.filter("near", lambda v: v["id"] != F.col("id")), 1, k))
 
 
-def _number(spark, of: dict[tuple[int, int], int], name: str) -> DataFrame:
-    return spark.createDataFrame([(w, c, n) for (w, c), n in of.items()], f"_within int, cell int, {name} int")
-
-
 # Ensembles -------------------------------------------------------------------------------------------
 
 
