@@ -135,6 +135,20 @@ def test_networks_match_numpy(spark, rows):
     assert np.allclose([r.z for r in p], z)
 
 
+def test_a_kernel_with_many_chosen_rows_is_not_shuffled(spark, rows, monkeypatch):
+    monkeypatch.setattr(networks, "BLOCK", 16)
+    monkeypatch.setattr(networks, "HELD", 500)
+    mlp = networks.Mlp.init([5, 3, 2], 2)
+    twice = rows.select("id", "x").unionByName(rows.select((F.col("id") + 1000).alias("id"), "x")).repartition(3)
+    X = np.array([r.x for r in twice.orderBy("id").collect()])
+    J = mlp.jacobian(X).reshape(len(X), -1)
+    out = networks.kernel(twice.localCheckpoint(), mlp, "id % 3 = 0")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    ids = [r.id for r in twice.orderBy("id").collect()]
+    assert np.allclose([r.kernel for r in out.orderBy("id").collect()], J @ J[[i % 3 == 0 for i in ids]].T)
+    assert all(r.kernel == [] for r in networks.kernel(twice, mlp, "id < 0").collect())
+
+
 def test_linearised_models_keep_their_predictions(rows):
     from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
     from pyspark.ml.functions import array_to_vector
