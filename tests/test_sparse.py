@@ -38,6 +38,19 @@ def test_detectors_agree_with_dense_ones(dense, classes):
     assert all(np.allclose(p[i], want[i]) for i in want)
 
 
+@pytest.mark.parametrize("whole", [0, 10_000])
+def test_influence_meets_few_rows_a_group_and_loses_none(dense, monkeypatch, whole):
+    monkeypatch.setattr(S, "WHOLE", whole)
+    monkeypatch.setattr(S, "MEET", 7)
+    df = dense.withColumn("y", F.least("y", F.lit(1)))
+    m = L.fit_logistic_stages(df, 2, regul=0.2)[-1]
+    m = L.LinearModel(m.coef, None, m.loss, m.regul)  # nothing but its features places a row
+    want = {r.id: tuple(r)[1:] for r in L.influence(df, m).select("id", "self_influence", "leverage", "cook", "approximate_loo").collect()}
+    out = S.influence(S.from_dense(df), S.SparseModel.of(m), 3)
+    got = {r.id: tuple(r)[1:] for r in out.select("id", "self_influence", "leverage", "cook", "approximate_loo").collect()}
+    assert len(got) == 60 and all(np.allclose(got[i], want[i]) for i in want)
+
+
 @pytest.mark.parametrize("block", [1, 2, 5, 64])
 def test_inverse_by_blocks(spark, dense, block):
     df = dense.withColumn("y", F.least("y", F.lit(1)))

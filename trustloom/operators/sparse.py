@@ -24,6 +24,10 @@ from trustloom.sources.store import before, ranged, stored
 BLOCK = 512
 #: Entries that a task sums up before it passes them on.
 HELD = 2_000_000
+#: Entries of an inverse that goes to all tasks whole; a larger one stays in blocks.
+WHOLE = 1_000_000
+#: Rows that meet a block of the inverse in one group.
+MEET = 20_000
 
 ROW = "i array<int>, v array<double>"
 
@@ -228,6 +232,36 @@ def gradient_probes(df: DataFrame, model: SparseModel) -> DataFrame:
 # The Hessian in blocks -----------------------------------------------------------------------------------
 
 
+def _crossed(left: np.ndarray, right: np.ndarray, each: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """All pairs of a row's left and right non-zeros, some rows at a time, from how many there are of either in each row.
+
+    Gives the pairs' rows, counted from a first one, that first row, and the places of both non-zeros.
+    """
+    many = left * right
+    at_left, at_right = np.cumsum(left) - left, np.cumsum(right) - right
+    part = np.cumsum(many) * each // HELD
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(many)]
+    for start, end in zip(cuts, cuts[1:]):
+        n = many[start:end]
+        r = np.repeat(np.arange(end - start), n)
+        if len(r):
+            t, width = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n), right[start:end][r]
+            yield r, start, at_left[start:end][r] + t // width, at_right[start:end][r] + t % width
+
+
+def _forms(M: np.ndarray, left: np.ndarray, i: np.ndarray, v: np.ndarray, right: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """rows x outputs x outputs: forms of rows' left and right non-zeros in M (features x outputs x features x outputs)."""
+    k = M.shape[1]
+    out = np.zeros((len(left), k, k))
+    for r, at, a, b in _crossed(left, right, k * k):
+        part = (v[a] * w[b])[:, None, None] * M[i[a], :, j[b], :]
+        n = int(r[-1]) + 1
+        for x in range(k):
+            for y in range(k):
+                out[at : at + n, x, y] += np.bincount(r, part[:, x, y], n)
+    return out
+
+
 def hessian_blocks(df: DataFrame, model: SparseModel, block: int = BLOCK) -> DataFrame:
     """bi, bj, m: blocks of the Hessian as matrices, the penalty on the weights' diagonal included.
 
@@ -239,26 +273,12 @@ def hessian_blocks(df: DataFrame, model: SparseModel, block: int = BLOCK) -> Dat
     spark, width, d = df.sparkSession, model.width, model.coef.shape[1]
 
     def work(m, ids, rows, g, p):
-        V = m.variances(p)
-        start = np.searchsorted(rows.row, np.arange(rows.n + 1))
-        sums, held = [], 0
-
-        def flush():
-            a, b, w = (np.concatenate(c) for c in zip(*sums))
-            key, at = np.unique(a * (width * k) + b, return_inverse=True)
-            yield pa.record_batch([pa.array(key // (width * k)), pa.array(key % (width * k)), pa.array(np.bincount(at, w))], ["a", "b", "v"])
-
-        for r in range(rows.n):
-            place, value = rows.place[start[r] : start[r + 1]], rows.value[start[r] : start[r + 1]]
-            param = (place[:, None] * k + np.arange(k)).reshape(-1)
-            own = np.einsum("i,j,kl->ikjl", value, value, V[r]).reshape(len(param), len(param))
-            sums.append((np.repeat(param, len(param)), np.tile(param, len(param)), own.reshape(-1)))
-            held += own.size
-            if held >= HELD:
-                yield from flush()
-                sums, held = [], 0
-        if sums:
-            yield from flush()
+        V, size = m.variances(p), np.bincount(rows.row, minlength=rows.n)
+        for r, at, i, j in _crossed(size, size, k * k):
+            w = (rows.value[i] * rows.value[j])[:, None, None] * V[at + r]
+            a, b = rows.place[i][:, None, None] * k + np.arange(k)[:, None], rows.place[j][:, None, None] * k + np.arange(k)
+            key, to = np.unique((a * (width * k) + b).reshape(-1), return_inverse=True)
+            yield pa.record_batch([pa.array(key // (width * k)), pa.array(key % (width * k)), pa.array(np.bincount(to.reshape(-1), w.reshape(-1)))], ["a", "b", "v"])
 
     entries = _map(df, model, work, "a long, b long, v double").groupBy("a", "b").agg(F.sum("v").alias("v"))
     # Every diagonal entry occurs, with the penalty on those of weights.
@@ -329,6 +349,23 @@ def influence(df: DataFrame, model: SparseModel, block: int = BLOCK) -> DataFram
     """
     k, side, width = model.outputs, block * model.outputs, model.width
     inverse = inverse_blocks(hessian_blocks(df, model, block), width * k, side)
+    id_kind = df.schema["id"].dataType.simpleString()
+    names = ["id", "self_influence", "leverage", "cook", "cook_bar", "approximate_loo"]
+    schema = f"id {id_kind}, " + ", ".join(f"{name} double" for name in names[1:])
+
+    if (width * k) ** 2 <= WHOLE:
+        M = np.zeros((width * k, width * k))
+        for r in inverse.collect():  # WHOLE entries at most
+            rows, columns = _size(r["bi"], side, width * k), _size(r["bj"], side, width * k)
+            M[r["bi"] * side : r["bi"] * side + rows, r["bj"] * side : r["bj"] * side + columns] = np.frombuffer(r["m"]).reshape(rows, columns)
+        whole = df.sparkSession.sparkContext.broadcast(M.reshape(width, k, width, k))
+
+        def at_once(m, ids, rows, g, p):
+            size = np.bincount(rows.row, minlength=rows.n)
+            Q = _forms(whole.value, size, rows.place, rows.value, size, rows.place, rows.value)
+            yield pa.record_batch([ids, *map(pa.array, row_influence(Q, g, m.variances(p), m.width))], names)
+
+        return _map(df, model, at_once, schema)
 
     def spread(m, ids, rows, g, p):
         """Each row's features by block."""
@@ -340,22 +377,31 @@ def influence(df: DataFrame, model: SparseModel, block: int = BLOCK) -> DataFram
         lists = lambda a, t: pa.ListArray.from_arrays(cuts, pa.array(a, t))
         yield pa.record_batch([ids.take(pa.array(row[new])), pa.array(of[new]), lists(place - of * block, pa.int32()), lists(value, pa.float64())], ["id", "b", "i", "v"])
 
-    id_kind = df.schema["id"].dataType.simpleString()
+    # A block of the inverse goes once to each group of rows that meets it, not to each row.
     parts = stored(_map(df, model, spread, f"id {id_kind}, b long, {ROW}"), "parts")
     other = parts.select("id", F.col("b").alias("bj"), F.col("i").alias("j"), F.col("v").alias("w"))
-    met = parts.withColumnRenamed("b", "bi").join(other, "id").join(inverse, ["bi", "bj"]).select("id", "i", "v", "j", "w", "bj", "m")
-
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, v, j, w, bj, m in zip(*(b.column(x).to_pylist() for x in ("i", "v", "j", "w", "bj", "m"))):
-                M = np.frombuffer(m).reshape(-1, _size(bj, side, width * k)).reshape(-1, k, _size(bj, side, width * k) // k, k)
-                out.append(np.einsum("i,ikjl,j->kl", np.array(v), M[np.array(i)][:, :, np.array(j)], np.array(w)).reshape(-1))
-            yield pa.record_batch([b.column("id"), pa.array(out, pa.list_(pa.float64()))], ["id", "q"])
-
-    sums = met.mapInArrow(forms, f"id {id_kind}, q array<double>").groupBy("id").agg(*[F.sum(F.get("q", F.lit(c))).alias(f"q{c}") for c in range(k * k)])
+    met = parts.withColumnRenamed("b", "bi").join(other, "id")
+    groups = stored(met.groupBy("bi", "bj").agg(F.ceil(F.count("*") / F.lit(float(MEET))).alias("groups")), "groups")  # a row a block
+    met = met.join(F.broadcast(groups), ["bi", "bj"]).withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups")))
+    inverse = inverse.join(F.broadcast(groups), ["bi", "bj"]).select("bi", "bj", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+
+    def forms(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not (rows.num_rows and found.num_rows):
+            return pa.table([rows.column("id").slice(0, 0), pa.array([], pa.list_(pa.float64()))], names=["id", "q"])
+        rows = rows.combine_chunks()
+        i, v, j, w = (rows.column(c).combine_chunks() for c in "ivjw")
+        M = np.frombuffer(found.column("m")[0].as_py()).reshape(-1, _size(found.column("bj")[0].as_py(), side, width * k))
+        M = M.reshape(M.shape[0] // k, k, M.shape[1] // k, k)
+        flat = [a.flatten().to_numpy() for a in (i, v, j, w)]
+        q = _forms(M, np.diff(i.offsets.to_numpy()), *flat[:2], np.diff(j.offsets.to_numpy()), *flat[2:])
+        return pa.table([rows.column("id"), pa.array(list(q.reshape(len(q), -1)), pa.list_(pa.float64()))], names=["id", "q"])
+
+    keys = ["bi", "bj", "group"]
+    sums = met.select("id", "i", "v", "j", "w", *keys).groupBy(*keys).cogroup(inverse.groupBy(*keys)).applyInArrow(forms, f"id {id_kind}, q array<double>")
+    sums = sums.groupBy("id").agg(*[F.sum(F.get("q", F.lit(c))).alias(f"q{c}") for c in range(k * k)])
     sums = sums.select(F.col("id").alias("_id"), F.array(*[f"q{c}" for c in range(k * k)]).alias("q"))
-    rows = df.select("id", "i", "v", "y").join(sums, F.col("id") == F.col("_id")).select("id", "i", "v", "y", "q")
+    none = F.array_repeat(F.lit(0.0), k * k)  # of a row without features
+    rows = df.select("id", "i", "v", "y").join(sums, F.col("id") == F.col("_id"), "left").select("id", "i", "v", "y", F.coalesce("q", none).alias("q"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,9 +411,9 @@ def influence(df: DataFrame, model: SparseModel, block: int = BLOCK) -> DataFram
                 p = m.expectation(m.rows(b.column("i"), b.column("v")))
                 g, V = m.gradient(p, b.column("y").to_numpy()), m.variances(p)
                 Q = np.stack(b.column("q").to_numpy(zero_copy_only=False)).reshape(-1, k, k)
-                yield pa.record_batch([b.column("id"), *map(pa.array, row_influence(Q, g, V, m.width))], ["id", "self_influence", "leverage", "cook", "cook_bar", "approximate_loo"])
+                yield pa.record_batch([b.column("id"), *map(pa.array, row_influence(Q, g, V, m.width))], names)
 
-    return rows.mapInArrow(run, f"id {id_kind}, self_influence double, leverage double, cook double, cook_bar double, approximate_loo double")
+    return rows.mapInArrow(run, schema)
 
 
 def row_influence(Q: np.ndarray, g: np.ndarray, V: np.ndarray, dof: int) -> tuple[np.ndarray, ...]:
