@@ -78,6 +78,25 @@ def test_tf_idf(spark):
         assert got[k] == pytest.approx({i: x / norm for i, x in v.items()})
 
 
+@pytest.mark.parametrize("frequent", [2, 1000])
+def test_tf_idf_counts_words_without_a_shuffle(spark, monkeypatch, frequent):
+    plans, stored = {}, S.stored
+
+    def noted(df, name="table", **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name, **options)
+
+    monkeypatch.setattr(S, "stored", noted)
+    monkeypatch.setattr(S, "FREQUENT", frequent, raising=False)
+    texts = ["a b a c d", "b c d d", "d a e", "e"]
+    out, width = S.tf_idf(spark.createDataFrame(list(enumerate(texts)), "id long, text string").localCheckpoint(), least=2)
+    got = {r.id: list(r.i) for r in out.collect()}
+    assert width == 5 and got == {0: [0, 1, 2, 3], 1: [1, 2, 3], 2: [0, 3, 4], 3: [4]}
+    v = np.array([2 * (math.log(5 / 3) + 1), math.log(5 / 3) + 1, math.log(5 / 3) + 1, math.log(5 / 4) + 1])
+    assert np.allclose(out.filter("id = 0").first().v, v / np.linalg.norm(v))
+    assert "Exchange" not in plans["words"]
+
+
 def test_wide_rows_keep_clear_of_dense_matrices(spark):
     rows = spark.range(300).select("id", F.array((F.col("id") * 331 % 100_000).cast("int"), F.lit(100_001)).alias("i"), F.array(F.lit(1.0), F.lit(0.5)).alias("v"), (F.col("id") % 2).cast("int").alias("y"))
     model = S.fit_sparse_logistic(rows, 100_002, epochs=2)[-1]

@@ -26,6 +26,8 @@ BLOCK = 512
 HELD = 2_000_000
 #: Entries of an inverse that goes to all tasks whole; a larger one stays in blocks.
 WHOLE = 1_000_000
+#: Terms that are sent to all tasks with their places, the most frequent first.
+FREQUENT = 100_000
 #: Rows that meet a block of the inverse in one group.
 MEET = 20_000
 
@@ -62,13 +64,25 @@ def tf_idf(df: DataFrame, text: str = "text", least: int = 2) -> tuple[DataFrame
     without a kept word have no features. Columns but ``text`` stay.
     """
     others = [c for c in df.columns if c != text]
-    token = F.explode(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: w != ""))
-    words = stored(df.select("id", token.alias("term")).groupBy("id", "term").agg(F.count("*").alias("n")), "words")
+    token = F.array_sort(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))  # counted within the row
+    rows = E.held(df.select("id", text), _s=token)
+    start = F.when(F.size("_s") > 0, F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda k: (k == 0) | (F.get("_s", k) != F.get("_s", k - 1)))).otherwise(F.array().cast("array<int>"))
+    rows = E.held(rows, _at=start)
+    count = lambda k, c: (F.coalesce(F.get("_at", c + 1), F.size("_s")) - k).cast("long")
+    words = rows.select("id", F.explode(F.transform("_at", lambda k, c: F.struct(F.get("_s", k).alias("term"), count(k, c).alias("n")))).alias("w")).select("id", "w.*")
+    words = stored(words, "words")
     terms = stored(vocabulary(words, least).withColumnRenamed("n", "df"), "vocabulary")
     rows, width = df.count(), terms.count()
-    idf = F.log(F.lit(1.0 + rows) / (1.0 + F.col("df"))) + 1.0
-    cells = words.join(terms, "term").select("id", F.struct(F.col("place").alias("k"), (F.col("n") * idf).alias("v")).alias("p"))
+    value = lambda p: p["n"] * (F.log(F.lit(1.0 + rows) / (1.0 + p["df"])) + 1.0)
+    if width <= FREQUENT:
+        met = words.join(F.broadcast(terms), "term")
+    else:  # most words are of few terms, which meet them where they are
+        often = stored(terms.orderBy(F.desc("df"), "place").limit(FREQUENT), "frequent")
+        known = F.broadcast(often.select("term"))
+        met = words.join(F.broadcast(often), "term").unionByName(words.join(known, "term", "left_anti").join(terms.join(known, "term", "left_anti"), "term"))
+    cells = met.select("id", F.struct(F.col("place").alias("k"), F.col("n").cast("int").alias("n"), F.col("df").alias("df")).alias("p"))  # small numbers, which pack well
     vectors = cells.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("p"))  # a row's own words
+    vectors = E.held(vectors, p=F.transform("p", lambda p: F.struct(p["k"].alias("k"), value(p).alias("v"))))
     norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, p: s + p["v"] * p["v"]))
     scaled = E.let(norm, lambda n: F.transform("p", lambda p: p["v"] / n))
     vectors = vectors.select("id", F.transform("p", lambda p: p["k"]).alias("i"), scaled.alias("v"))
@@ -175,11 +189,11 @@ def mean_gradient(df: DataFrame, model: SparseModel) -> np.ndarray:
         yield pa.record_batch([pa.array([-1]), pa.array([0]), pa.array([float(rows.n)])], ["place", "k", "g"])
 
     out, n = np.zeros((model.width, model.outputs)), 1.0
-    for r in _map(df, model, work, "place long, k long, g double").groupBy("place", "k").agg(F.sum("g").alias("g")).toLocalIterator():
-        if r["place"] < 0:
-            n = r["g"]
-        else:
-            out[r["place"], r["k"]] = r["g"]
+    sums = _map(df, model, work, "place long, k long, g double").groupBy("place", "k").agg(F.sum("g").alias("g")).toArrow()
+    place, k, g = (sums.column(c).to_numpy() for c in ("place", "k", "g"))
+    if len(g):
+        n = g[place < 0][0]
+        out[place[place >= 0], k[place >= 0]] = g[place >= 0]
     return out / n
 
 
