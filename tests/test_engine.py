@@ -290,3 +290,19 @@ def test_softmax_and_logistic(spark):
     df = spark.createDataFrame([([1000.0, 0.0, -1000.0],)], "z array<double>")
     r = df.select(E.softmax(F.col("z")).alias("p"), E.logsumexp(F.col("z")).alias("l"), E.logistic(F.lit(-800.0)).alias("a"), E.logistic(F.lit(800.0)).alias("b")).first()
     assert r.p == [1.0, 0.0, 0.0] and r.l == 1000.0 and r.a == 0.0 and r.b == 1.0
+
+
+def test_influence_of_many_classes_takes_no_product_over_all_indices(spark):
+    import time
+
+    rng = np.random.default_rng(0)
+    X, y = rng.normal(size=(400, 10)), rng.integers(0, 10, 400)
+    df = spark.createDataFrame([(i, [float(v) for v in x], int(c)) for i, (x, c) in enumerate(zip(X, y))], "id long, x array<double>, y int").coalesce(1)
+    m = L.LinearModel(rng.normal(size=(10, 10)).tolist(), [0.0] * 10, "log_loss", 1.0)
+    inv = np.linalg.pinv(L.hessian(df, m), hermitian=True)
+    began = time.perf_counter()
+    got = {r.id: r.self_influence for r in L.influence(df, m).collect()}
+    assert time.perf_counter() - began < 20  # 4e10 products otherwise
+    p, g, Xt = m.batch(X, y)
+    grad = np.einsum("nd,nk->ndk", Xt, g).reshape(400, -1)
+    assert np.allclose([got[i] for i in range(400)], -np.einsum("np,np->n", grad @ inv, grad))

@@ -187,7 +187,9 @@ def influence(df: DataFrame, model: LinearModel) -> DataFrame:
     dropped: the pseudo-inverse is taken. (P53 to P56, L10)
     """
     inv = np.linalg.pinv(hessian(df, model), hermitian=True)
-    dof = model.in_dim[0]
+    dof, k = model.in_dim[0], model.outputs
+    m = len(inv) // k
+    flat = inv.reshape(m, k, m, k).transpose(0, 2, 1, 3).reshape(m, m * k * k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -196,12 +198,12 @@ def influence(df: DataFrame, model: LinearModel) -> DataFrame:
             X = np.array(b["x"].tolist(), float)
             p, g, Xt = model.batch(X, b["y"].to_numpy())
             V = model.variances(p)
-            J = model.jacobians(Xt, np.repeat(np.eye(model.outputs)[None], len(b), axis=0))
-            grad = np.einsum("npk,nk->np", J, g)
-            own = -np.einsum("np,pq,nq->n", grad, inv, grad)
+            # The weights of output k are every outputs-th parameter: forms of a row in the inverse, feature by feature.
+            Q = np.einsum("nfk,nf->nk", (Xt @ flat).reshape(len(b), -1, model.outputs**2), Xt).reshape(len(b), model.outputs, model.outputs)
+            own = -np.einsum("nk,nkl,nl->n", g, Q, g)
             w, U = np.linalg.eigh(V)
             root = np.einsum("nij,nj,nkj->nik", U, np.sqrt(np.clip(w, 0, None)), U)
-            h = np.einsum("nik,npk,pq,nql,nlj->nij", root, J, inv, J, root)
+            h = root @ Q @ root
             iroot = np.einsum("nij,nj,nkj->nik", U, np.where(w > 1e-12, 1 / np.sqrt(np.clip(w, 1e-12, None)), 0), U)
             r = np.einsum("nij,nj->ni", iroot, g)
             eye = np.eye(model.outputs)[None]
@@ -209,7 +211,8 @@ def influence(df: DataFrame, model: LinearModel) -> DataFrame:
             left = np.linalg.solve(eye - h, r[:, :, None])[:, :, 0]
             cook = np.einsum("ni,nij,nj->n", left, h, left) / dof
             bar = np.einsum("ni,nij,nj->n", left, h, r) / dof
-            loo = -0.5 * (np.einsum("ni,nij,nkj,nk->n", r, a, a, r) + 2 * np.einsum("ni,nji,nj->n", r, a, r))
+            # In this order: r'aa'r and r'a'r, as sums over pairs.
+            loo = -0.5 * ((np.einsum("ni,nij->nj", r, a) ** 2).sum(axis=1) + 2 * np.einsum("nj,nj->n", np.einsum("nji,nj->ni", a, r), r))
             yield pd.DataFrame({"id": b["id"], "self_influence": own, "leverage": np.trace(h, axis1=1, axis2=2), "cook": cook, "cook_bar": bar, "approximate_loo": loo})
 
     return df.select("id", "x", "y").mapInPandas(run, "id long, self_influence double, leverage double, cook double, cook_bar double, approximate_loo double")
