@@ -1,6 +1,7 @@
 """Exact nearest neighbours against brute force, with copies, folds, small blocks and odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,48 @@ def test_numbers_that_single_precision_cannot_tell_apart(spark, monkeypatch, sca
     rows = [(i, [at + float(v) * scale for v in x], 0) for i, x in enumerate(np.random.default_rng(4).integers(-9, 9, (120, 4)))] + [(900, [0.0, float("nan"), 0.0, 0.0], 0)]
     got = {r.id: r.near and [v.id for v in r.near] for r in H.neighbours(spark.createDataFrame(rows, "id long, x array<double>, y int"), 4).collect()}
     assert got == brute(rows[:-1], 4) | {900: None}
+
+
+def test_each_pair_of_blocks_meets_once_for_both_directions(spark, monkeypatch):
+    for name, v in (("CELL", 8), ("BLOCK", 60)):
+        monkeypatch.setattr(H, name, v)
+    seen, stored = {}, H.stored
+
+    def counted(df, name="table", **options):
+        out = stored(df, name, **options)
+        seen[name] = out.select("block").distinct().count() if name == "first" else out.count()
+        return out
+
+    monkeypatch.setattr(H, "stored", counted)
+    rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(np.random.default_rng(6).normal(size=(200, 24)))]
+    got = {r.id: [v.id for v in r.near] for r in H.neighbours(spark.createDataFrame(rows, "id long, x array<double>, y int"), 3).collect()}
+    assert got == brute(rows, 3)
+    assert seen["first"] > 2 and seen["met"] == seen["first"] * (seen["first"] - 1) // 2
+
+
+def test_pairs_of_equal_distance_are_not_held(monkeypatch):
+    for name, v in (("HELD", 500), ("TILE", (8, 16)), ("SOME", 5)):
+        monkeypatch.setattr(H, name, v)
+    rng = np.random.default_rng(7)
+    Q, X = np.eye(70)[rng.permutation(70)], np.eye(140)[70:, 70:] - 1  # all of Q as far from all of X, or nearly
+    folds = rng.integers(0, 3, 70), rng.integers(0, 3, 70)
+    most = []
+
+    def nearest(ids):
+        rows = pa.array([[{"id": int(i), "y": 0}] for i in ids], pa.list_(pa.struct([("id", pa.int64()), ("y", pa.int32())])))
+        out = H._Nearest(rows, 4)
+        add = out.add
+        out.add = lambda *a: (add(*a), most.append(out.held))
+        return out
+
+    of_x, of_q = rng.permutation(70), rng.permutation(70)
+    forth, back = nearest(of_x), nearest(of_q)
+    cut = np.where(np.arange(70) % 5 == 0, -np.inf, np.inf)
+    H._meet(Q, X, cut, forth, folds, np.full(70, np.inf), back)
+    D = ((Q[:, None] - X[None]) ** 2).sum(axis=2)
+    D[folds[0][:, None] == folds[1][None]] = np.inf
+    for out, D, ids, asks in ((forth, D, of_x, np.isfinite(cut) | (cut > 0)), (back, D.T, of_q, np.full(70, True))):
+        i, d, rows = out.found()
+        got = [(int(a), float(b), c["id"]) for a, b, c in zip(i, d, rows.to_pylist())]
+        assert got == [(q, float(b), int(c)) for q in range(70) if asks[q] for b, c in sorted((D[q, j], ids[j]) for j in range(70) if np.isfinite(D[q, j]))[:4]]
+    assert max(most) <= 500

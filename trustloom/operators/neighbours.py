@@ -6,9 +6,9 @@ the nearest of a bounded number of pivots, and neighbouring cells are put
 together to blocks of bounded size. A point's neighbours within its own block
 bound the distance that matters; by the triangle inequality only blocks with a
 cell that reaches within it are searched, each once. Where nothing can be ruled
-out (many features without structure) every pair of blocks meets in a task of its
-own: a product of matrices in single precision rules out all but a few pairs,
-and only their distances are summed.
+out (many features without structure) every pair of blocks meets once in a task of
+its own, for both directions: a product of matrices in single precision rules
+out all but a few pairs, and only their distances are summed.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ from trustloom.sources.store import stored
 CELL, PIVOTS = 400, 2048
 #: Points of a block.
 BLOCK = 40_000
+#: Queries and points of a product of matrices: what stays in a core's cache.
+TILE = (256, 2048)
+#: Points, about, that a first bound is drawn from.
+SOME = 4096
 #: Parts that a hot place's rows are first thinned in.
 SALT = 64
 #: Numbers that a block's distances take at once.
@@ -58,65 +62,142 @@ def _of_pairs(Q: np.ndarray, X: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
 
 
 class _Rough:
-    """Square distances to some points from a product of matrices, and how far they may be off for each query."""
+    """Square distances to some points from one product of matrices, and how far they may be off for each query."""
 
     def __init__(self, X: np.ndarray) -> None:
         with np.errstate(over="ignore", invalid="ignore"):
             self.X, self.at = X, X.mean(axis=0)
             x = X - self.at
-            n = (x * x).sum(axis=1)
-        self.top = n.max()
+            self.n = (x * x).sum(axis=1)
+        self.top = self.n.max()
         self.fits = bool(self.top <= LARGE)
         if self.fits:
-            self.x, self.n = np.ascontiguousarray(x.T, np.float32), n.astype(np.float32)
+            self.x = np.hstack([x, np.ones((len(X), 1)), self.n[:, None]]).astype(np.float32)
 
-    def of(self, Q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def queries(self, Q: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+        """What is multiplied with ``x``, or None where single precision can't hold it; and the queries' squares."""
         with np.errstate(over="ignore", invalid="ignore"):
             q = Q - self.at
             n = (q * q).sum(axis=1)
         if not (self.fits and n.max() <= LARGE):
+            return None, n
+        return np.hstack([-2 * q, n[:, None], np.ones((len(Q), 1))]).astype(np.float32), n
+
+    def of(self, Q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q, n = self.queries(Q)
+        if q is None:
             return _square_distances(Q, self.X), np.zeros(len(Q))
-        out = q.astype(np.float32) @ self.x
-        out *= -2
-        out += self.n
-        out += n.astype(np.float32)[:, None]
-        return out, 2 * (Q.shape[1] + 16) * UNIT * (n + self.top) + 1e-37
+        return q @ self.x.T, _off(n, self.top, Q.shape[1])
+
+
+def _off(n: np.ndarray, top: float, d: int) -> np.ndarray:
+    return 2 * (d + 16) * UNIT * (n + top) + 1e-35
+
+
+def _most(limit: np.ndarray, off: np.ndarray | float, kind: type) -> np.ndarray:
+    """What a rough distance may be at most where the true one is within ``limit``."""
+    return np.minimum((limit + off) * (1 + 4 * UNIT), np.finfo(kind).max).astype(kind)
+
+
+def _true(B: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix that has few: eight at a time."""
+    if B.shape[1] % 8 or not B.flags.c_contiguous:
+        return np.nonzero(B)
+    at = np.flatnonzero(B.reshape(-1).view(np.uint64))
+    of, j = np.nonzero(B.reshape(-1, 8)[at])
+    place = at[of] * 8 + j
+    return place // B.shape[1], place % B.shape[1]
+
 
+def _limits(Q: np.ndarray, X: np.ndarray, cut: np.ndarray, take: int, folds: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """``cut``; where that is infinite, a distance that ``take`` points of other folds are within, if there are as many.
+
+    Some of the points bound it; only where they are too few in other folds all of them are looked at.
+    """
+    out = cut.copy()
+    for some in dict.fromkeys((max(1, len(X) // SOME), 1)):
+        left, part = np.flatnonzero(np.isinf(out) & (out > 0)), X[::some]
+        if not len(left) or len(part) < take:
+            continue
+        rough, step = _Rough(part), max(1, HELD // len(part))
+        for k in range(0, len(left), step):
+            own = left[k : k + step]
+            A, off = rough.of(Q[own])
+            if folds is not None:
+                A[folds[0][own][:, None] == folds[1][::some][None, :]] = np.inf
+            out[own] = np.partition(A, take - 1, axis=1)[:, take - 1] + off
+    return out
 
-def _within(Q: np.ndarray, X: np.ndarray, cut: np.ndarray, take: int, folds: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, point and square distance of pairs within ``cut``; where that is infinite, of the ``take`` nearest at least.
 
+class _Nearest:
+    """Each query's ``take`` nearest rows of those met so far, by distance and id."""
+
+    def __init__(self, rows: pa.ListArray, take: int) -> None:
+        self.at, self.values, self.take = rows.offsets.to_numpy(), rows.values, take
+        self.rank = np.empty(len(self.values), np.int64)
+        self.rank[pc.sort_indices(pc.struct_field(self.values, "id")).to_numpy()] = np.arange(len(self.values))
+        self.met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        """Pairs of queries and points, as pairs of queries and the points' rows."""
+        size = np.diff(self.at)[j]
+        row = np.repeat(self.at[j], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.met.append((np.repeat(i, size), row, np.repeat(d, size)))
+        self.held += len(row)
+        if self.held > HELD:
+            self.met = [self._first()]
+            self.held = len(self.met[0][0])
+
+    def _first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, row, d = (np.concatenate(c) for c in zip(*self.met)) if self.met else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        order = np.lexsort((self.rank[row], d, i))
+        i, row, d = i[order], row[order], d[order]
+        new = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
+        kept = np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < self.take
+        return i[kept], row[kept], d[kept]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+        """Query, distance and row."""
+        i, row, d = self._first()
+        return i, d, self.values.take(pa.array(row))
+
+
+def _meet(Q: np.ndarray, X: np.ndarray, cut: np.ndarray, forth: _Nearest, folds: tuple[np.ndarray, np.ndarray] | None, cut_back: np.ndarray | None = None, back: _Nearest | None = None) -> None:
+    """Give ``forth`` what is within ``cut`` of Q among X, and ``back`` what is within ``cut_back`` of X among Q, from one product.
+
+    An infinite cut stands for the nearest ones that can be asked for, a cut of minus infinity for none.
     ``folds`` of queries and points: those of equal ones are left out.
     """
-    rough, found, step = _Rough(X), [], max(1, HELD // len(X))
-    for k in range(0, len(Q), step):
-        own = Q[k : k + step]
-        A, off = rough.of(own)
-        if folds is not None:
-            A[folds[0][k : k + step, None] == folds[1][None, :]] = np.inf
-        limit, open_ = cut[k : k + step].copy(), np.isinf(cut[k : k + step])
-        if open_.any() and take <= len(X):
-            limit[open_] = np.partition(A[open_], take - 1, axis=1)[:, take - 1] + off[open_]
-        most = np.minimum((limit + off) * (1 + 4 * UNIT), np.finfo(A.dtype).max).astype(A.dtype)
-        i, j = np.nonzero(A <= most[:, None])
-        d = _of_pairs(own, X, i, j)
-        good = np.isfinite(d) & (d <= limit[i])
-        found.append((i[good] + k, j[good], d[good]))
-    return tuple(np.concatenate(c) for c in zip(*found))
-
-
-def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, rows: pa.ListArray, take: int) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
-    """Of pairs of queries and points: each query's ``take`` nearest rows, by distance and id, as query, distance and row."""
-    at, values = rows.offsets.to_numpy(), rows.values
-    size = np.diff(at)[j]
-    i, d, row = np.repeat(i, size), np.repeat(d, size), np.repeat(at[j], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    rank = np.empty(len(values), np.int64)
-    rank[pc.sort_indices(pc.struct_field(values, "id")).to_numpy()] = np.arange(len(values))
-    order = np.lexsort((rank[row], d, i))
-    i, d, row = i[order], d[order], row[order]
-    new = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
-    kept = np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < take
-    return i[kept], d[kept], values.take(pa.array(row[kept]))
+    rough, d = _Rough(X), X.shape[1]
+    q, n = rough.queries(Q)
+    kind = np.float64 if q is None else np.float32
+    ways = [(forth, (limit := _limits(Q, X, cut, forth.take, folds)), _most(limit, 0 if q is None else _off(n, rough.top, d), kind), False)]
+    if back is not None:
+        limit = _limits(X, Q, cut_back, back.take, folds and folds[::-1])
+        ways.append((back, limit, _most(limit, 0 if q is None else _off(rough.n, n.max(), d), kind), True))
+    rows, columns = TILE
+    A, B = np.empty(rows * columns, np.float32), np.empty(rows * columns, bool)
+    for k in range(0, len(Q), rows):
+        own = Q[k : k + rows]
+        for c in range(0, len(X), columns):
+            other = X[c : c + columns]
+            shape = (len(own), len(other))
+            if q is None:
+                near = _square_distances(own, other)
+            else:
+                near = np.matmul(q[k : k + rows], rough.x[c : c + columns].T, out=A[: shape[0] * shape[1]].reshape(shape))
+            for to, limit, most, turned in ways:
+                bound = most[None, c : c + columns] if turned else most[k : k + rows, None]
+                i, j = _true(np.less_equal(near, bound, out=B[: shape[0] * shape[1]].reshape(shape)))
+                if folds is not None:
+                    apart = folds[0][k + i] != folds[1][c + j]
+                    i, j = i[apart], j[apart]
+                if len(i):
+                    exact = _of_pairs(own, other, i, j)
+                    asks, point = (c + j, k + i) if turned else (k + i, c + j)
+                    good = np.isfinite(exact) & (exact <= limit[asks])
+                    to.add(asks[good], point[good], exact[good])
 
 
 def _leaves(pivots: np.ndarray, cells: list[int], sizes: list[int]) -> list[list[int]]:
@@ -190,62 +271,67 @@ def neighbours(df: DataFrame, k: int = 5, apart: str | None = None, within: str
     block = (F.col("base") + F.pmod(F.xxhash64("pid"), F.col("parts"))).cast("int")
     cells = cells.join(F.broadcast(at), ["_within", "cell"]).select("x", "_apart", "_within", "rows", "pid", block.alias("block"))
 
+    shared_rings = spark.sparkContext.broadcast(rings)
+
+    def reach(X: np.ndarray, w: int, own: int, cut: np.ndarray) -> pa.ListArray:
+        """Of each point the other blocks that may hold a neighbour."""
+        cell, lo, hi, starts, blocks = shared_rings.value[w]
+        rough, far = _Rough(shared.value[cell]), np.sqrt(cut)
+        leaf, number = np.array([(k, m) for k, numbers in enumerate(blocks) for m in numbers], np.int32).T
+        many, to, step = [np.zeros(1, int)], [], max(1, HELD // len(cell))
+        for k in range(0, len(X), step):
+            D, off = rough.of(X[k : k + step])
+            least = np.maximum(np.sqrt(np.maximum(D - off[:, None], 0)) - hi, lo - np.sqrt(np.maximum(D + off[:, None], 0)))
+            reached = np.logical_or.reduceat(least <= far[k : k + step, None] * (1 + 1e-9) + 1e-9, starts, axis=1)[:, leaf] & (number != own)
+            many.append(reached.sum(axis=1))
+            to.append(number[np.nonzero(reached)[1]])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(many)), pa.int32()), pa.array(np.concatenate(to), pa.int32()))
+
     # The k-th distance within a point's own block bounds the search.
     def own(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         X, fold, of = matrix(rows.column("x").combine_chunks()), rows.column("_apart").to_numpy(), rows.column("rows").combine_chunks()
-        i, d, found = _first(*_within(X, X, np.full(len(X), np.inf), take, (fold, fold) if folded else None), of, take)
+        nearest = _Nearest(of, take)
+        _meet(X, X, np.full(len(X), np.inf), nearest, (fold, fold) if folded else None)
+        i, d, found = nearest.found()
         many = np.bincount(i, minlength=len(X))
         ends, cut = np.cumsum(many), np.full(len(X), np.inf)
         cut[many == take] = d[ends[many == take] - 1]
         near = pa.StructArray.from_arrays([pa.array(d), *found.flatten()], ["d", "id", "y"])
         near = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), near)
-        return pa.table([*rows.columns, near, pa.array(cut)], names=[*rows.column_names, "near", "cut"])
+        asks = reach(X, rows.column("_within")[0].as_py(), rows.column("block")[0].as_py(), cut)
+        return pa.table([*rows.columns, near, pa.array(cut), asks], names=[*rows.column_names, "near", "cut", "asks"])
 
     near_kind = f"array<struct<d: double, id: {id_kind}, y: {y_kind}>>"
-    first = cells.groupBy("block").applyInArrow(own, f"x array<double>, _apart int, _within int, rows {row_kind}, pid long, block int, near {near_kind}, cut double")
+    first = cells.groupBy("block").applyInArrow(own, f"x array<double>, _apart int, _within int, rows {row_kind}, pid long, block int, near {near_kind}, cut double, asks array<int>")
     first = stored(first, "first")
-    shared_rings = spark.sparkContext.broadcast(rings)
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each point once for every other block that may hold a neighbour."""
-        rough = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            part, far, own, X = b.column("_within").to_numpy(), np.sqrt(b.column("cut").to_numpy()), b.column("block").to_numpy(), matrix(b.column("x"))
-            for w in np.unique(part).tolist():
-                cell, lo, hi, starts, blocks = shared_rings.value[w]
-                if w not in rough:
-                    rough[w] = _Rough(shared.value[cell])
-                at = np.flatnonzero(part == w)
-                D, off = rough[w].of(X[at])
-                least = np.maximum(np.sqrt(np.maximum(D - off[:, None], 0)) - hi, lo - np.sqrt(np.maximum(D + off[:, None], 0)))
-                reached = np.logical_or.reduceat(least <= far[at][:, None] * (1 + 1e-9) + 1e-9, starts, axis=1)
-                for leaf, numbers in enumerate(blocks):
-                    for number in numbers:
-                        asking = at[reached[:, leaf] & (own[at] != number)]
-                        if len(asking):
-                            out = b.select(["x", "_apart", "pid", "cut", "block"]).take(pa.array(asking))
-                            yield pa.record_batch([*out.columns, pa.array(np.full(len(asking), number), pa.int32())], [*out.schema.names, "other"])
-
-    asked = first.select("x", "_apart", "_within", "pid", "cut", "block").mapInArrow(reach, "x array<double>, _apart int, pid long, cut double, block int, other int")
-    met = stored(asked.select("block", "other").distinct(), "met")  # pairs of blocks
-    found = first.select("x", "_apart", "rows", F.col("block").alias("other")).join(F.broadcast(met), "other")
-
-    def search(queries: pa.Table, found: pa.Table) -> pa.Table:
-        kinds = found.schema.field("rows").type.value_type
+    asked = first.select("block", F.explode("asks").alias("other")).distinct()
+    met = stored(asked.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).distinct(), "met")  # pairs of blocks
+
+    def side(own: str, other: str) -> DataFrame:
+        """The points of one block of each pair; those that don't ask the other block are only found."""
+        cut = F.when(F.array_contains("asks", F.col(other)), F.col("cut")).otherwise(float("-inf"))
+        rows = first.withColumnRenamed("block", own).join(F.broadcast(met), own).withColumn("cut", cut)
+        return rows.select(*[F.col(c).alias(c) for c in ("a", "b", "x", "_apart", "rows", "pid", "cut")])  # new columns: both sides are of one table
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [t.combine_chunks() for t in (left, right)]
+        kinds = left.schema.field("rows").type.value_type
         names, types = ["pid", "d", "id", "y"], [pa.int64(), pa.float64(), kinds.field("id").type, kinds.field("y").type]
-        if not (queries.num_rows and found.num_rows):
+        if not (left.num_rows and right.num_rows):
             return pa.table([pa.array([], t) for t in types], names=names)
-        queries, found = queries.combine_chunks(), found.combine_chunks()
-        Q, X = matrix(queries.column("x").combine_chunks()), matrix(found.column("x").combine_chunks())
-        folds = (queries.column("_apart").to_numpy(), found.column("_apart").to_numpy()) if folded else None
-        i, d, rows = _first(*_within(Q, X, queries.column("cut").to_numpy(), take, folds), found.column("rows").combine_chunks(), take)
-        return pa.table([queries.column("pid").take(pa.array(i)), pa.array(d), *rows.flatten()], names=names)
-
-    keys = ["block", "other"]
-    pairs = asked.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(search, f"pid long, d double, id {id_kind}, y {y_kind}")
+        X, Y = (matrix(t.column("x").combine_chunks()) for t in sides)
+        cuts = [t.column("cut").to_numpy() for t in sides]
+        apart = tuple(t.column("_apart").to_numpy() for t in sides) if folded else None
+        ways = [_Nearest(t.column("rows").combine_chunks(), take) for t in sides[::-1]]
+        _meet(X, Y, cuts[0], ways[0], apart, cuts[1], ways[1])
+        out = []
+        for asking, nearest in zip(sides, ways):
+            i, d, rows = nearest.found()
+            out.append(pa.table([asking.column("pid").take(pa.array(i)), pa.array(d), *rows.flatten()], names=names))
+        return pa.concat_tables(out).combine_chunks()
+
+    pairs = side("a", "b").groupBy("a", "b").cogroup(side("b", "a").groupBy("a", "b")).applyInArrow(search, f"pid long, d double, id {id_kind}, y {y_kind}")
     pairs = pairs.unionByName(first.select("pid", F.explode("near").alias("v")).select("pid", "v.*"))
     place = F.row_number().over(Window.partitionBy("pid").orderBy("d", "id"))
     near = pairs.withColumn("_place", place).filter(F.col("_place") <= take).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d", "id", "y"))).alias("near"))
