@@ -1,7 +1,9 @@
 """Exact nearest neighbours against brute force, with copies, folds, small blocks and odd rows."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from trustloom.functions import probes as P
 from trustloom.operators import aggregates as A
 from trustloom.operators import detectors as T
 from trustloom.operators import neighbours as H
+from trustloom.plans import catalogue as C
+from trustloom.plans import neighbour_queries as N
 
 
 def brute(rows, k, ok=lambda a, b: True):
@@ -140,3 +144,25 @@ def test_pairs_of_equal_distance_are_not_held(monkeypatch):
         got = [(int(a), float(b), c["id"]) for a, b, c in zip(i, d, rows.to_pylist())]
         assert got == [(q, float(b), int(c)) for q in range(70) if asks[q] for b, c in sorted((D[q, j], ids[j]) for j in range(70) if np.isfinite(D[q, j]))[:4]]
     assert max(most) <= 500
+
+
+@pytest.mark.parametrize("name, copies", [("E03b_leave_one_out_neighbours", 1)])
+def test_queries_write_no_row_for_each_cell(spark, monkeypatch, tmp_path, name, copies):
+    for constant, v in (("CELL", 8), ("BLOCK", 60)):
+        monkeypatch.setattr(H, constant, v)
+    written, stored = {}, H.stored
+
+    def counted(df, name="table", **options):
+        out = stored(df, name, **options)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(H, "stored", counted)
+    n, rng = 300, np.random.default_rng(8)
+    vectors = pa.array(rng.normal(size=(n, 24)).astype(np.float32).tolist(), pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": vectors, "label": pa.array(rng.integers(0, N.CLASSES, n), pa.int32())}), tmp_path / "embeddings.parquet")
+    got = {r.id: r.trust for r in C.QUERIES[name](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+        assert got == pytest.approx(dict(con.execute(C.ORACLE_SQL[name]).fetchall()), abs=1e-6)
+    assert max(written.values()) <= copies * n  # a row for each point, whatever the cells
