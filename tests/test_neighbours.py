@@ -146,7 +146,7 @@ def test_pairs_of_equal_distance_are_not_held(monkeypatch):
     assert max(most) <= 500
 
 
-@pytest.mark.parametrize("name, copies", [("E03b_leave_one_out_neighbours", 1)])
+@pytest.mark.parametrize("name, copies", [("E03b_leave_one_out_neighbours", 1), ("D11b_consensus_neighbours", 2)])
 def test_queries_write_no_row_for_each_cell(spark, monkeypatch, tmp_path, name, copies):
     for constant, v in (("CELL", 8), ("BLOCK", 60)):
         monkeypatch.setattr(H, constant, v)
