@@ -166,3 +166,23 @@ def test_queries_write_no_row_for_each_cell(spark, monkeypatch, tmp_path, name,
         con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
         assert got == pytest.approx(dict(con.execute(C.ORACLE_SQL[name]).fetchall()), abs=1e-6)
     assert max(written.values()) <= copies * n  # a row for each point, whatever the cells
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_blocks_asked_are_kept_for_a_block_not_for_each_point(spark, monkeypatch, parts):
+    for constant, v in (("CELL", 8), ("BLOCK", 30)):
+        monkeypatch.setattr(H, constant, v)
+    seen, stored = {}, H.stored
+
+    def counted(df, name="table", **options):
+        seen[name] = stored(df, name, **options)
+        return seen[name]
+
+    monkeypatch.setattr(H, "stored", counted)
+    rows = [(i, [float(v) for v in x], 0, i % 2, i // 2 % parts) for i, x in enumerate(np.random.default_rng(9).normal(size=(240, 24)))]
+    got = {r.id: [v.id for v in r.near] for r in H.neighbours(spark.createDataFrame(rows, "id long, x array<double>, y int, fold int, part int"), 3, "fold", "part").collect()}
+    assert got == brute(rows, 3, lambda a, b: a[3] != b[3] and a[4] == b[4])
+    blocks = seen["first"].select("block").distinct().count()
+    assert blocks > 4 * parts
+    asked = seen["first"].select(F.explode("asks")).count()
+    assert 0 < asked <= blocks * (blocks - 1)

@@ -255,13 +255,14 @@ def neighbours(df: DataFrame, k: int = 5, apart: str | None = None, within: str
     sizes: dict[int, dict[int, tuple]] = {}
     for r in cells.groupBy("_within", "cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect():  # parts x pivots
         sizes.setdefault(r["_within"], {})[r["cell"]] = (r["n"], r["lo"], r["hi"])
-    where, rings, count = [], {}, 0
+    where, rings, leaf_of, count = [], {}, {}, 0
     for w, of in sizes.items():
         leaves = _leaves(pivots, list(of), [m for m, _, _ in of.values()])
         blocks = []
         for leaf in leaves:
             parts = -(-sum(of[c][0] for c in leaf) // BLOCK) if len(leaf) == 1 else 1
             where += [(w, c, count, parts) for c in leaf]
+            leaf_of |= {m: (w, len(blocks)) for m in range(count, count + parts)}
             blocks.append(range(count, count + parts))
             count += parts
         flat = [c for leaf in leaves for c in leaf]
@@ -271,21 +272,27 @@ def neighbours(df: DataFrame, k: int = 5, apart: str | None = None, within: str
     block = (F.col("base") + F.pmod(F.xxhash64("pid"), F.col("parts"))).cast("int")
     cells = cells.join(F.broadcast(at), ["_within", "cell"]).select("x", "_apart", "_within", "rows", "pid", block.alias("block"))
 
-    shared_rings = spark.sparkContext.broadcast(rings)
-
-    def reach(X: np.ndarray, w: int, own: int, cut: np.ndarray) -> pa.ListArray:
-        """Of each point the other blocks that may hold a neighbour."""
-        cell, lo, hi, starts, blocks = shared_rings.value[w]
-        rough, far = _Rough(shared.value[cell]), np.sqrt(cut)
-        leaf, number = np.array([(k, m) for k, numbers in enumerate(blocks) for m in numbers], np.int32).T
-        many, to, step = [np.zeros(1, int)], [], max(1, HELD // len(cell))
+    shared_rings = spark.sparkContext.broadcast((rings, leaf_of))
+
+    def reach(X: np.ndarray, cut: np.ndarray, own: int, other: int | None = None) -> Iterator[np.ndarray]:
+        """Of some points of block ``own`` at a time, which leaves, or whether that of block ``other``, may hold a neighbour."""
+        rings, leaf_of = shared_rings.value
+        cell, lo, hi, starts, _ = rings[leaf_of[own][0]]
+        if other is not None:
+            k = leaf_of[other][1]
+            cell, lo, hi = (a[starts[k] :][: np.diff(starts, append=len(cell))[k]] for a in (cell, lo, hi))
+            starts = np.zeros(1, int)
+        rough, far, step = _Rough(shared.value[cell]), np.sqrt(cut), max(1, HELD // len(cell))
         for k in range(0, len(X), step):
             D, off = rough.of(X[k : k + step])
             least = np.maximum(np.sqrt(np.maximum(D - off[:, None], 0)) - hi, lo - np.sqrt(np.maximum(D + off[:, None], 0)))
-            reached = np.logical_or.reduceat(least <= far[k : k + step, None] * (1 + 1e-9) + 1e-9, starts, axis=1)[:, leaf] & (number != own)
-            many.append(reached.sum(axis=1))
-            to.append(number[np.nonzero(reached)[1]])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(many)), pa.int32()), pa.array(np.concatenate(to), pa.int32()))
+            yield np.logical_or.reduceat(least <= far[k : k + step, None] * (1 + 1e-9) + 1e-9, starts, axis=1)
+
+    def asked_by(X: np.ndarray, cut: np.ndarray, own: int) -> list[int]:
+        """The other blocks that may hold a neighbour of any of the points."""
+        rings, leaf_of = shared_rings.value
+        leaves = np.logical_or.reduce([some.any(axis=0) for some in reach(X, cut, own)])
+        return [m for k, numbers in enumerate(rings[leaf_of[own][0]][4]) if leaves[k] for m in numbers if m != own]
 
     # The k-th distance within a point's own block bounds the search.
     def own(rows: pa.Table) -> pa.Table:
@@ -299,7 +306,7 @@ def neighbours(df: DataFrame, k: int = 5, apart: str | None = None, within: str
         cut[many == take] = d[ends[many == take] - 1]
         near = pa.StructArray.from_arrays([pa.array(d), *found.flatten()], ["d", "id", "y"])
         near = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), near)
-        asks = reach(X, rows.column("_within")[0].as_py(), rows.column("block")[0].as_py(), cut)
+        asks = pa.array([asked_by(X, cut, rows.column("block")[0].as_py()), *[None] * (len(X) - 1)], pa.list_(pa.int32()))  # once for the block
         return pa.table([*rows.columns, near, pa.array(cut), asks], names=[*rows.column_names, "near", "cut", "asks"])
 
     near_kind = f"array<struct<d: double, id: {id_kind}, y: {y_kind}>>"
@@ -308,20 +315,23 @@ def neighbours(df: DataFrame, k: int = 5, apart: str | None = None, within: str
     asked = first.select("block", F.explode("asks").alias("other")).distinct()
     met = stored(asked.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).distinct(), "met")  # pairs of blocks
 
-    def side(own: str, other: str) -> DataFrame:
-        """The points of one block of each pair; those that don't ask the other block are only found."""
-        cut = F.when(F.array_contains("asks", F.col(other)), F.col("cut")).otherwise(float("-inf"))
-        rows = first.withColumnRenamed("block", own).join(F.broadcast(met), own).withColumn("cut", cut)
+    def side(own: str) -> DataFrame:
+        """The points of one block of each pair."""
+        rows = first.withColumnRenamed("block", own).join(F.broadcast(met), own)
         return rows.select(*[F.col(c).alias(c) for c in ("a", "b", "x", "_apart", "rows", "pid", "cut")])  # new columns: both sides are of one table
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+    def search(pair: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         sides = [t.combine_chunks() for t in (left, right)]
         kinds = left.schema.field("rows").type.value_type
         names, types = ["pid", "d", "id", "y"], [pa.int64(), pa.float64(), kinds.field("id").type, kinds.field("y").type]
         if not (left.num_rows and right.num_rows):
             return pa.table([pa.array([], t) for t in types], names=names)
         X, Y = (matrix(t.column("x").combine_chunks()) for t in sides)
-        cuts = [t.column("cut").to_numpy() for t in sides]
+        a, b = (v.as_py() for v in pair)
+        cuts = []
+        for t, Z, own, other in ((sides[0], X, a, b), (sides[1], Y, b, a)):  # points that don't ask the other block are only found
+            cut = t.column("cut").to_numpy()
+            cuts.append(np.where(np.concatenate([some[:, 0] for some in reach(Z, cut, own, other)]), cut, -np.inf))
         apart = tuple(t.column("_apart").to_numpy() for t in sides) if folded else None
         ways = [_Nearest(t.column("rows").combine_chunks(), take) for t in sides[::-1]]
         _meet(X, Y, cuts[0], ways[0], apart, cuts[1], ways[1])
@@ -331,7 +341,7 @@ def neighbours(df: DataFrame, k: int = 5, apart: str | None = None, within: str
             out.append(pa.table([asking.column("pid").take(pa.array(i)), pa.array(d), *rows.flatten()], names=names))
         return pa.concat_tables(out).combine_chunks()
 
-    pairs = side("a", "b").groupBy("a", "b").cogroup(side("b", "a").groupBy("a", "b")).applyInArrow(search, f"pid long, d double, id {id_kind}, y {y_kind}")
+    pairs = side("a").groupBy("a", "b").cogroup(side("b").groupBy("a", "b")).applyInArrow(search, f"pid long, d double, id {id_kind}, y {y_kind}")
     pairs = pairs.unionByName(first.select("pid", F.explode("near").alias("v")).select("pid", "v.*"))
     place = F.row_number().over(Window.partitionBy("pid").orderBy("d", "id"))
     near = pairs.withColumn("_place", place).filter(F.col("_place") <= take).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d", "id", "y"))).alias("near"))
