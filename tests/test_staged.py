@@ -149,6 +149,35 @@ def test_a_kernel_with_many_chosen_rows_is_not_shuffled(spark, rows, monkeypatch
     assert all(r.kernel == [] for r in networks.kernel(twice, mlp, "id < 0").collect())
 
 
+def test_a_kernel_is_made_once_for_equal_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(networks, "BLOCK", 16)
+    mlp = networks.Mlp.init([5, 3, 2], 2)
+    many = rows.crossJoin(spark.range(20).toDF("copy")).select((F.col("id") * 20 + F.col("copy")).alias("id"), "x").repartition(7)
+    met = networks.kernel_by_place(many, mlp, "id % 20 = 0", digits=6).collect()
+    assert sorted(i for r in met for i in r.ids) == list(range(6000))
+    assert len(met) <= rows.select("x").distinct().count() + 2 * 4  # 4 ranges: a place more where one begins within a place
+    J = mlp.jacobian(np.array([r.x for r in rows.orderBy("id").collect()])).reshape(300, -1)
+    got = {r.id: r.kernel for r in networks.kernel(many, mlp, "id % 20 = 0", digits=6).collect()}
+    assert np.allclose([got[i] for i in range(6000)], np.repeat(J @ J.T, 20, axis=0), atol=6e-7)
+    assert got == {i: r.kernel for r in met for i in r.ids}
+
+
+def test_a_kernel_of_any_ids_and_of_no_rows(spark):
+    mlp = networks.Mlp.init([2, 3, 2], 2)
+    named = spark.createDataFrame([("b", [0.0, 1.0]), ("a", [1.0, 0.5]), ("c", [-0.0, 1.0])], "id string, x array<double>")
+    J = mlp.jacobian(np.array([[1.0, 0.5], [0.0, 1.0], [0.0, 1.0]])).reshape(3, -1)
+    assert np.allclose([r.kernel for r in networks.kernel(named, mlp).orderBy("id").collect()], J @ J.T)
+    assert networks.kernel(named.limit(0), mlp).collect() == []
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(3)
+    v = [5e-7, 1.0000005, -2.5e-7, -1e-9, 0.0, 1.1234565, 2.0000015, -7.0000025, 1e9 + 0.1234565, 123456789.0123455, 1e15 + 0.3, 1e17, 1.7e308, float("inf"), *rng.normal(0, 30, 500), *np.round(rng.normal(0, 3, 500), 7)]
+    want = [r.v for r in spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double").orderBy("i").select(F.round("v", 6).alias("v")).collect()]
+    assert networks._rounded(np.array(v), 6).tolist() == want
+    assert np.isnan(networks._rounded(np.array([np.nan]), 6)).all()
+
+
 def test_linearised_models_keep_their_predictions(rows):
     from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
     from pyspark.ml.functions import array_to_vector
