@@ -1,5 +1,6 @@
 """Stages, folds, quantiles, ranks and calibration against numpy, Spark's own models and by identity."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from trustloom.operators import ensembles as N
 from trustloom.operators import linear as L
 from trustloom.operators import networks
 from trustloom.operators import staged as S
+from trustloom.plans import catalogue as C
 from trustloom.plans import learners as K
 
 
@@ -162,6 +164,18 @@ def test_a_kernel_is_made_once_for_equal_rows(spark, rows, monkeypatch):
     assert got == {i: r.kernel for r in met for i in r.ids}
 
 
+def test_the_kernel_query_is_whole(spark, sf):
+    name = "F04_neural_tangent_kernel"
+    got = {r.id: r.kernel for r in C.QUERIES[name](spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and {len(k) for k in got.values()} == {len(got)}
+    whole = np.array([got[i] for i in sorted(got)])
+    assert (whole == whole.T).all()
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+        want = dict(con.execute(C.ORACLE_SQL[name]).fetchall())
+    assert np.allclose(whole, [want[i] for i in sorted(want)], rtol=0, atol=1e-6)
+
+
 def test_a_kernel_of_any_ids_and_of_no_rows(spark):
     mlp = networks.Mlp.init([2, 3, 2], 2)
     named = spark.createDataFrame([("b", [0.0, 1.0]), ("a", [1.0, 0.5]), ("c", [-0.0, 1.0])], "id string, x array<double>")
